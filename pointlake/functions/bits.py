@@ -8,14 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def interleave(columns: Sequence[Column | str], bits: int) -> Column:
-    """Z-order value of non-negative numbers below ``2**bits``, as a long."""
-    columns = [F.col(c) if isinstance(c, str) else c for c in columns]
+def interleave(columns: Sequence[str], bits: int) -> Column:
+    """Z-order value of long columns holding numbers from 0 to ``2**bits - 1``, as a long."""
     if bits * len(columns) > 63:
         raise ValueError("interleaved value does not fit a long")
-    code = F.lit(0).cast("long")
-    for bit in range(bits):
-        for place, column in enumerate(columns):
-            taken = F.shiftright(column.cast("long"), bit).bitwiseAND(F.lit(1).cast("long"))
-            code = code.bitwiseOR(F.shiftleft(taken, bit * len(columns) + place))
-    return code
+    terms = [
+        f"shiftleft(shiftright(`{column}`, {bit}) & 1L, {bit * len(columns) + place})"
+        for bit in range(bits)
+        for place, column in enumerate(columns)
+    ]
+    return F.expr(" | ".join(terms))

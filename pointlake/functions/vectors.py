@@ -8,18 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def squared_l2(column: Column | str, query: Sequence[float]) -> Column:
+def squared_l2(column: str, query: Sequence[float]) -> Column:
     """Squared distance to a constant vector, one term per dimension."""
-    column = F.col(column) if isinstance(column, str) else column
-    total = F.lit(0.0)
-    for i, value in enumerate(query):
-        delta = column[i].cast("double") - F.lit(float(value))
-        total = total + delta * delta
-    return total
-
-
-def l2(column: Column | str, query: Sequence[float]) -> Column:
-    return F.sqrt(squared_l2(column, query))
+    deltas = [f"(cast(`{column}`[{i}] as double) - {float(value)!r}D)" for i, value in enumerate(query)]
+    return F.expr(" + ".join(f"{d} * {d}" for d in deltas))
 
 
 def mean_vector_by(df: DataFrame, keys: Sequence[str], vector: str, dims: int, *aggregates: Column) -> DataFrame:
@@ -28,9 +20,17 @@ def mean_vector_by(df: DataFrame, keys: Sequence[str], vector: str, dims: int, *
     One sum per dimension: partial sums are combined before the shuffle, no row is
     exploded, and a group of any size costs one buffer per task.
     """
-    element = F.col(vector)
-    sums = [F.sum(element[i].cast("double")).alias(f"_sum{i}") for i in range(dims)]
+    sums = [F.expr(f"sum(cast(`{vector}`[{i}] as double)) as _sum{i}") for i in range(dims)]
     grouped = df.groupBy(*keys).agg(F.count(vector).alias("_count"), *sums, *aggregates)
-    mean = F.array(*[(F.col(f"_sum{i}") / F.col("_count")).cast("float") for i in range(dims)])
+    means = ", ".join(f"cast(_sum{i} / _count as float)" for i in range(dims))
     kept = [c for c in grouped.columns if not c.startswith("_sum") and c != "_count"]
-    return grouped.select(*kept, mean.alias(vector))
+    return grouped.select(*kept, F.expr(f"array({means})").alias(vector))
+
+
+def array_stats(column: str) -> dict[str, Column]:
+    """Mean, population deviation, sum and size of each row's array; no shuffle."""
+    total = F.aggregate(column, F.lit(0.0), lambda acc, x: acc + x)
+    size = F.size(column)
+    mean = total / size
+    square = F.aggregate(column, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+    return {"mean": mean, "std": F.sqrt(square / size), "sum": total, "size": size}

@@ -1,10 +1,10 @@
-"""Group counts, distances to group means, array and shard statistics."""
+"""Group counts, distances to group means, and shard statistics."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.functions.columns import distance
@@ -64,16 +64,6 @@ def sum_of_squares(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.sum(value * value).alias("sum_squares"))
 
 
-def array_stats(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
-    """Mean, population deviation, sum and size per key."""
-    return df.groupBy(*keys).agg(
-        F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("std"),
-        F.sum(value).alias("sum"),
-        F.count(value).alias("size"),
-    )
-
-
 def shard_metrics(points: DataFrame, files: DataFrame) -> DataFrame:
     """``(shard, shard_n_bytes, n_objects, n_points)``; objects are counted as groups."""
     objects = points.groupBy("shard", "root_id").agg(F.count(F.lit(1)).alias("_n"))

@@ -23,13 +23,14 @@ _BROADCAST_ROWS = 100_000
 _WHOLE = 5000
 
 
-def _curve_position(low: Sequence[float], high: Sequence[float]):
+def _with_curve(points: DataFrame, low: Sequence[float], high: Sequence[float]) -> DataFrame:
+    """Add ``curve``, the place of a point along a space-filling curve."""
     steps = 2**_CURVE_BITS - 1
-    cells = []
+    cells = {}
     for name, a, b in zip(XYZ, low, high, strict=True):
         scale = steps / (b - a) if b > a else 0.0
-        cells.append(F.floor((F.col(name) - F.lit(a)) * F.lit(scale)).cast("long"))
-    return interleave(cells, _CURVE_BITS)
+        cells[f"_{name}"] = F.floor((F.col(name) - F.lit(a)) * F.lit(scale))
+    return points.withColumns(cells).withColumn("curve", interleave(list(cells), _CURVE_BITS)).drop(*cells)
 
 
 def _search_radii(k: int, lowest_level: int):
@@ -103,7 +104,7 @@ def nearest_neighbours(
     copies = Window.partitionBy(*place).orderBy("pid")
     kept = pts.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1)
     along = [*OBJECT, "curve", "pid"]
-    ordered = kept.withColumn("curve", _curve_position(low, high)).repartitionByRange(*along)
+    ordered = _with_curve(kept, low, high).repartitionByRange(*along)
     schema = "shard long, root_id long, pid long, x double, y double, z double, copy int, radius double, level long"
     typed = ordered.sortWithinPartitions(*along).select(
         *[F.col(c).cast("long").alias(c) for c in (*OBJECT, "pid")], *XYZ, "copy"

@@ -20,8 +20,11 @@ def principal_components(df: DataFrame, vector: str, k: int = 32, name: str = "r
     return projected.withColumn(name, centred).drop("_features", "_projected")
 
 
-def group_vectors(df: DataFrame, vector: str, groups: int = 20, seed: int = 0, name: str = "label") -> DataFrame:
+def group_vectors(
+    df: DataFrame, vector: str, groups: int = 20, seed: int = 0, name: str = "label", iterations: int = 5
+) -> DataFrame:
     """Add a label from hierarchical (bisecting) k-means; it scales where a full linkage tree does not."""
     features = df.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>")))
-    model = BisectingKMeans(k=groups, seed=seed, featuresCol="_features", predictionCol=name).fit(features)
+    clusterer = BisectingKMeans(k=groups, seed=seed, maxIter=iterations, featuresCol="_features", predictionCol=name)
+    model = clusterer.fit(features)
     return model.transform(features).drop("_features")

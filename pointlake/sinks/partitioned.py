@@ -39,15 +39,16 @@ def write_partitioned(
     rows_per_file: int = 50_000_000,
     bloom: dict[str, str] | None = None,
     sort_by: Sequence[str] = (),
+    clustered: bool = False,
 ) -> None:
     """One distributed write, clustered by partition.
 
     The rebalance brings a partition's rows together so each directory gets few
     files, and splits a partition that holds a large share of all rows over several
-    tasks. ``mode="overwrite"`` replaces only the partitions present in ``df``, so a
+    tasks; ``clustered`` says ``df`` already is. ``mode="overwrite"`` replaces only the partitions present in ``df``, so a
     rerun of the same shards does not duplicate rows; ``append`` adds to them.
     """
-    clustered = df.hint("rebalance", *partition_by) if partition_by else df.hint("rebalance")
+    rows = df if clustered else df.hint("rebalance", *partition_by)
     if sort_by:
-        clustered = clustered.sortWithinPartitions(*partition_by, *sort_by)
-    table_writer(clustered, partition_by, mode, codec, rows_per_file, bloom).parquet(path)
+        rows = rows.sortWithinPartitions(*partition_by, *sort_by)
+    table_writer(rows, partition_by, mode, codec, rows_per_file, bloom).parquet(path)

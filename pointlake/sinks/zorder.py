@@ -23,14 +23,15 @@ def with_zorder(df: DataFrame, columns: Sequence[str], bits: int = 8, error: flo
     quantiles = [q / 2**bits for q in range(1, 2**bits)]
     bounds = df.select(*[e.alias(n) for n, e in doubles.items()]).approxQuantile(list(doubles), quantiles, error)
     df = df.withColumns(doubles)
-    buckets = []
+    buckets = {}
     for name, edges in zip(doubles, bounds, strict=True):
         splits = [-math.inf, *sorted(set(edges)), math.inf]
         bucketizer = Bucketizer(splits=splits, inputCol=name, outputCol=f"{name}b", handleInvalid="keep")
         df = bucketizer.transform(df)
-        buckets.append(F.when(F.col(name).isNull(), 0).otherwise(F.col(f"{name}b").cast("long") + 1))
-    code = interleave(buckets, bits + 1)
-    return df.withColumn("_z", code).drop(*doubles, *[f"{n}b" for n in doubles])
+        ranked = F.col(f"{name}b").cast("long") + 1
+        buckets[f"{name}r"] = F.when(F.col(name).isNull(), F.lit(0).cast("long")).otherwise(ranked)
+    coded = df.withColumns(buckets).withColumn("_z", interleave(list(buckets), bits + 1))
+    return coded.drop(*doubles, *[f"{n}b" for n in doubles], *buckets)
 
 
 def zorder_rewrite(

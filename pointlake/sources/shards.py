@@ -59,16 +59,18 @@ def scan_shards(spark: SparkSession, path: str, dims: int = DIMENSIONS, keep: in
     """Points of all archives: ``shard, root_id, pid, node_id, x, y, z, embedding``.
 
     Archives are unpacked in parallel, one task per archive, and lines leave the
-    Python worker in bounded batches. The rebalance after that splits a large archive
-    over many tasks before the wide lines are parsed. ``pid`` is the line number
-    within the member; ``keep`` retains only the first dimensions.
+    Python worker in bounded batches. The rebalance after that keeps a shard's lines
+    together but splits a large archive over many tasks, so lines are parsed in parallel
+    and the rows are already clustered for a table partitioned by ``shard``. ``pid`` is
+    the line number within the member; ``keep`` retains only the first dimensions.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    lines = files.mapInArrow(_member_lines, "path string, member string, pid long, line string").hint("rebalance")
+    lines = files.mapInArrow(_member_lines, "path string, member string, pid long, line string")
+    lines = lines.withColumn("shard", id_from_name("path")).drop("path").hint("rebalance", "shard")
     ddl = POINT_FIELDS + ", " + ", ".join(f"d{i} float" for i in range(dims))
     parsed = lines.withColumn("row", F.from_csv("line", ddl, {"mode": "FAILFAST"}))
     return parsed.select(
-        id_from_name("path").alias("shard"),
+        "shard",
         id_from_name("member").alias("root_id"),
         "pid",
         F.col("row.node_id").alias("node_id"),
