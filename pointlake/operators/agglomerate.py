@@ -7,16 +7,20 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pointlake.operators.components import component_edges
+from pointlake.operators.components import component_edges, connected_components, smallest_reachable
 from pointlake.operators.knn_graph import OBJECT, both_directions
-from pointlake.operators.skew import HOT_ROWS, skew_join
+from pointlake.operators.skew import HOT_ROWS, skew_join, stored_hot_keys
 from pointlake.workspace import Workspace
 
 COMPONENT = (*OBJECT, "component")
-MAX_COMPONENT_POINTS = 50_000
+POINT = (*OBJECT, "pid")
+# Points clustered together in one task at most, and points aimed at per task.
+MAX_TASK_POINTS = 50_000
 _TASK_POINTS = 50_000
 
 
@@ -115,34 +119,50 @@ def _greedy(src, dst, vectors, threshold, linkage, metric):
 
 
 def _labeller(threshold: float, linkage: str, metric: str, method: str):
-    def label(points: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        points = points.sort_values([*COMPONENT, "pid"], ignore_index=True)
-        if points.empty:
-            return points[[*OBJECT, "pid"]].assign(cluster=pd.Series(dtype="int64"))
-        place = pd.Series(points.index, index=pd.MultiIndex.from_frame(points[[*OBJECT, "pid"]]))
-        src, dst = (place.reindex(pd.MultiIndex.from_frame(edges[[*OBJECT, c]])).to_numpy() for c in ("src", "dst"))
-        vectors = np.stack(points["embedding"].to_numpy()).astype("float64")
-        merge = _rounds if method == "rounds" else _greedy
+    """Task helper: name the cluster of every point of the objects in one bucket."""
+
+    def label(points: pa.Table, edges: pa.Table) -> pa.Table:
+        points = points.drop_columns(["bucket"]).sort_by([(c, "ascending") for c in POINT])
+        n = points.num_rows
+        index = pd.MultiIndex.from_arrays([points[c].to_numpy() for c in POINT])
+        objects = [edges[c].to_numpy() for c in OBJECT]
+        src, dst = (
+            index.get_indexer(pd.MultiIndex.from_arrays([*objects, edges[c].to_numpy()])) for c in ("src", "dst")
+        )
+        flat = pa.concat_arrays(points["embedding"].chunks).flatten() if n else pa.array([], pa.float32())
+        vectors = flat.to_numpy(zero_copy_only=False).astype("float64").reshape(n, -1 if n else 0)
         if method == "rounds":
-            owner = merge(src, dst, vectors, threshold, linkage, metric)
+            owner = _rounds(src, dst, vectors, threshold, linkage, metric)
         else:
             # The cut counts merges, so components are taken one at a time.
-            owner = np.arange(len(points))
-            group = points.groupby(list(COMPONENT), sort=True).ngroup().to_numpy()
-            starts = np.append(np.unique(group, return_index=True)[1], len(group))
-            by_group = np.argsort(group[src], kind="stable")
-            cuts = np.searchsorted(group[src][by_group], np.arange(len(starts)))
-            for g, (lo, hi) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
-                mine = by_group[cuts[g] : cuts[g + 1]]
-                part = merge(src[mine] - lo, dst[mine] - lo, vectors[lo:hi], threshold, linkage, metric)
+            owner = np.arange(n)
+            component = smallest_reachable(n, src, dst)
+            by_component = np.argsort(component, kind="stable")
+            edge_order = np.argsort(component[src], kind="stable")
+            names, starts = np.unique(component[by_component], return_index=True)
+            first = np.searchsorted(component[src][edge_order], names)
+            place = np.empty(n, dtype="int64")
+            for members, mine in zip(
+                np.split(by_component, starts[1:]), np.split(edge_order, first[1:]), strict=True
+            ):
+                place[members] = np.arange(len(members))
+                part = _greedy(place[src[mine]], place[dst[mine]], vectors[members], threshold, linkage, metric)
                 _, smallest, cluster_of = np.unique(part, return_index=True, return_inverse=True)
-                owner[lo:hi] = lo + smallest[cluster_of]
-        cluster = points["pid"].to_numpy()[owner]
-        return points[[*OBJECT, "pid"]].assign(cluster=cluster)
+                owner[members] = members[smallest[cluster_of]]
+        return points.append_column("cluster", pa.array(points["pid"].to_numpy()[owner], pa.int64()))
 
     return label
 
 
+def _labelled_in_tasks(points: DataFrame, edges: DataFrame, keys: tuple[str, ...], total: int, labeller) -> DataFrame:
+    """Cluster whole ``keys`` groups, many per task: one shuffle of points and edges."""
+    tasks = max(math.ceil(total / _TASK_POINTS), points.sparkSession.sparkContext.defaultParallelism)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(tasks))
+    schema = T.StructType([*points.schema.fields, T.StructField("cluster", T.LongType())])
+    left, right = (df.withColumn("bucket", bucket).groupBy("bucket") for df in (points, edges))
+    return left.cogroup(right).applyInArrow(labeller, schema)
+
+
 # --- joins over all large components at once ------------------------------------------
 
 
@@ -165,16 +185,20 @@ def _sql_pair(a: str, b: str, metric: str):
     return F.lit(0.5) * square if metric == "cosine" else F.sqrt(square)
 
 
-def _attach(edges: DataFrame, clusters: DataFrame, hot_rows: int) -> DataFrame:
+def _attach(edges: DataFrame, clusters: DataFrame, hot: dict[str, DataFrame | bool]) -> DataFrame:
     """Add the size and mean of the clusters at both ends of each edge."""
     for end in ("src", "dst"):
         side = clusters.select(
             *OBJECT, F.col("cluster").alias(end), F.col("n").alias(f"n_{end}"), F.col("mean").alias(f"mean_{end}")
         )
-        edges = skew_join(edges, side, [*OBJECT, end], hot_rows=hot_rows)
+        edges = skew_join(edges, side, [*OBJECT, end], hot=hot[end])
     return edges
 
 
+def _hubs(work: Workspace, edges: DataFrame, hot_rows: int) -> dict[str, DataFrame | bool]:
+    return {end: stored_hot_keys(work, edges, [*OBJECT, end], hot_rows) for end in ("src", "dst")}
+
+
 def _distributed_rounds(
     points: DataFrame,
     edges: DataFrame,
@@ -184,13 +208,15 @@ def _distributed_rounds(
     work: Workspace,
     hot_rows: int,
 ) -> DataFrame:
-    """The merge rounds as joins; the number of jobs does not grow with the data's objects."""
+    """The merge rounds as joins; the number of jobs does not grow with the number of objects."""
     ward = linkage == "ward"
     mean = F.col("embedding").cast("array<double>").alias("mean")
     clusters = work.save(points.select(*OBJECT, F.col("pid").alias("cluster"), F.lit(1.0).alias("n"), mean), "clusters")
-    members = points.select(*OBJECT, "pid", F.col("pid").alias("cluster"))
+    members = points.withColumn("cluster", F.col("pid"))
+    kept = points.columns
     weight = _sql_ward("n_src", "mean_src", "n_dst", "mean_dst") if ward else _sql_pair("mean_src", "mean_dst", metric)
-    live = _attach(edges.select(*OBJECT, "src", "dst"), clusters, hot_rows)
+    live = work.save(edges.select(*OBJECT, "src", "dst"), "linked")
+    live = _attach(live, clusters, _hubs(work, live, hot_rows))
     live = work.save(live.select(*OBJECT, "src", "dst", weight.alias("weight")), "weighted")
     while True:
         near = both_directions(live.filter(F.col("weight") < threshold))
@@ -204,24 +230,24 @@ def _distributed_rounds(
         if merges.isEmpty():
             return members
         step = merges.select(*OBJECT, F.col("gone").alias("cluster"), F.col("keep").alias("_to"))
-        moved = skew_join(members, step, [*OBJECT, "cluster"], "left", hot_rows=hot_rows)
-        members = work.save(moved.select(*OBJECT, "pid", F.coalesce("_to", "cluster").alias("cluster")), "members")
-        changed = {}
+        hot = stored_hot_keys(work, members, [*OBJECT, "cluster"], hot_rows)
+        moved = skew_join(members, step, [*OBJECT, "cluster"], "left", hot=hot)
+        members = work.save(moved.select(*kept, F.coalesce("_to", "cluster").alias("cluster")), "members")
+        hubs = _hubs(work, live, hot_rows)
+        stay = merges.select(*OBJECT, F.col("keep").alias("cluster"), F.lit(None).cast("long").alias("_to"))
+        touched = step.unionByName(stay).withColumn("_hit", F.lit(True))
         for end in ("src", "dst"):
-            moves = step.withColumnsRenamed({"cluster": end})
-            stay = merges.select(*OBJECT, F.col("keep").alias(end), F.lit(None).cast("long").alias("_to"))
-            touched = moves.unionByName(stay).withColumn("_hit", F.lit(True))
-            live = skew_join(live, touched, [*OBJECT, end], "left", hot_rows=hot_rows)
+            live = skew_join(live, touched.withColumnsRenamed({"cluster": end}), [*OBJECT, end], "left", hot=hubs[end])
             live = live.withColumns({end: F.coalesce("_to", end), f"hit_{end}": F.coalesce("_hit", F.lit(False))})
             live = live.drop("_to", "_hit")
-            changed[end] = F.col(f"hit_{end}")
-        ends = {"src": F.least("src", "dst"), "dst": F.greatest("src", "dst"), "hit": changed["src"] | changed["dst"]}
-        live = live.filter("src <> dst").withColumns(ends)
+        ends = {"src": F.least("src", "dst"), "dst": F.greatest("src", "dst")}
+        live = live.filter("src <> dst").withColumns({**ends, "hit": F.col("hit_src") | F.col("hit_dst")})
         live = live.groupBy(*OBJECT, "src", "dst").agg(F.max("weight").alias("weight"), F.max("hit").alias("hit"))
         if ward:
             clusters = work.save(_merge_clusters(clusters, merges), "clusters")
             live = work.save(live, "contracted")
-            fresh = _attach(live.filter("hit").select(*OBJECT, "src", "dst"), clusters, hot_rows)
+            changed = live.filter("hit").select(*OBJECT, "src", "dst")
+            fresh = _attach(changed, clusters, _hubs(work, live, hot_rows))
             fresh = fresh.select(*OBJECT, "src", "dst", weight.alias("weight"))
             live = live.filter("not hit").drop("hit").unionByName(fresh)
         else:
@@ -231,80 +257,88 @@ def _distributed_rounds(
 
 def _merge_clusters(clusters: DataFrame, merges: DataFrame) -> DataFrame:
     """Replace both clusters of each merge by their union; a cluster is in at most one."""
-    gone = clusters.select(*OBJECT, F.col("cluster").alias("gone"), F.col("n").alias("n_gone"), F.col("mean").alias("m"))
+    gone = clusters.select(*OBJECT, F.col("cluster").alias("gone"), F.col("n").alias("n_b"), F.col("mean").alias("b"))
     partner = merges.join(gone, [*OBJECT, "gone"]).withColumnRenamed("keep", "cluster").drop("gone")
     lost = merges.select(*OBJECT, F.col("gone").alias("cluster"))
-    left = clusters.join(lost, [*OBJECT, "cluster"], "left_anti").join(partner, [*OBJECT, "cluster"], "left")
-    total = F.col("n") + F.col("n_gone")
-    merged = F.zip_with("mean", "m", lambda x, y: (x * F.col("n") + y * F.col("n_gone")) / total)
-    return left.select(
-        *OBJECT, "cluster", F.coalesce(total, "n").alias("n"), F.coalesce(merged, "mean").alias("mean")
-    )
+    left = clusters.withColumnsRenamed({"n": "n_a", "mean": "a"})
+    left = left.join(lost, [*OBJECT, "cluster"], "left_anti").join(partner, [*OBJECT, "cluster"], "left")
+    total = F.col("n_a") + F.col("n_b")
+    merged = F.zip_with("a", "b", lambda x, y: (x * F.col("n_a") + y * F.col("n_b")) / total)
+    return left.select(*OBJECT, "cluster", F.coalesce(total, "n_a").alias("n"), F.coalesce(merged, "a").alias("mean"))
 
 
 def agglomerate(
     points: DataFrame,
     edges: DataFrame,
-    components: DataFrame,
     threshold: float,
     linkage: str = "ward",
     metric: str = "euclidean",
-    method: str = "rounds",
-    max_component_points: int = MAX_COMPONENT_POINTS,
+    method: str = "auto",
+    max_task_points: int = MAX_TASK_POINTS,
     work: Workspace | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``(shard, root_id, pid, cluster)``; a cluster is named by its smallest ``pid``.
+    """``points`` with the ``cluster`` of each; a cluster is named by its smallest ``pid``.
 
     Only linked clusters merge. ``linkage`` is ``ward`` (increase in variance) or
     ``complete`` (largest link between the two). ``method``:
 
     ``rounds``
         Every round merges all pairs that are each other's nearest linked cluster and
-        closer than ``threshold``. Components up to ``max_component_points`` run their
-        rounds inside a task, many components per task; larger ones run the same
-        rounds as joins. The size only decides where, not what.
+        closer than ``threshold``.
     ``greedy``
         One globally closest pair at a time and a cut by merge count, which is the
         order of the usual single-machine algorithm. It is sequential within a
-        component, so a component above ``max_component_points`` is refused.
+        component, so a component above ``max_task_points`` is refused.
+    ``auto``
+        ``greedy`` for components up to ``max_task_points``, ``rounds`` for larger ones.
 
     For ``complete`` the two agree; for ``ward`` they may differ where merge distances
     are not monotone.
+
+    Objects of up to ``max_task_points`` are clustered whole, many per task, with one
+    shuffle of the vectors. A larger object is taken apart into its components, which
+    are independent; a component that is still larger runs the rounds as joins over
+    all such components at once. For ``rounds`` the size decides where, not what.
     """
-    if linkage not in ("ward", "complete") or method not in ("rounds", "greedy"):
+    if linkage not in ("ward", "complete") or method not in ("rounds", "greedy", "auto"):
         raise ValueError(f"unsupported linkage {linkage!r} or method {method!r}")
     if linkage == "ward" and metric != "euclidean":
         raise ValueError("ward linkage needs the euclidean metric")
     work = work or Workspace(points.sparkSession)
-    sizes = work.save(components.groupBy(*COMPONENT).agg(F.count(F.lit(1)).alias("n")), "component-sizes")
-    totals = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max("n"), F.lit(0)).alias("max"))
-    total, largest = totals.first()
-    vectors = components.join(points.select(*OBJECT, "pid", "embedding"), [*OBJECT, "pid"])
-    linked = component_edges(edges, components)
-
-    large_points = large_edges = None
-    if largest > max_component_points:
-        if method == "greedy":
-            raise ValueError(f"a component has {largest} points; use method='rounds' above {max_component_points}")
-        # At most (points / max_component_points) components are large: a short list.
-        large = F.broadcast(sizes.filter(F.col("n") > max_component_points).select(*COMPONENT))
-        large_points = vectors.join(large, list(COMPONENT), "left_semi")
-        large_edges = linked.join(large, list(COMPONENT), "left_semi")
-        vectors = vectors.join(large, list(COMPONENT), "left_anti")
-        linked = linked.join(large, list(COMPONENT), "left_anti")
-
-    spark = points.sparkSession
-    tasks = max(math.ceil(total / _TASK_POINTS), spark.sparkContext.defaultParallelism)
-    bucket = F.pmod(F.xxhash64(*COMPONENT), F.lit(tasks))
     labeller = _labeller(threshold, linkage, metric, method)
-    labels = (
-        vectors.withColumn("bucket", bucket)
-        .groupBy("bucket")
-        .cogroup(linked.withColumn("bucket", bucket).groupBy("bucket"))
-        .applyInPandas(labeller, "shard long, root_id long, pid long, cluster long")
+
+    objects = points.groupBy(*OBJECT).agg(F.count(F.lit(1)).alias("n"))
+    total, largest = _total_and_largest(objects)
+    if largest <= max_task_points:
+        return _labelled_in_tasks(points, edges, OBJECT, total, labeller)
+
+    # At most (points / max_task_points) groups are large: a short list, both times.
+    large = F.broadcast(work.save(objects.filter(F.col("n") > max_task_points).select(*OBJECT), "large-objects"))
+    whole = [df.join(large, list(OBJECT), "left_anti") for df in (points, edges)]
+    labelled = _labelled_in_tasks(*whole, OBJECT, total, labeller)
+
+    points, edges = (df.join(large, list(OBJECT), "left_semi") for df in (points, edges))
+    components = work.save(connected_components(points, edges, work, hot_rows=hot_rows), "components")
+    sizes = components.groupBy(*COMPONENT).agg(F.count(F.lit(1)).alias("n"))
+    total, largest = _total_and_largest(sizes)
+    if largest > max_task_points and method == "greedy":
+        raise ValueError(f"a component has {largest} points; use method='rounds' above {max_task_points}")
+    columns = points.columns
+    points = points.join(components, list(POINT))
+    edges = component_edges(edges, components)
+    big = F.broadcast(work.save(sizes.filter(F.col("n") > max_task_points).select(*COMPONENT), "large-components"))
+    small = [df.join(big, list(COMPONENT), "left_anti") for df in (points, edges)]
+    labelled = labelled.unionByName(
+        _labelled_in_tasks(*small, COMPONENT, total, labeller).select(*columns, "cluster")
     )
-    if large_points is None:
-        return labels
-    members = _distributed_rounds(large_points, large_edges, threshold, linkage, metric, work, hot_rows)
-    return labels.unionByName(members)
+    if largest <= max_task_points:
+        return labelled
+    points, edges = (df.join(big, list(COMPONENT), "left_semi") for df in (points, edges))
+    points = work.save(points.select(*columns), "large-points")
+    members = _distributed_rounds(points, edges, threshold, linkage, metric, work, hot_rows)
+    return labelled.unionByName(members)
+
+
+def _total_and_largest(sizes: DataFrame) -> tuple[int, int]:
+    return tuple(sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first())

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.operators.knn_graph import OBJECT, both_directions
-from pointlake.operators.skew import HOT_ROWS, hot_keys, skew_join
+from pointlake.operators.skew import HOT_ROWS, skew_join, stored_hot_keys
 from pointlake.workspace import Workspace
 
 # Edges of one object that a task may finish on its own, and edges aimed at per task.
@@ -19,7 +19,7 @@ MAX_OBJECT_EDGES = 2_000_000
 _TASK_EDGES = 500_000
 
 
-def _smallest_reachable(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+def smallest_reachable(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """Task helper: the smallest node index in each node's component."""
     label = np.arange(n)
     while True:
@@ -38,7 +38,7 @@ def _finish(frame: pd.DataFrame) -> pd.DataFrame:
     ends = pd.concat([frame[[*OBJECT, c]].set_axis([*OBJECT, "node"], axis=1) for c in ("src", "dst")])
     index = ends.groupby([*OBJECT, "node"], sort=True).ngroup().to_numpy()
     nodes = ends.assign(index=index).drop_duplicates("index").sort_values("index")
-    label = _smallest_reachable(len(nodes), index[: len(frame)], index[len(frame) :])
+    label = smallest_reachable(len(nodes), index[: len(frame)], index[len(frame) :])
     ids = nodes["node"].to_numpy()
     return nodes[list(OBJECT)].assign(node=ids, root=ids[label])
 
@@ -71,13 +71,14 @@ def _contract(edges: DataFrame, seed: int, work: Workspace, hot_rows: int) -> tu
     )
     roots = parents.filter("node = root").select(*OBJECT, F.col("node").alias("root"))
     moving = parents.filter("node <> root")
-    moves = work.save(
-        skew_join(moving, roots, [*OBJECT, "root"], hot_rows=hot_rows).select(*OBJECT, "node", "root"), "moves"
-    )
-    hubs = parents.filter(F.col("degree") > hot_rows)
+    crowded = stored_hot_keys(work, parents, [*OBJECT, "root"], hot_rows)
+    joined = skew_join(moving, roots, [*OBJECT, "root"], hot=crowded)
+    moves = work.save(joined.select(*OBJECT, "node", "root"), "moves")
+    hubs = work.save(parents.filter(F.col("degree") > hot_rows).select(*OBJECT, "node"), "hubs")
+    no_hubs = hubs.isEmpty()
     for end in ("src", "dst"):
         step = moves.select(*OBJECT, F.col("node").alias(end), F.col("root").alias("_to"))
-        hot = hubs.select(*OBJECT, F.col("node").alias(end))
+        hot = False if no_hubs else hubs.withColumnRenamed("node", end)
         edges = skew_join(edges, step, [*OBJECT, end], "left", hot=hot)
         edges = edges.withColumn(end, F.coalesce("_to", end)).drop("_to")
     ends = {"src": F.least("src", "dst"), "dst": F.greatest("src", "dst")}
@@ -99,20 +100,20 @@ def connected_components(
     an edge are their own component.
     """
     work = work or Workspace(points.sparkSession)
-    live = work.save(edges.select(*OBJECT, "src", "dst"), "edges")
+    live = edges.select(*OBJECT, "src", "dst")
     small: list[DataFrame] = []
     rounds: list[DataFrame] = []
     total = 0
     while True:
-        sizes = work.save(live.groupBy(*OBJECT).agg(F.count(F.lit(1)).alias("n")), "sizes")
+        sizes = live.groupBy(*OBJECT).agg(F.count(F.lit(1)).alias("n"))
         counts = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.max("n").alias("max")).first()
         if (counts["max"] or 0) <= max_object_edges:
             total += counts["all"]
             small.append(live)
             break
         # At most (all edges / max_object_edges) objects are large: a short list.
-        large = F.broadcast(sizes.filter(F.col("n") > max_object_edges).select(*OBJECT))
-        total += sizes.filter(F.col("n") <= max_object_edges).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        large = F.broadcast(work.save(sizes.filter(F.col("n") > max_object_edges).select(*OBJECT), "large"))
+        total += counts["all"]
         small.append(live.join(large, list(OBJECT), "left_anti"))
         live, moves = _contract(live.join(large, list(OBJECT), "left_semi"), len(rounds), work, hot_rows)
         rounds.append(moves)
@@ -134,7 +135,8 @@ def _resolve(labels: DataFrame, rounds: list[DataFrame], work: Workspace, hot_ro
     labels = work.save(labels, "labels")
     for moves in reversed(rounds):
         later = labels.select(*OBJECT, F.col("node").alias("root"), F.col("root").alias("_last"))
-        traced = skew_join(moves, later, [*OBJECT, "root"], "left", hot_rows=hot_rows)
+        hot = stored_hot_keys(work, moves, [*OBJECT, "root"], hot_rows)
+        traced = skew_join(moves, later, [*OBJECT, "root"], "left", hot=hot)
         traced = traced.select(*OBJECT, "node", F.coalesce("_last", "root").alias("root"))
         labels = work.save(labels.unionByName(traced), "labels")
     # A root left without edges after the last round has no row of its own yet.
@@ -142,7 +144,7 @@ def _resolve(labels: DataFrame, rounds: list[DataFrame], work: Workspace, hot_ro
     lone = selves.join(labels.select(*OBJECT, "node"), [*OBJECT, "node"], "left_anti")
     labels = work.save(labels.unionByName(lone.withColumn("root", F.col("node"))), "labels")
     smallest = labels.groupBy(*OBJECT, "root").agg(F.min("node").alias("_least"))
-    hot = hot_keys(labels, [*OBJECT, "root"], hot_rows)
+    hot = stored_hot_keys(work, labels, [*OBJECT, "root"], hot_rows)
     renamed = skew_join(labels, smallest, [*OBJECT, "root"], hot=hot)
     return renamed.select(*OBJECT, "node", F.col("_least").alias("root"))
 

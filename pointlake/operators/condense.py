@@ -8,48 +8,45 @@ from pyspark.sql import functions as F
 from pointlake.functions.columns import XYZ_COLUMNS as XYZ
 from pointlake.functions.columns import distance
 from pointlake.functions.vectors import mean_vector_by
-from pointlake.operators.agglomerate import MAX_COMPONENT_POINTS, agglomerate
-from pointlake.operators.components import connected_components
+from pointlake.operators.agglomerate import agglomerate
 from pointlake.operators.knn_graph import OBJECT, knn_graph
 from pointlake.operators.labels import contiguous_labels
 from pointlake.operators.skew import HOT_ROWS, skew_join
 from pointlake.workspace import Workspace
 
-CLUSTER = (*OBJECT, "condensed_id")
-
-
-def condensation_map(
-    points: DataFrame, clusters: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """``(shard, root_id, pid, condensed_id, x, y, z)``, one row per point.
-
-    ``condensed_id`` counts from 0 within each object.
-    """
-    ids = contiguous_labels(clusters, OBJECT, "cluster", "condensed_id")
-    numbered = skew_join(clusters, ids, [*OBJECT, "cluster"], hot_rows=hot_rows)
-    placed = numbered.join(points.select(*OBJECT, "pid", *XYZ), [*OBJECT, "pid"])
-    return placed.select(*OBJECT, "pid", F.col("condensed_id").cast("long").alias("condensed_id"), *XYZ)
+CLUSTER = (*OBJECT, "cluster")
+LABELLED = (*OBJECT, "condensed_id")
 
 
 def summarize(
-    points: DataFrame, mapping: DataFrame, dims: int, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """One row per cluster: mean ``embedding`` and the real point nearest its centroid.
+    labelled: DataFrame, dims: int, work: Workspace | None = None, hot_rows: int = HOT_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """``(condensed, mapping)`` of stored points that carry a ``cluster``.
+
+    ``condensed`` has one row per cluster: the mean ``embedding`` and the real point
+    nearest the centroid, the smallest ``pid`` on ties. ``mapping`` has one row per
+    point. ``condensed_id`` counts from 0 within each object.
 
-    Means and centroids come from one aggregation with partial sums. The join back that
-    measures each point carries three numbers per cluster, and large clusters are split.
+    Means and centroids are one aggregation with partial sums. Only ids and coordinates
+    are then shuffled once to give each point its label and its distance to the
+    centroid; clusters of very many points are split.
     """
-    tagged = mapping.join(points.select(*OBJECT, "pid", "embedding"), [*OBJECT, "pid"])
+    work = work or Workspace(labelled.sparkSession)
     centres = [F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in XYZ]
-    means = mean_vector_by(tagged, CLUSTER, "embedding", dims, F.count(F.lit(1)).alias("n_points"), *centres)
-    centroid = means.select(*CLUSTER, *[f"mean_{c}" for c in XYZ])
-    hot = means.filter(F.col("n_points") > hot_rows).select(*CLUSTER)
-    measured = skew_join(mapping, centroid, CLUSTER, hot=hot).withColumn(
-        "_distance", distance(XYZ, [f"mean_{c}" for c in XYZ])
-    )
-    nearest = measured.groupBy(*CLUSTER).agg(F.min(F.struct("_distance", "pid", *XYZ)).alias("_best"))
-    joined = means.join(nearest, list(CLUSTER))
-    return joined.select(*CLUSTER, "embedding", *[F.col(f"_best.{c}").alias(c) for c in XYZ])
+    counted = F.count(F.lit(1)).alias("n_points")
+    means = work.save(mean_vector_by(labelled, CLUSTER, "embedding", dims, counted, *centres), "means")
+    ids = contiguous_labels(means, OBJECT, "cluster", "condensed_id")
+    known = means.select(*CLUSTER, *[f"mean_{c}" for c in XYZ]).join(ids, list(CLUSTER))
+    hot = work.save(means.filter(F.col("n_points") > hot_rows).select(*CLUSTER), "hot")
+    hot = False if hot.isEmpty() else hot
+    placed = skew_join(labelled.select(*CLUSTER, "pid", *XYZ), known, CLUSTER, hot=hot)
+    measured = placed.withColumn("distance", distance(XYZ, [f"mean_{c}" for c in XYZ]))
+    placed = work.save(measured.select(*CLUSTER, "condensed_id", "pid", *XYZ, "distance"), "placed")
+    best = F.min(F.struct("distance", "pid", *XYZ)).alias("_best")
+    nearest = placed.groupBy(*CLUSTER, "condensed_id").agg(best)
+    condensed = nearest.join(means.select(*CLUSTER, "embedding"), list(CLUSTER))
+    condensed = condensed.select(*LABELLED, "embedding", *[F.col(f"_best.{c}").alias(c) for c in XYZ])
+    return condensed, placed.select(*LABELLED, "pid", *XYZ)
 
 
 def condense(
@@ -57,25 +54,17 @@ def condense(
     threshold: float,
     dims: int,
     k: int = 3,
-    linkage: str = "ward",
-    metric: str = "euclidean",
-    method: str = "rounds",
-    max_component_points: int = MAX_COMPONENT_POINTS,
     work: Workspace | None = None,
+    **clustering,
 ) -> tuple[DataFrame, DataFrame]:
     """``(condensed, mapping)`` of stored ``points`` with ``embedding`` of ``dims`` elements.
 
-    Graph, components, clusters and mapping are stored as they are made, so each is
-    computed once however many of the later steps read it.
+    The graph and the labelled points are stored as they are made, so each is computed
+    once however many of the later steps read it. ``clustering`` goes to
+    :func:`pointlake.operators.agglomerate.agglomerate`.
     """
     work = work or Workspace(points.sparkSession)
     edges = work.save(knn_graph(points, k, work), "graph")
-    components = work.save(connected_components(points, edges, work), "components")
-    clusters = work.save(
-        agglomerate(
-            points, edges, components, threshold, linkage, metric, method, max_component_points, work
-        ),
-        "clusters",
-    )
-    mapping = work.save(condensation_map(points, clusters), "map")
-    return summarize(points, mapping, dims), mapping
+    columns = points.select(*OBJECT, "pid", *XYZ, "embedding")
+    labelled = work.save(agglomerate(columns, edges, threshold, work=work, **clustering), "labelled")
+    return summarize(labelled, dims, work)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pointlake.functions.bits import interleave
 from pointlake.functions.columns import XYZ_COLUMNS
-from pointlake.operators.skew import HOT_ROWS, skew_join
+from pointlake.operators.skew import HOT_ROWS, skew_join, stored_hot_keys
 from pointlake.workspace import Workspace
 
 OBJECT = ("shard", "root_id")
@@ -118,7 +118,8 @@ def nearest_neighbours(
         span = F.sequence(_cell(lows[c], F.col("level")), _cell(highs[c], F.col("level")))
         queries = queries.withColumn(f"c{c}", F.explode(span))
     levels = searched.select(*OBJECT, "level").distinct()
-    candidates = skew_join(searched.select(*OBJECT, "pid", *XYZ), levels, OBJECT, hot_rows=hot_rows)
+    hot = stored_hot_keys(work, searched, OBJECT, hot_rows)
+    candidates = skew_join(searched.select(*OBJECT, "pid", *XYZ), levels, OBJECT, hot=hot)
     candidates = candidates.select(
         *OBJECT,
         F.col("pid").alias("neighbour"),

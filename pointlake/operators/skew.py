@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pointlake.workspace import Workspace
+
 # A key with more rows than this is split. At most rows / HOT_ROWS keys qualify, which
 # bounds the list of hot keys that is broadcast.
 HOT_ROWS = 1_000_000
@@ -19,12 +21,26 @@ def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> Data
     return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*on)
 
 
+def stored_hot_keys(
+    work: Workspace, df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS
+) -> DataFrame | bool:
+    """Hot keys of a *stored* table, or ``False`` when it has none.
+
+    The row count of a stored table comes from its footers; below ``hot_rows`` rows no
+    key can be hot and nothing is scanned.
+    """
+    if df.count() <= hot_rows:
+        return False
+    hot = work.save(hot_keys(df, on, hot_rows), "hot")
+    return False if hot.isEmpty() else hot
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    hot: DataFrame | None = None,
+    hot: DataFrame | bool | None = None,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -33,11 +49,14 @@ def skew_join(
     Left rows of a hot key, and rows with a null key that match nothing, are spread by
     a hash of the row; right rows of a hot key are repeated once per salt. The salt
     depends on the row alone, so a retried task assigns it again. ``hot`` passes keys
-    whose counts the caller already has.
+    whose counts the caller already has, or ``False`` when it knows there are none.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
     on = list(on)
+    columns = [*left.columns, *[c for c in right.columns if c not in on]]
+    if hot is False:
+        return left.join(right, on, how).select(*columns)
     hot = hot if hot is not None else hot_keys(left, on, hot_rows)
     marks = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
     null_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
@@ -49,5 +68,4 @@ def skew_join(
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_right = right.join(marks, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    joined = salted_left.join(salted_right, [*on, "_salt"], how)
-    return joined.select(*left.columns, *[c for c in right.columns if c not in on])
+    return salted_left.join(salted_right, [*on, "_salt"], how).select(*columns)

@@ -210,7 +210,7 @@ def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def components_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     work, pts = Workspace(spark), points(spark, sf_dir)
-    return connected_components(pts, knn_graph(pts, 3, work), work)
+    return connected_components(pts, work.save(knn_graph(pts, 3, work), "graph"), work)
 
 
 def _condensed(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, DataFrame]:
@@ -225,7 +225,7 @@ def _condensed_rows(condensed: DataFrame) -> DataFrame:
 
 
 def condense_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _condensed_rows(_condensed(spark, sf_dir)[0])
+    return _condensed_rows(_condensed(spark, sf_dir, method="rounds")[0])
 
 
 def condense_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,8 +254,7 @@ def condensation_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agglomerate_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     work, pts = Workspace(spark), points(spark, sf_dir)
     edges = work.save(knn_graph(pts, 3, work), "graph")
-    parts = work.save(connected_components(pts, edges, work), "components")
-    clusters = agglomerate(pts, edges, parts, WARD_THRESHOLD, work=work)
+    clusters = agglomerate(pts, edges, WARD_THRESHOLD, method="rounds", work=work)
     return compression_ratio(clusters, ["shard", "root_id", "cluster"])
 
 
