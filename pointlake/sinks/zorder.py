@@ -16,11 +16,16 @@ from pointlake.sinks.sizes import stored_bytes
 
 
 def with_zorder(df: DataFrame, columns: Sequence[str], bits: int = 8, error: float = 0.001) -> DataFrame:
-    """Add ``_z``: interleaved quantile buckets, nulls in a bucket of their own below the rest."""
+    """Add ``_z``: interleaved quantile buckets, nulls in a bucket of their own below the rest.
+
+    The null bucket is one of the ``2**bits``, which keeps the quantile halves on the
+    halves of the curve.
+    """
     require_columns(df, columns)
-    bits = min(bits, 62 // len(columns) - 1)
+    bits = min(bits, 63 // len(columns))
+    filled = 2**bits - 1
     doubles = {f"_d{i}": F.col(c).cast("double") for i, c in enumerate(columns)}
-    quantiles = [q / 2**bits for q in range(1, 2**bits)]
+    quantiles = [q / filled for q in range(1, filled)]
     bounds = df.select(*[e.alias(n) for n, e in doubles.items()]).approxQuantile(list(doubles), quantiles, error)
     df = df.withColumns(doubles)
     buckets = {}
@@ -30,7 +35,7 @@ def with_zorder(df: DataFrame, columns: Sequence[str], bits: int = 8, error: flo
         df = bucketizer.transform(df)
         ranked = F.col(f"{name}b").cast("long") + 1
         buckets[f"{name}r"] = F.when(F.col(name).isNull(), F.lit(0).cast("long")).otherwise(ranked)
-    coded = df.withColumns(buckets).withColumn("_z", interleave(list(buckets), bits + 1))
+    coded = df.withColumns(buckets).withColumn("_z", interleave(list(buckets), bits))
     return coded.drop(*doubles, *[f"{n}b" for n in doubles], *buckets)
 
 
