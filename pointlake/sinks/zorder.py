@@ -14,6 +14,8 @@ from pointlake.functions.columns import require_columns
 from pointlake.sinks.partitioned import table_writer
 from pointlake.sinks.sizes import stored_bytes
 
+_SMALLEST_FILE = 8 * 1024**2
+
 
 def with_zorder(df: DataFrame, columns: Sequence[str], bits: int = 8, error: float = 0.001) -> DataFrame:
     """Add ``_z``: interleaved quantile buckets, nulls in a bucket of their own below the rest.
@@ -58,7 +60,10 @@ def zorder_rewrite(
     """
     table = spark.read.parquet(source)
     if files is None:
-        files = max(1, math.ceil(stored_bytes(spark, source) / file_bytes))
+        size = stored_bytes(spark, source)
+        # A table too small to fill every core with whole files is split finer.
+        finer = min(spark.sparkContext.defaultParallelism, math.ceil(size / _SMALLEST_FILE))
+        files = max(1, math.ceil(size / file_bytes), finer)
     placed = table.select("*", F.col("_metadata.row_index").alias("_row"))
     coded = with_zorder(placed, columns, bits)
     ranged = coded.repartitionByRange(files, *partition_by, "_z", "_row")

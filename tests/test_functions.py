@@ -2,6 +2,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,8 +38,8 @@ def test_every_point_encoding():
         None,
         "",
     ]
-    found = decode_points(pd.Series(texts))
-    assert [None if v is None else list(v) for v in found] == [[1, 2, 3]] * 4 + [[-3, 19649, 0], None, None]
+    found = decode_points(pa.array(texts))
+    assert found.to_pylist() == [[1, 2, 3]] * 4 + [[-3, 19649, 0], None, None]
 
 
 @pytest.mark.parametrize(
@@ -46,14 +47,20 @@ def test_every_point_encoding():
 )
 def test_bad_points_are_refused(text):
     with pytest.raises(ValueError):
-        decode_points(pd.Series([wkb(1, 2, 3), text]))
+        decode_points(pa.array([wkb(1, 2, 3), text]))
 
 
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.tuples(*[st.floats(-2e9, 2e9)] * 3), min_size=1, max_size=20), st.sampled_from("<>"))
 def test_points_truncate_toward_zero(points, order):
-    found = decode_points(pd.Series([wkb(*p, order=order) for p in points]))
-    assert [list(v) for v in found] == [[int(c) for c in p] for p in points]
+    found = decode_points(pa.array([wkb(*p, order=order) for p in points]))
+    assert found.to_pylist() == [[int(c) for c in p] for p in points]
+
+
+def test_points_of_a_sliced_batch():
+    texts = pa.array([wkb(i, i, i, srid=7 if i % 3 else None) for i in range(9)])
+    assert decode_points(texts[4:7]).to_pylist() == [[i] * 3 for i in range(4, 7)]
+    assert decode_points(pa.array([], pa.string())).to_pylist() == []
 
 
 def test_point_columns_in_spark(spark):

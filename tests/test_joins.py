@@ -46,8 +46,9 @@ def test_skew_join_spreads_a_hot_key(spark):
 def test_enrich_renames_collisions(spark):
     left = spark.createDataFrame([(1, 2.0), (2, 3.0), (None, 4.0)], "id long, size double")
     right = spark.createDataFrame([(1, 9.0, 5)], "id long, size double, root long")
-    rows = enrich(left, right).orderBy("size").collect()
-    assert [tuple(r) for r in rows] == [(1, 2.0, 9.0, 5), (2, 3.0, None, None), (None, 4.0, None, None)]
+    for hot_rows in (None, 0, 100):
+        rows = enrich(left, right, hot_rows=hot_rows).orderBy("size").collect()
+        assert [tuple(r) for r in rows] == [(1, 2.0, 9.0, 5), (2, 3.0, None, None), (None, 4.0, None, None)]
 
 
 def test_remaining_items(spark):
