@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pointlake.functions.bits import interleave
 from pointlake.functions.columns import XYZ_COLUMNS
+from pointlake.operators.labels import id_bucket, numbered
 from pointlake.operators.skew import HOT_ROWS, skew_join, stored_hot_keys
 from pointlake.workspace import Workspace
 
@@ -75,11 +76,12 @@ def nearest_neighbours(
 ) -> DataFrame:
     """``(shard, root_id, pid, neighbour)``: the ``min(k, n - 1)`` nearest other points.
 
-    Ties go to the smaller ``pid``. The result equals a brute-force search:
+    Ties go to the smaller ``pid``; a point with more than ``k`` copies of its location
+    takes the next ``k`` of them. The result equals a brute-force search:
 
-    1. Of the points sharing a location only the ``k + 1`` with the smallest ids can be
-       anyone's neighbours, except that further copies point at the first ``k``.
-    2. The remaining points are range-partitioned along a space-filling curve, which
+    1. Points with more than ``k`` copies are linked along the id order of the copies.
+       For all others, only the ``k + 1`` smallest ids of a location need be looked at.
+    2. These points are range-partitioned along a space-filling curve, which
        splits an object of any size, and get an upper bound r on their search radius.
     3. Each point looks up the at most eight cells of side >= 2r that its search ball
        touches and keeps the k nearest. Cells follow the local density, so a point is
@@ -113,7 +115,12 @@ def nearest_neighbours(
 
     lows = {c: F.col(c) - F.col("radius") for c in XYZ}
     highs = {c: F.col(c) + F.col("radius") for c in XYZ}
+    crowded = searched.filter(F.col("copy") == k + 1).select(*place)
+    n_crowded = crowded.count()
     queries = searched.select(*OBJECT, "pid", *XYZ, "radius", "level")
+    if n_crowded:
+        known = F.broadcast(crowded) if n_crowded <= _BROADCAST_ROWS else crowded
+        queries = queries.join(known, place, "left_anti")
     for c in XYZ:
         span = F.sequence(_cell(lows[c], F.col("level")), _cell(highs[c], F.col("level")))
         queries = queries.withColumn(f"c{c}", F.explode(span))
@@ -134,18 +141,33 @@ def nearest_neighbours(
     near = close.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= k)
     result = near.select(*OBJECT, "pid", "neighbour")
 
-    crowded = searched.filter(F.col("copy") == k + 1).select(*place, F.col("pid").alias("last"))
-    n_crowded = crowded.count()
     if n_crowded == 0:
         return result
-    firsts = searched.filter(F.col("copy") <= k).join(crowded, place)
-    firsts = firsts.groupBy(*place, "last").agg(F.collect_list("pid").alias("firsts"))
+    return result.unionByName(_among_copies(pts, crowded, n_crowded, k, work, hot_rows))
+
+
+def _among_copies(
+    pts: DataFrame, crowded: DataFrame, n_crowded: int, k: int, work: Workspace, hot_rows: int
+) -> DataFrame:
+    """Neighbours of points with more than ``k`` copies of their location.
+
+    All copies are equally near, so each takes the next ``k`` in id order, around the
+    end. No copy gets more than ``2 k`` links this way, however many there are.
+    """
+    place = [*OBJECT, *XYZ]
     if n_crowded <= _BROADCAST_ROWS:
-        further = pts.join(F.broadcast(firsts), place)
+        copies = pts.join(F.broadcast(crowded), place)
     else:
-        further = skew_join(pts, firsts, place, hot_rows=hot_rows)
-    further = further.filter(F.col("pid") > F.col("last"))
-    return result.unionByName(further.select(*OBJECT, "pid", F.explode("firsts").alias("neighbour")))
+        copies = skew_join(pts, crowded, place, hot_rows=hot_rows)
+    ranked = work.save(numbered(copies, place, id_bucket("pid"), ["pid"], "rank"), "copies")
+    sizes = ranked.groupBy(*place).agg(F.count(F.lit(1)).alias("size"))
+    hot = work.save(sizes.filter(F.col("size") > hot_rows).select(*place), "hot")
+    sized = skew_join(ranked, sizes, place, hot=False if hot.isEmpty() else hot)
+    steps = F.explode(F.sequence(F.lit(1), F.lit(k))).alias("step")
+    wanted = sized.select(*place, "pid", "rank", "size", steps)
+    wanted = wanted.select(*place, "pid", F.pmod(F.col("rank") + F.col("step"), F.col("size")).alias("rank"))
+    found = wanted.join(ranked.withColumnRenamed("pid", "neighbour"), [*place, "rank"])
+    return found.select(*OBJECT, "pid", "neighbour")
 
 
 def undirected(neighbours: DataFrame) -> DataFrame:

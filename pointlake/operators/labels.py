@@ -14,8 +14,8 @@ from pointlake.operators.skew import HOT_ROWS, skew_join
 BUCKET_KEYS = 1 << 20
 
 
-def _numbered(df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequence[str], name: str) -> DataFrame:
-    """Row number within each group in ``(bucket, order)`` order, starting at 0.
+def numbered(df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequence[str], name: str) -> DataFrame:
+    """Add the row number within each group in ``(bucket, order)`` order, starting at 0.
 
     Rows are numbered inside a bucket and shifted by the sizes of the buckets before
     it, so no task sorts a whole group.
@@ -30,13 +30,16 @@ def _numbered(df: DataFrame, groups: Sequence[str], bucket: Column, order: Seque
     return local.join(offsets, cell).select(*df.columns, number)
 
 
+def id_bucket(key: str, bucket_keys: int = BUCKET_KEYS) -> Column:
+    return F.floor(F.col(key) / F.lit(bucket_keys)).cast("long")
+
+
 def contiguous_labels(
     clusters: DataFrame, groups: Sequence[str], key: str, name: str, bucket_keys: int = BUCKET_KEYS
 ) -> DataFrame:
     """Distinct ``(groups, key)`` with labels 0, 1, 2, ... in key order within each group."""
     distinct = clusters.select(*groups, key).distinct()
-    bucket = F.floor(F.col(key) / F.lit(bucket_keys)).cast("long")
-    return _numbered(distinct, groups, bucket, [key], name)
+    return numbered(distinct, groups, id_bucket(key, bucket_keys), [key], name)
 
 
 def shuffled_labels(
@@ -47,10 +50,9 @@ def shuffled_labels(
     The n-th label in label order receives the n-th label in hash order.
     """
     distinct = df.select(*groups, label).distinct()
-    plain = F.floor(F.col(label) / F.lit(BUCKET_KEYS)).cast("long")
-    by_label = _numbered(distinct, groups, plain, [label], "_place")
+    by_label = numbered(distinct, groups, id_bucket(label), [label], "_place")
     hashed = distinct.withColumn("_hash", F.xxhash64(*groups, label, F.lit(seed)))
-    by_hash = _numbered(hashed, groups, F.pmod(F.col("_hash"), F.lit(buckets)), ["_hash", label], "_place")
+    by_hash = numbered(hashed, groups, F.pmod(F.col("_hash"), F.lit(buckets)), ["_hash", label], "_place")
     targets = by_hash.select(*groups, "_place", F.col(label).alias(name))
     return by_label.join(targets, [*groups, "_place"]).select(*groups, label, name)
 

@@ -48,7 +48,13 @@ def brute_edges(objects, k: int = 3):
         squares = ((xyz[:, None] - xyz[None]) ** 2).sum(axis=2)
         np.fill_diagonal(squares, np.inf)
         for i in range(len(xyz)):
-            for j in np.argsort(squares[i], kind="stable")[: min(k, len(xyz) - 1)]:
+            near = np.argsort(squares[i], kind="stable")[: min(k, len(xyz) - 1)]
+            same = np.flatnonzero((xyz == xyz[i]).all(axis=1))
+            if len(same) > k + 1:
+                # Any k copies are nearest; the rule takes the next ones in id order.
+                at = int(np.searchsorted(same, i))
+                near = same[[(at + step) % len(same) for step in range(1, k + 1)]]
+            for j in near:
                 edges.add((shard, root, min(i, int(j)), max(i, int(j))))
     return edges
 

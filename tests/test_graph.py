@@ -48,6 +48,12 @@ def test_hot_object_and_many_copies_by_joins(spark, monkeypatch):
     assert edge_set(module.undirected(neighbours)) == brute_edges(objects, 3)
 
 
+def test_copies_do_not_make_a_hub(spark):
+    edges = knn_graph(make_points(spark, {(0, 0): np.vstack([np.zeros((500, 3)), curve(20, 1) + 1])}), 3)
+    degree = module.both_directions(edges).groupBy("src").count().agg(F.max("count")).first()[0]
+    assert degree <= 2 * 3 + 3 * 12
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(*[st.sampled_from([-2.0, -0.5, 0.0, 0.1, 3.0, 1e7])] * 3), min_size=1, max_size=40))
 def test_graph_on_awkward_coordinates(spark, points):
