@@ -35,7 +35,7 @@ def test_skew_join_spreads_a_hot_key(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         left, right = _skewed(spark), spark.createDataFrame([(1, "a")], "k long, w string")
-        joined = skew_join(left, right.repartition(2), ["k"], "left", hot_rows=100, salts=16).hint("x")
+        joined = skew_join(left, right.repartition(2), ["k"], "left", hot_rows=100, salts=16)
         rows = joined.filter("k = 1").groupBy(F.spark_partition_id()).count().collect()
         assert sum(r["count"] for r in rows) == 500
         assert "BroadcastNestedLoop" not in joined._jdf.queryExecution().executedPlan().toString()
