@@ -16,7 +16,7 @@ from pointlake.functions.columns import (
     unpack,
     with_literals,
 )
-from pointlake.functions.geometry import decode_point, decode_positions, encode_point
+from pointlake.functions.geometry import decode_point, encode_point
 from pointlake.functions.vectors import array_stats, mean_vector_by
 from pointlake.operators.agglomerate import agglomerate
 from pointlake.operators.aggregates import (
