@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pointlake.functions.vectors import squared_l2
 from pointlake.sinks.partitioned import write_partitioned
 
-_TRAINING_TASKS = 32
+_TRAINING_ROWS_PER_TASK = 4096
 
 
 def nearest(df: DataFrame, vector: str, query: Sequence[float], k: int, pid: Sequence[str]) -> DataFrame:
@@ -134,8 +134,10 @@ def build_index(
         raise ValueError(f"{dims} dimensions do not split into {parts} equal parts")
     spark, width = df.sparkSession, dims // parts
     keyed = df.select(F.xxhash64(*pid, F.lit(seed)).alias("order"), F.col(vector).alias("_vector"))
-    tasks = min(spark.sparkContext.defaultParallelism, _TRAINING_TASKS)
-    training = keyed.orderBy("order").limit(training_rows).repartition(tasks).persist()
+    sampled = min(training_rows, df.count())
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, sampled // _TRAINING_ROWS_PER_TASK))
+    training = keyed.orderBy("order").limit(training_rows)
+    training = (training.repartition(tasks) if tasks > 1 else training).persist()
     rows = training.select(array_to_vector(F.col("_vector").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=20).fit(rows)
     centres = np.array(model.clusterCenters())
