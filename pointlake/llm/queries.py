@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pointlake.llm import decontamination, packing, sharding, tokens
+from pointlake.llm import chat, decontamination, packing, sharding, tokens, topk
 
-_MODULES = [decontamination, packing, sharding, tokens]
+_MODULES = [chat, decontamination, packing, sharding, tokens, topk]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
