@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pointlake.llm import chat, decontamination, packing, sharding, tokens, topk
+from pointlake.llm import chat, decontamination, language, packing, sharding, tokens, topk, toxicity
 
-_MODULES = [chat, decontamination, packing, sharding, tokens, topk]
+_MODULES = [chat, decontamination, language, packing, sharding, tokens, topk, toxicity]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
