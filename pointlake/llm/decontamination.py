@@ -189,6 +189,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     if remove == "documents":
         return found.filter(F.col("hits.n_hit") == 0).select(*docs.columns)
     at, hits = found.columns.index(text), found.columns.index("hits")
+    fields = [f for f in found.schema.fields if f.name != "hits"]
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,10 +200,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
             ]
             columns = [pa.array(cut, type=pa.binary()).cast(pa.string()) if i == at else c
                        for i, c in enumerate(batch.columns) if i != hits]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in found.columns if n != "hits"])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    cleaned = found.mapInArrow(run, T.StructType([f for f in found.schema.fields if f.name != "hits"]))
-    return cleaned.select(*docs.columns)
+    return found.mapInArrow(run, T.StructType(fields)).select(*docs.columns)
 
 
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:

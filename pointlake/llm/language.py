@@ -22,7 +22,7 @@ FILTERS = 16  # per width
 WINDOW = 256
 # Labelled windows the network is fitted on, over all languages; one window per document.
 TRAIN_ROWS = 6000
-EPOCHS = 12
+STEPS = 600  # batches the network is fitted on, whatever the number of windows
 UNDETERMINED = "und"
 # A text whose best language is less likely than this is rejected by the pipeline.
 MIN_SCORE = 0.35
@@ -83,7 +83,7 @@ def to_windows(texts: Sequence[bytes], size: int = WINDOW) -> tuple[np.ndarray,
     return np.frombuffer(padded, dtype=np.uint8).reshape(-1, size), np.repeat(np.arange(len(texts)), counts)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: int = 0, epochs: int = EPOCHS) -> Network:
+def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: int = 0, steps: int = STEPS) -> Network:
     """Fit the network by Adam; languages weigh alike however many windows they have."""
     rng = np.random.default_rng(seed)
     tables = {w: rng.normal(0, 0.3, size=(w, 256, FILTERS)).astype(np.float32) for w in WIDTHS}
@@ -96,7 +96,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
     weight = (len(labels) / (len(languages) * np.maximum(counts, 1))).astype(np.float32)
     moments: dict = {}
     step = 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(windows))
         for at in range(0, len(order), _BATCH):
             rows = order[at : at + _BATCH]

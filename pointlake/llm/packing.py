@@ -159,7 +159,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, work: Workspace | None = N
     histogram = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan, _ = plan_best_fit(histogram, capacity)
     ranked = stored.join(first, ["length", "part"]).withColumn("rank", F.col("first") + F.col("local"))
-    return _take_slots(ranked.drop("first", "part", "local"), plan)
+    carried = [c for c in pieces.columns if c not in ("part", "local")]
+    return _take_slots(ranked.select(*carried, "rank"), plan)
 
 
 def _take_slots(ranked: DataFrame, plan: Mapping[int, list[Slots]]) -> DataFrame:
