@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointlake.operators.components import component_edges, connected_components, smallest_reachable
+from pointlake.operators.components import component_edges, connected_components
 from pointlake.operators.knn_graph import OBJECT, both_directions
 from pointlake.operators.skew import HOT_ROWS, skew_join, stored_hot_keys
 from pointlake.workspace import Workspace
@@ -22,42 +21,72 @@ POINT = (*OBJECT, "pid")
 # Points clustered together in one task at most, and points aimed at per task.
 MAX_TASK_POINTS = 50_000
 _TASK_POINTS = 50_000
+# The proposals' order in a round; SQL can compute it too.
+_PRIME = 1_000_003
+_FACTORS = (7919, 104_729, 15_485_863)
 
 
 # --- task helpers: the same definition on the arrays of one task ---------------------
 
 
+def _square_sum(values: np.ndarray) -> np.ndarray:
+    """Sum of squares per row, dimension after dimension as the joins add them."""
+    total = np.zeros(len(values))
+    for column in values.T:
+        total += column * column
+    return total
+
+
 def _pair_distance(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
-        norms = [np.linalg.norm(m, axis=1, keepdims=True) for m in (left, right)]
+        norms = [np.sqrt(_square_sum(m))[:, None] for m in (left, right)]
         left, right = (m / np.where(n == 0, 1, n) for m, n in zip((left, right), norms, strict=True))
-        return 0.5 * ((left - right) ** 2).sum(axis=1)
-    return np.sqrt(((left - right) ** 2).sum(axis=1))
+        return 0.5 * _square_sum(left - right)
+    return np.sqrt(_square_sum(left - right))
 
 
 def _ward(n_a, mean_a, n_b, mean_b):
-    return np.sqrt(2.0 * n_a * n_b / (n_a + n_b) * ((mean_a - mean_b) ** 2).sum(axis=-1))
-
-
-def _rounds(src, dst, vectors, threshold, linkage, metric):
-    """Merge mutual nearest clusters below the threshold until none is left."""
+    return np.sqrt(2.0 * n_a * n_b / (n_a + n_b) * _square_sum(mean_a - mean_b))
+
+
+def _matched(src, dst, weight, pid, turn):
+    """Pairs of clusters that merge in a round: see :func:`agglomerate`."""
+    n = len(pid)
+    ends, others = np.concatenate([src, dst]), np.concatenate([dst, src])
+    order = np.lexsort((others, np.tile(weight, 2), ends))
+    asks, first = np.unique(ends[order], return_index=True)
+    asked = others[order][first]
+    pairs, votes = np.unique(np.sort(np.column_stack([asks, asked]), axis=1), axis=0, return_counts=True)
+    keep, gone = pairs.T
+    order = np.lexsort((gone, keep, np.where(votes == 2, 0, 1 + _turn_order(pid[keep], pid[gone], turn))))
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    best = np.full(n, len(order))
+    for end in (keep, gone):
+        np.minimum.at(best, end, place)
+    chosen = (best[keep] == place) & (best[gone] == place)
+    return keep[chosen], gone[chosen]
+
+
+def _turn_order(keep, gone, turn):
+    """A number that orders proposals anew each round; plain arithmetic, so it is the same everywhere."""
+    mixed = keep % _PRIME * _FACTORS[0] + gone % _PRIME * _FACTORS[1] + turn * _FACTORS[2]
+    return mixed % _PRIME
+
+
+def _rounds(src, dst, vectors, pid, threshold, linkage, metric):
+    """Rounds of merges until no linked pair is closer than the threshold; returns owners and rounds."""
     n = len(vectors)
     owner, count, means = np.arange(n), np.ones(n), vectors
     weight = _pair_distance(vectors[src], vectors[dst], metric)
+    turn = 0
     while len(src):
         if linkage == "ward":
             weight = _ward(count[src], means[src], count[dst], means[dst])
         below = weight < threshold
-        ends = np.concatenate([src[below], dst[below]])
-        others = np.concatenate([dst[below], src[below]])
-        order = np.lexsort((others, np.tile(weight[below], 2), ends))
-        first = np.unique(ends[order], return_index=True)
-        nearest = np.full(n, -1)
-        nearest[first[0]] = others[order][first[1]]
-        keep = np.flatnonzero((nearest >= 0) & (nearest[nearest] == np.arange(n)) & (np.arange(n) < nearest))
-        if not len(keep):
+        if not below.any():
             break
-        gone = nearest[keep]
+        keep, gone = _matched(src[below], dst[below], weight[below], pid, turn)
         total = count[keep] + count[gone]
         means = means.copy()
         means[keep] = (means[keep] * count[keep, None] + means[gone] * count[gone, None]) / total[:, None]
@@ -69,56 +98,11 @@ def _rounds(src, dst, vectors, threshold, linkage, metric):
         frame[["a", "b"]] = np.sort(frame[["a", "b"]].to_numpy(), axis=1)
         frame = frame[frame["a"] != frame["b"]].groupby(["a", "b"], sort=False)["w"].max().reset_index()
         src, dst, weight = (frame[c].to_numpy() for c in "abw")
-    return owner
+        turn += 1
+    return owner, turn
 
 
-def _greedy(src, dst, vectors, threshold, linkage, metric):
-    """Merge the closest linked pair each time, up to one cluster, then undo the last
-    merges: as many as had a distance of at least the threshold."""
-    n = len(vectors)
-    counts, means = [1.0] * n, list(vectors)
-    links: list[dict[int, float]] = [{} for _ in range(n)]
-    first = _pair_distance(vectors[src], vectors[dst], metric)
-    heap = []
-    for a, b, d in zip(src.tolist(), dst.tolist(), first.tolist(), strict=True):
-        links[a][b] = links[b][a] = d
-        heap.append((d, max(a, b), min(a, b)))
-    heapq.heapify(heap)
-    alive = [True] * n
-    merges = []
-    while heap:
-        d, a, b = heapq.heappop(heap)
-        if not (alive[a] and alive[b]):
-            continue
-        alive[a] = alive[b] = False
-        new = len(links)
-        merges.append((d, a, b))
-        total = counts[a] + counts[b]
-        means.append((means[a] * counts[a] + means[b] * counts[b]) / total)
-        counts.append(total)
-        alive.append(True)
-        near: dict[int, float] = {}
-        for side in (a, b):
-            for other, w in links[side].items():
-                if alive[other]:
-                    near[other] = max(w, near.get(other, w))
-        if linkage == "ward" and near:
-            ids = list(near)
-            sizes = np.array([counts[i] for i in ids])
-            near = dict(zip(ids, _ward(total, means[new], sizes, np.stack([means[i] for i in ids])), strict=True))
-        links.append(near)
-        for other, w in near.items():
-            links[other][new] = w
-            heapq.heappush(heap, (w, new, other))
-    kept = len(merges) - sum(d >= threshold for d, _, _ in merges)
-    owner = list(range(n + kept))
-    for place in range(kept - 1, -1, -1):
-        _, a, b = merges[place]
-        owner[a] = owner[b] = owner[n + place]
-    return np.array(owner[:n])
-
-
-def _labeller(threshold: float, linkage: str, metric: str, method: str):
+def _labeller(threshold: float, linkage: str, metric: str):
     """Task helper: name the cluster of every point of the objects in one bucket."""
 
     def label(points: pa.Table, edges: pa.Table) -> pa.Table:
@@ -131,25 +115,9 @@ def _labeller(threshold: float, linkage: str, metric: str, method: str):
         )
         flat = pa.concat_arrays(points["embedding"].chunks).flatten() if n else pa.array([], pa.float32())
         vectors = flat.to_numpy(zero_copy_only=False).astype("float64").reshape(n, -1 if n else 0)
-        if method == "rounds":
-            owner = _rounds(src, dst, vectors, threshold, linkage, metric)
-        else:
-            # The cut counts merges, so components are taken one at a time.
-            owner = np.arange(n)
-            component = smallest_reachable(n, src, dst)
-            by_component = np.argsort(component, kind="stable")
-            edge_order = np.argsort(component[src], kind="stable")
-            names, starts = np.unique(component[by_component], return_index=True)
-            first = np.searchsorted(component[src][edge_order], names)
-            place = np.empty(n, dtype="int64")
-            for members, mine in zip(
-                np.split(by_component, starts[1:]), np.split(edge_order, first[1:]), strict=True
-            ):
-                place[members] = np.arange(len(members))
-                part = _greedy(place[src[mine]], place[dst[mine]], vectors[members], threshold, linkage, metric)
-                _, smallest, cluster_of = np.unique(part, return_index=True, return_inverse=True)
-                owner[members] = members[smallest[cluster_of]]
-        return points.append_column("cluster", pa.array(points["pid"].to_numpy()[owner], pa.int64()))
+        pid = points["pid"].to_numpy()
+        owner, _ = _rounds(src, dst, vectors, pid, threshold, linkage, metric)
+        return points.append_column("cluster", pa.array(pid[owner], pa.int64()))
 
     return label
 
@@ -212,27 +180,24 @@ def _distributed_rounds(
     ward = linkage == "ward"
     mean = F.col("embedding").cast("array<double>").alias("mean")
     clusters = work.save(points.select(*OBJECT, F.col("pid").alias("cluster"), F.lit(1.0).alias("n"), mean), "clusters")
-    members = points.withColumn("cluster", F.col("pid"))
-    kept = points.columns
+    # Only ids go through the rounds; the vectors join again at the end.
+    members = work.save(points.select(*POINT, F.col("pid").alias("cluster")), "members")
     weight = _sql_ward("n_src", "mean_src", "n_dst", "mean_dst") if ward else _sql_pair("mean_src", "mean_dst", metric)
     live = work.save(edges.select(*OBJECT, "src", "dst"), "linked")
     live = _attach(live, clusters, _hubs(work, live, hot_rows))
     live = work.save(live.select(*OBJECT, "src", "dst", weight.alias("weight")), "weighted")
+    turn = 0
     while True:
         near = both_directions(live.filter(F.col("weight") < threshold))
-        best = near.groupBy(*OBJECT, "src").agg(F.min(F.struct("weight", "dst")).alias("best"))
-        pair = best.select(
-            *OBJECT, F.least("src", "best.dst").alias("keep"), F.greatest("src", "best.dst").alias("gone")
-        )
-        # A pair chosen from both ends appears twice.
-        chosen = pair.groupBy(*OBJECT, "keep", "gone").agg(F.count(F.lit(1)).alias("votes")).filter("votes = 2")
-        merges = work.save(chosen.drop("votes"), "merges")
+        merges = work.save(_sql_matched(near, turn), "merges")
         if merges.isEmpty():
-            return members
+            # A cluster id occurs once per point, and a point once on either side.
+            return points.join(members, list(POINT))
+        turn += 1
         step = merges.select(*OBJECT, F.col("gone").alias("cluster"), F.col("keep").alias("_to"))
         hot = stored_hot_keys(work, members, [*OBJECT, "cluster"], hot_rows)
         moved = skew_join(members, step, [*OBJECT, "cluster"], "left", hot=hot)
-        members = work.save(moved.select(*kept, F.coalesce("_to", "cluster").alias("cluster")), "members")
+        members = work.save(moved.select(*POINT, F.coalesce("_to", "cluster").alias("cluster")), "members")
         hubs = _hubs(work, live, hot_rows)
         stay = merges.select(*OBJECT, F.col("keep").alias("cluster"), F.lit(None).cast("long").alias("_to"))
         touched = step.unionByName(stay).withColumn("_hit", F.lit(True))
@@ -255,6 +220,21 @@ def _distributed_rounds(
         live = work.save(live, "weighted")
 
 
+def _sql_matched(near: DataFrame, turn: int) -> DataFrame:
+    """:func:`_matched` over links in both directions; each node picks one proposal, both ends must agree."""
+    best = near.groupBy(*OBJECT, "src").agg(F.min(F.struct("weight", "dst")).alias("best"))
+    asked = best.select(*OBJECT, F.least("src", "best.dst").alias("keep"), F.greatest("src", "best.dst").alias("gone"))
+    proposals = asked.groupBy(*OBJECT, "keep", "gone").agg(F.count(F.lit(1)).alias("votes"))
+    keep, gone = (F.pmod(c, F.lit(_PRIME)) for c in ("keep", "gone"))
+    mixed = keep * F.lit(_FACTORS[0]) + gone * F.lit(_FACTORS[1]) + F.lit(turn * _FACTORS[2])
+    order = F.when(F.col("votes") == 2, F.lit(0)).otherwise(F.pmod(mixed, F.lit(_PRIME)) + 1).cast("long")
+    ranked = proposals.select(*OBJECT, F.struct(order.alias("order"), "keep", "gone").alias("rank"))
+    ends = ranked.select(*OBJECT, F.explode(F.array("rank.keep", "rank.gone")).alias("node"), "rank")
+    picks = ends.groupBy(*OBJECT, "node").agg(F.min("rank").alias("rank"))
+    agreed = picks.groupBy(*OBJECT, "rank.keep", "rank.gone").agg(F.count(F.lit(1)).alias("picks"))
+    return agreed.filter("picks = 2").drop("picks")
+
+
 def _merge_clusters(clusters: DataFrame, merges: DataFrame) -> DataFrame:
     """Replace both clusters of each merge by their union; a cluster is in at most one."""
     gone = clusters.select(*OBJECT, F.col("cluster").alias("gone"), F.col("n").alias("n_b"), F.col("mean").alias("b"))
@@ -273,7 +253,6 @@ def agglomerate(
     threshold: float,
     linkage: str = "ward",
     metric: str = "euclidean",
-    method: str = "auto",
     max_task_points: int = MAX_TASK_POINTS,
     work: Workspace | None = None,
     hot_rows: int = HOT_ROWS,
@@ -281,40 +260,36 @@ def agglomerate(
     """``points`` with the ``cluster`` of each; a cluster is named by its smallest ``pid``.
 
     Only linked clusters merge. ``linkage`` is ``ward`` (increase in variance) or
-    ``complete`` (largest link between the two). ``method``:
-
-    ``rounds``
-        Every round merges all pairs that are each other's nearest linked cluster and
-        closer than ``threshold``.
-    ``greedy``
-        One globally closest pair at a time and a cut by merge count, which is the
-        order of the usual single-machine algorithm. It is sequential within a
-        component, so a component above ``max_task_points`` is refused.
-    ``auto``
-        ``greedy`` for components up to ``max_task_points``, ``rounds`` for larger ones.
+    ``complete`` (largest link between the two). In a round every cluster with a link
+    shorter than ``threshold`` proposes to merge with the nearest of them, the smaller id
+    on ties. Of the proposals that meet in a cluster one is picked: one that both sides
+    made, or else the first in an order that changes each round. A proposal that both its
+    ends pick merges. Rounds go on until there is no proposal.
 
-    For ``complete`` the two agree; for ``ward`` they may differ where merge distances
-    are not monotone.
+    Mutual proposals always merge, as closest pairs do when taken one at a time; the
+    others keep the number of rounds logarithmic even where distances shrink along a
+    path. The result does not depend on how the work is divided: a point set of any size
+    is clustered by the same definition and the same order of additions.
 
     Objects of up to ``max_task_points`` are clustered whole, many per task, with one
     shuffle of the vectors. A larger object is taken apart into its components, which
     are independent; a component that is still larger runs the rounds as joins over
-    all such components at once. For ``rounds`` the size decides where, not what.
+    all such components at once.
     """
-    if linkage not in ("ward", "complete") or method not in ("rounds", "greedy", "auto"):
-        raise ValueError(f"unsupported linkage {linkage!r} or method {method!r}")
+    if linkage not in ("ward", "complete"):
+        raise ValueError(f"unsupported linkage {linkage!r}")
     if linkage == "ward" and metric != "euclidean":
         raise ValueError("ward linkage needs the euclidean metric")
     work = work or Workspace(points.sparkSession)
-    labeller = _labeller(threshold, linkage, metric, method)
+    labeller = _labeller(threshold, linkage, metric)
 
     objects = points.groupBy(*OBJECT).agg(F.count(F.lit(1)).alias("n"))
     total, largest = _total_and_largest(objects)
     if largest <= max_task_points:
         return _labelled_in_tasks(points, edges, OBJECT, total, labeller)
 
-    # At most (points / max_task_points) groups are large: a short list, both times.
-    large = F.broadcast(work.save(objects.filter(F.col("n") > max_task_points).select(*OBJECT), "large-objects"))
+    # The lists of large groups are stored, so the optimizer broadcasts them if they are short.
+    large = work.save(objects.filter(F.col("n") > max_task_points).select(*OBJECT), "large-objects")
     whole = [df.join(large, list(OBJECT), "left_anti") for df in (points, edges)]
     labelled = _labelled_in_tasks(*whole, OBJECT, total, labeller)
 
@@ -322,12 +297,10 @@ def agglomerate(
     components = work.save(connected_components(points, edges, work, hot_rows=hot_rows), "components")
     sizes = components.groupBy(*COMPONENT).agg(F.count(F.lit(1)).alias("n"))
     total, largest = _total_and_largest(sizes)
-    if largest > max_task_points and method == "greedy":
-        raise ValueError(f"a component has {largest} points; use method='rounds' above {max_task_points}")
     columns = points.columns
     points = points.join(components, list(POINT))
     edges = component_edges(edges, components)
-    big = F.broadcast(work.save(sizes.filter(F.col("n") > max_task_points).select(*COMPONENT), "large-components"))
+    big = work.save(sizes.filter(F.col("n") > max_task_points).select(*COMPONENT), "large-components")
     small = [df.join(big, list(COMPONENT), "left_anti") for df in (points, edges)]
     labelled = labelled.unionByName(
         _labelled_in_tasks(*small, COMPONENT, total, labeller).select(*columns, "cluster")

@@ -26,6 +26,79 @@ edges AS (
 """
 )
 
+# Rounds of merges over (round, root_id, pid, cluster), as agglomerate() defines them.
+_WARD_WEIGHTS = """
+        cells AS (SELECT c.cluster, v.i, avg(v.v) AS m FROM cur c JOIN cell v ON v.pid = c.pid GROUP BY ALL),
+        sizes AS (SELECT cluster, count(*) AS n FROM cur GROUP BY ALL),
+        links AS (
+          SELECT DISTINCT least(a.cluster, b.cluster) AS a, greatest(a.cluster, b.cluster) AS b
+          FROM edges e JOIN cur a ON a.pid = e.src JOIN cur b ON b.pid = e.dst WHERE a.cluster <> b.cluster),
+        weighed AS (
+          SELECT l.a, l.b, sqrt(2.0 * s.n * t.n / (s.n + t.n) * sum((x.m - y.m) * (x.m - y.m))) AS w
+          FROM links l JOIN cells x ON x.cluster = l.a JOIN cells y ON y.cluster = l.b AND y.i = x.i
+          JOIN sizes s ON s.cluster = l.a JOIN sizes t ON t.cluster = l.b GROUP BY l.a, l.b, s.n, t.n)
+"""
+_COSINE_WEIGHTS = """
+        weighed AS (
+          SELECT least(a.cluster, b.cluster) AS a, greatest(a.cluster, b.cluster) AS b, max(e.w) AS w
+          FROM apart e JOIN cur a ON a.pid = e.src JOIN cur b ON b.pid = e.dst WHERE a.cluster <> b.cluster GROUP BY ALL)
+"""
+
+
+def _merged(weights: str, threshold: float) -> str:
+    return f"""
+      WITH RECURSIVE {_EDGES},
+      cell AS (
+        SELECT pid, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS i FROM points),
+      length AS (SELECT pid, sqrt(sum(v * v)) AS n FROM cell GROUP BY pid),
+      apart AS (
+        SELECT e.src, e.dst, 0.5 * sum((a.v / p.n - b.v / q.n) * (a.v / p.n - b.v / q.n)) AS w
+        FROM edges e JOIN cell a ON a.pid = e.src JOIN cell b ON b.pid = e.dst AND b.i = a.i
+        JOIN length p ON p.pid = e.src JOIN length q ON q.pid = e.dst GROUP BY e.src, e.dst),
+      turns AS (
+        SELECT 0 AS turn, shard, root_id, pid, pid AS cluster FROM points
+        UNION ALL
+        (WITH cur AS (SELECT * FROM turns),
+        {weights},
+        near AS (
+          SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY w, dst) AS r
+          FROM (SELECT a AS src, b AS dst, w FROM weighed UNION ALL SELECT b, a, w FROM weighed) WHERE w < {threshold}),
+        proposals AS (
+          SELECT least(src, dst) AS keep, greatest(src, dst) AS gone, count(*) AS votes FROM near WHERE r = 1 GROUP BY ALL),
+        ranked AS (
+          SELECT keep, gone, CASE votes WHEN 2 THEN 0 ELSE 1 + ((keep % 1000003) * 7919 + (gone % 1000003) * 104729
+                   + (SELECT max(turn) FROM cur) * 15485863) % 1000003 END AS p FROM proposals),
+        picks AS (
+          SELECT keep, gone, row_number() OVER (PARTITION BY node ORDER BY p, keep, gone) AS r
+          FROM (SELECT keep AS node, * FROM ranked UNION ALL SELECT gone AS node, * FROM ranked)),
+        merges AS (SELECT keep, gone FROM picks WHERE r = 1 GROUP BY ALL HAVING count(*) = 2)
+        SELECT c.turn + 1, c.shard, c.root_id, c.pid, coalesce(m.keep, c.cluster)
+        FROM cur c LEFT JOIN merges m ON m.gone = c.cluster WHERE EXISTS (SELECT 1 FROM merges))),
+      merged AS (SELECT shard, root_id, pid, cluster FROM turns WHERE turn = (SELECT max(turn) FROM turns))
+    """
+
+
+def _condensed_sql(weights: str, threshold: float) -> str:
+    return f"""
+      {_merged(weights, threshold)},
+      centres AS (
+        SELECT m.cluster, avg(CAST(x AS DOUBLE)) AS mx, avg(CAST(y AS DOUBLE)) AS my, avg(CAST(z AS DOUBLE)) AS mz,
+               avg(CAST(embedding[1] AS DOUBLE)) AS first
+        FROM merged m JOIN points p ON p.pid = m.pid GROUP BY m.cluster),
+      placed AS (
+        SELECT m.shard, m.root_id, m.cluster, p.x, p.y, p.z, c.first,
+               row_number() OVER (PARTITION BY m.cluster ORDER BY
+                 round(sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz)), 9), p.pid) AS r
+        FROM merged m JOIN points p ON p.pid = m.pid JOIN centres c ON c.cluster = m.cluster)
+      SELECT shard, root_id, row_number() OVER (PARTITION BY root_id ORDER BY cluster) - 1 AS condensed_id,
+             round(CAST(x AS DOUBLE), 5) AS x, round(CAST(y AS DOUBLE), 5) AS y, round(CAST(z AS DOUBLE), 5) AS z,
+             round(CAST(CAST(first AS FLOAT) AS DOUBLE), 4) AS first
+      FROM placed WHERE r = 1
+    """
+
+
+_WARD = _condensed_sql(_WARD_WEIGHTS, 1.6)
+
 _SYNAPSES = """
 synapses AS (
   SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS x, l_suppkey AS y, l_orderkey AS z,
@@ -129,6 +202,12 @@ ORACLES: dict[str, str] = {
         SELECT p.shard, p.root_id, p.pid, min(r.node) AS component
         FROM points p JOIN reach r ON p.root_id = r.root_id AND p.pid = r.pid
         GROUP BY p.shard, p.root_id, p.pid""",
+    "condense_ward": _WARD,
+    "condense_ward_joins": _WARD,
+    "condense_cosine": _condensed_sql(_COSINE_WEIGHTS, 0.8),
+    "agglomerate_ratio": f"""
+        {_merged(_WARD_WEIGHTS, 1.6)}
+        SELECT count(DISTINCT cluster) / count(*) AS ratio FROM merged""",
     "condensation_cover": f"""
         WITH {_POINTS}
         SELECT shard, root_id, count(*) AS n_points, round(sum(CAST(x AS DOUBLE)), 5) AS sum_x,

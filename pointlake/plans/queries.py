@@ -225,11 +225,12 @@ def _condensed_rows(condensed: DataFrame) -> DataFrame:
 
 
 def condense_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _condensed_rows(_condensed(spark, sf_dir, method="rounds")[0])
+    return _condensed_rows(_condensed(spark, sf_dir)[0])
 
 
-def condense_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _condensed_rows(_condensed(spark, sf_dir, method="greedy")[0])
+def condense_ward_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clusters with every component of more than 8 points merged by joins."""
+    return _condensed_rows(_condensed(spark, sf_dir, max_task_points=8, hot_rows=20)[0])
 
 
 def condense_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +255,7 @@ def condensation_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agglomerate_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     work, pts = Workspace(spark), points(spark, sf_dir)
     edges = work.save(knn_graph(pts, 3, work), "graph")
-    clusters = agglomerate(pts, edges, WARD_THRESHOLD, method="rounds", work=work)
+    clusters = agglomerate(pts, edges, WARD_THRESHOLD, work=work)
     return compression_ratio(clusters, ["shard", "root_id", "cluster"])
 
 
@@ -465,7 +466,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_edges": knn_edges,
     "components": components_query,
     "condense_ward": condense_ward,
-    "condense_greedy": condense_greedy,
+    "condense_ward_joins": condense_ward_joins,
     "condense_cosine": condense_cosine,
     "condensation_cover": condensation_cover,
     "agglomerate_ratio": agglomerate_ratio,

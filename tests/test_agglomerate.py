@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from conftest import curve, make_points
 
-from pointlake.operators.agglomerate import _greedy, agglomerate
+from pointlake.operators.agglomerate import _rounds, agglomerate
 from pointlake.operators.knn_graph import knn_graph
 from pointlake.workspace import Workspace
 
@@ -29,15 +29,13 @@ def case(spark):
 )
 def test_rounds_are_the_same_in_tasks_and_as_joins(spark, case, linkage, metric, threshold):
     points, edges, _, _ = case
-    whole = agglomerate(points, edges, threshold, linkage, metric, "rounds")
+    whole = agglomerate(points, edges, threshold, linkage, metric)
     assert whole.columns == [*points.columns, "cluster"]
     expected = labels(whole)
     assert 10 < len(set((*k[:2], v) for k, v in expected.items())) < len(expected) - 10
     # 30: large objects by component; 8: components above it run as joins.
     limit, hot_rows = (8, 5) if linkage == "ward" else (8, 1_000_000)
-    assert labels(agglomerate(points, edges, threshold, linkage, metric, "rounds", limit, hot_rows=hot_rows)) == expected
-    if linkage == "complete":
-        assert labels(agglomerate(points, edges, threshold, linkage, metric, "greedy")) == expected
+    assert labels(agglomerate(points, edges, threshold, linkage, metric, limit, hot_rows=hot_rows)) == expected
 
 
 def naive_greedy(vectors, pairs, threshold):
@@ -61,45 +59,82 @@ def naive_greedy(vectors, pairs, threshold):
     return {tuple(sorted(g)) for g in history[len(heights) - undone].values()}
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_greedy_equals_a_naive_implementation(seed):
+def naive_rounds(vectors, pairs, pid, threshold):
+    """The documented ward rounds, recomputed from scratch each time."""
+    groups = {i: [i] for i in range(len(vectors))}
+    turn = 0
+    while True:
+        owner = {m: g for g, members in groups.items() for m in members}
+        linked = {tuple(sorted((owner[a], owner[b]))) for a, b in pairs if owner[a] != owner[b]}
+        near: dict[int, tuple[float, int]] = {}
+        for a, b in linked:
+            x, y = vectors[groups[a]], vectors[groups[b]]
+            d = np.sqrt(2 * len(x) * len(y) / (len(x) + len(y)) * ((x.mean(0) - y.mean(0)) ** 2).sum())
+            if d < threshold:
+                for end, other in ((a, b), (b, a)):
+                    near[end] = min(near.get(end, (np.inf, 0)), (d, other))
+        if not near:
+            return {tuple(sorted(g)) for g in groups.values()}
+        asked = [tuple(sorted((a, b))) for a, (_, b) in near.items()]
+
+        def rank(p):
+            k, g = int(pid[p[0]]), int(pid[p[1]])
+            turned = (k % 1000003 * 7919 + g % 1000003 * 104729 + turn * 15485863) % 1000003
+            return (0 if asked.count(p) == 2 else 1 + turned, p)
+
+        best = {e: min((rank(p) for p in asked if e in p)) for p in asked for e in p}
+        for p in set(asked):
+            if best[p[0]] == best[p[1]] == rank(p):
+                groups[p[0]] = groups[p[0]] + groups.pop(p[1])
+        turn += 1
+
+
+def _random_case(seed, n=25):
     rng = np.random.default_rng(seed)
-    n = 25
     vectors = np.cumsum(rng.normal(size=(n, 4)), axis=0)
     pairs = {(i, i + 1) for i in range(n - 1)} | {tuple(sorted(map(int, rng.choice(n, 2, replace=False)))) for _ in range(12)}
-    src, dst = np.array(sorted(pairs)).T
+    return vectors, sorted(pairs)
+
+
+def _groups(owner):
+    return {tuple(np.flatnonzero(owner == c).tolist()) for c in np.unique(owner)}
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_rounds_equal_a_naive_implementation(seed):
+    vectors, pairs = _random_case(seed)
+    pid = np.arange(len(vectors)) * 10**12 + seed
+    src, dst = np.array(pairs).T
     for threshold in (1.0, 3.0, 6.0, 100.0):
-        owner = _greedy(src, dst, vectors, threshold, "ward", "euclidean")
-        found = {tuple(np.flatnonzero(owner == c).tolist()) for c in np.unique(owner)}
-        assert found == naive_greedy(vectors, pairs, threshold)
-
-
-def test_greedy_in_spark_takes_components_apart(spark, case):
-    points, edges, objects, features = case
-    found = labels(agglomerate(points, edges, 2.0, method="greedy"))
-    rows = edges.collect()
-    from test_graph import union_find
-
-    for (shard, root), xyz in objects.items():
-        pairs = [(r["src"], r["dst"]) for r in rows if (r["shard"], r["root_id"]) == (shard, root)]
-        component = union_find(len(xyz), pairs)
-        for c in set(component):
-            mine = [i for i in range(len(xyz)) if component[i] == c]
-            place = {p: i for i, p in enumerate(mine)}
-            inner = [(place[a], place[b]) for a, b in pairs if component[a] == c]
-            vectors = features[(shard, root)][mine].astype("float64")
-            expected = {tuple(mine[i] for i in g) for g in naive_greedy(vectors, inner, 2.0)}
-            groups: dict[int, list[int]] = {}
-            for p in mine:
-                groups.setdefault(found[(shard, root, p)], []).append(p)
-            assert {tuple(g) for g in groups.values()} == expected
-            assert all(name == min(g) for name, g in groups.items())
+        owner, _ = _rounds(src, dst, vectors, pid, threshold, "ward", "euclidean")
+        assert _groups(owner) == naive_rounds(vectors, pairs, pid, threshold)
+
+
+def test_rounds_mostly_agree_with_one_closest_pair_at_a_time():
+    shares = []
+    for seed in range(12):
+        vectors, pairs = _random_case(seed, 60)
+        src, dst = np.array(pairs).T
+        owner, _ = _rounds(src, dst, vectors, np.arange(60), 3.0, "ward", "euclidean")
+        label = {p: i for i, g in enumerate(naive_greedy(vectors, pairs, 3.0)) for p in g}
+        other = np.array([label[p] for p in range(60)])
+        same = (owner[:, None] == owner[None, :]) == (other[:, None] == other[None, :])
+        shares.append(same.mean())
+    assert np.mean(shares) > 0.95
+
+
+@pytest.mark.parametrize("linkage", ["ward", "complete"])
+def test_shrinking_gaps_take_few_rounds(linkage):
+    n = 2000
+    gaps = np.linspace(2.0, 1.0, n - 1)
+    vectors = np.concatenate([[0.0], np.cumsum(gaps)])[:, None]
+    src = np.arange(n - 1)
+    owner, turns = _rounds(src, src + 1, vectors, np.arange(n), 1e9, linkage, "euclidean")
+    assert len(np.unique(owner)) == 1 and turns <= 40
 
 
 def test_limits_are_explicit(spark, case):
     points, edges, _, _ = case
-    with pytest.raises(ValueError, match="method='rounds'"):
-        agglomerate(points, edges, 2.0, method="greedy", max_task_points=10)
     with pytest.raises(ValueError, match="euclidean"):
         agglomerate(points, edges, 2.0, metric="cosine")
     with pytest.raises(ValueError, match="average"):

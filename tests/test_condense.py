@@ -10,7 +10,7 @@ from pointlake.plans.shards_to_lake import shards_to_lake
 from pointlake.sources.shards import list_shards, scan_shards
 
 DIMS = 6
-BIG = 864691135700227874
+BIG = 123456789012345678
 
 
 def _write(folder, shards, dims=DIMS):

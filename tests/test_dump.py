@@ -63,7 +63,7 @@ FIELDS = [
 ]
 LINES = [
     '1,2020-01-01 00:00:00.123456,t,"say ""hi"", ok",1.25,2020-01-01 00:00:00+00,t',
-    '864691135700227874,2020-01-01 00:00:00,f,"",2.50,2020-06-01 10:00:00.5+00,f',
+    '123456789012345678,2020-01-01 00:00:00,f,"",2.50,2020-06-01 10:00:00.5+00,f',
     "-3,,t,,,,x",
 ]
 
@@ -75,9 +75,9 @@ def test_scan_decodes_types_and_drops_bookkeeping(spark, tmp_path, packed):
     rows = {r["id"]: r for r in table.collect()}
     assert rows[1]["note"] == 'say "hi", ok'
     assert rows[1]["price"] == Decimal("1.25")
-    assert [rows[i]["reviewed"] for i in (1, 864691135700227874, -3)] == [True, False, None]
+    assert [rows[i]["reviewed"] for i in (1, 123456789012345678, -3)] == [True, False, None]
     # A quoted empty text stays empty, an unquoted one is null.
-    assert rows[864691135700227874]["note"] == ""
+    assert rows[123456789012345678]["note"] == ""
     assert rows[-3]["note"] is None and rows[-3]["seen"] is None
 
 
