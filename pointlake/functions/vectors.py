@@ -17,20 +17,32 @@ def squared_l2(column: str, query: Sequence[float]) -> Column:
 def mean_vector_by(df: DataFrame, keys: Sequence[str], vector: str, dims: int, *aggregates: Column) -> DataFrame:
     """Element-wise mean per group as ``vector``, with any further ``aggregates``.
 
-    One sum per dimension: partial sums are combined before the shuffle, no row is
-    exploded, and a group of any size costs one buffer per task.
+    A null element or vector is left out of the means it would be part of; a mean of
+    nulls alone is null. One sum and count per dimension: partial ones are combined
+    before the shuffle, no row is exploded, and a group costs one buffer per task.
     """
-    sums = [F.expr(f"sum(cast(`{vector}`[{i}] as double)) as _sum{i}") for i in range(dims)]
-    grouped = df.groupBy(*keys).agg(F.count(vector).alias("_count"), *sums, *aggregates)
-    means = ", ".join(f"cast(_sum{i} / _count as float)" for i in range(dims))
-    kept = [c for c in grouped.columns if not c.startswith("_sum") and c != "_count"]
+    own = [F.expr(f"avg(cast(`{vector}`[{i}] as double)) as _mean{i}") for i in range(dims)]
+    grouped = df.groupBy(*keys).agg(*own, *aggregates)
+    means = ", ".join(f"cast(_mean{i} as float)" for i in range(dims))
+    kept = [c for c in grouped.columns if not c.startswith("_mean")]
     return grouped.select(*kept, F.expr(f"array({means})").alias(vector))
 
 
 def array_stats(column: str) -> dict[str, Column]:
-    """Mean, population deviation, sum and size of each row's array; no shuffle."""
+    """Mean, population deviation, sum and size of each row's array; no shuffle.
+
+    Each is one pass over the array: the mean and the squares about it are updated
+    element by element. A null element makes the row's statistics null.
+    """
+
+    def step(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1
+        mean = acc["mean"] + (x - acc["mean"]) / n
+        square = acc["square"] + (x - acc["mean"]) * (x - mean)
+        return F.struct(n.alias("n"), mean.alias("mean"), square.alias("square"))
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("square"))
+    std = F.aggregate(column, start, step, lambda acc: F.sqrt(acc["square"] / acc["n"]))
     total = F.aggregate(column, F.lit(0.0), lambda acc, x: acc + x)
     size = F.size(column)
-    mean = total / size
-    square = F.aggregate(column, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    return {"mean": mean, "std": F.sqrt(square / size), "sum": total, "size": size}
+    return {"mean": total / size, "std": std, "sum": total, "size": size}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.operators.joins import remaining_items
+from pointlake.workspace import Workspace
 
 
 def process_items(
@@ -71,7 +72,9 @@ def process_missing(
 ) -> dict[str, int]:
     """Process the items without an ``ok`` row in ``output_path`` and append the outcome.
 
-    Running it again retries exactly the failed and the never-started items.
+    Running it again retries exactly the failed and the never-started items. It is an
+    error if every item of this run failed, whatever earlier runs did. Returns the items'
+    counts per latest status over all runs.
     """
     spark = items.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(output_path)
@@ -79,9 +82,16 @@ def process_missing(
     if exists:
         done = spark.read.parquet(output_path).filter("status = 'ok'")
         items = remaining_items(items, done, [item])
-    outcome = process_items(items, function, result_type, item, shared, tasks)
+    work = Workspace(spark)
+    # Stored first: what this run did is counted and appended from one execution.
+    outcome = work.save(process_items(items, function, result_type, item, shared, tasks), "outcome")
     outcome.write.mode("append").parquet(output_path)
+    try:
+        check_outcome(outcome)
+    finally:
+        work.delete()
     latest = spark.read.parquet(output_path)
     done_now = F.max(F.when(F.col("status") == "ok", 1).otherwise(0)).alias("done")
     per_item = latest.groupBy(item).agg(done_now)
-    return check_outcome(per_item.select(F.when(F.col("done") == 1, "ok").otherwise("failed").alias("status")))
+    statuses = per_item.select(F.when(F.col("done") == 1, "ok").otherwise("failed").alias("status"))
+    return {row["status"]: row["count"] for row in statuses.groupBy("status").count().collect()}

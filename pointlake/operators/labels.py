@@ -25,9 +25,11 @@ def numbered(df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequen
     local = bucketed.withColumn("_local", F.row_number().over(Window.partitionBy(*cell).orderBy(*order)))
     sizes = bucketed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # As a structure, so that rows of a group with a null in its name meet as well.
+    at = F.struct(*cell).alias("_at")
+    offsets = sizes.select(at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     number = (F.col("_before") + F.col("_local") - 1).alias(name)
-    return local.join(offsets, cell).select(*df.columns, number)
+    return local.withColumn("_at", at).join(offsets, "_at").select(*df.columns, number)
 
 
 def id_bucket(key: str, bucket_keys: int = BUCKET_KEYS) -> Column:
@@ -47,19 +49,29 @@ def shuffled_labels(
 ) -> DataFrame:
     """Mapping ``(groups, label, name)``: a pseudo-random permutation of the labels in use.
 
-    The n-th label in label order receives the n-th label in hash order.
+    The n-th label in label order receives the n-th label in hash order. Null is no label.
     """
-    distinct = df.select(*groups, label).distinct()
+    distinct = df.filter(F.col(label).isNotNull()).select(*groups, label).distinct()
     by_label = numbered(distinct, groups, id_bucket(label), [label], "_place")
     hashed = distinct.withColumn("_hash", F.xxhash64(*groups, label, F.lit(seed)))
     by_hash = numbered(hashed, groups, F.pmod(F.col("_hash"), F.lit(buckets)), ["_hash", label], "_place")
-    targets = by_hash.select(*groups, "_place", F.col(label).alias(name))
-    return by_label.join(targets, [*groups, "_place"]).select(*groups, label, name)
+    # As a structure, so that rows of a group with a null in its name meet as well.
+    at = F.struct(*groups, "_place").alias("_at")
+    targets = by_hash.select(at, F.col(label).alias(name))
+    return by_label.withColumn("_at", at).join(targets, "_at").select(*groups, label, name)
 
 
 def relabel(
     df: DataFrame, mapping: DataFrame, keys: Sequence[str], label: str, name: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Replace ``label`` by its ``name`` in the mapping; every label must be mapped."""
-    joined = skew_join(df, mapping, [*keys, label], hot_rows=hot_rows)
-    return joined.withColumn(label, F.col(name)).drop(name)
+    """Replace ``label`` by its ``name`` in the mapping; no row is lost.
+
+    Keys are compared with nulls equal. A null label stays null; a label without an entry
+    in the mapping fails the job.
+    """
+    at = F.struct(*keys, label).alias("_at")
+    known = mapping.select(at, F.struct(F.col(name)).alias("_new"))
+    joined = skew_join(df.withColumn("_at", at), known, ["_at"], "left", hot_rows=hot_rows)
+    missing = F.raise_error(F.concat(F.lit(f"no {name} for {label} "), F.col(label).cast("string")))
+    new = F.when(F.col(label).isNull(), F.lit(None)).when(F.col("_new").isNull(), missing).otherwise(F.col(f"_new.{name}"))
+    return joined.withColumn(label, new.cast(mapping.schema[name].dataType)).drop("_at", "_new")

@@ -64,9 +64,27 @@ class VectorIndex:
 
         rough = probed.select(*self.pid, F.pandas_udf(estimate, "double")("codes").alias("_rough"))
         short = rough.orderBy("_rough", *self.pid).limit(k * refine).drop("_rough")
-        chosen = probed.drop("codes", "cell").join(F.broadcast(short), self.pid)
+        chosen = probed.drop("codes", "cell").join(short, self.pid)
         return nearest(chosen, self.vector, query, k, self.pid)
 
+    def coded(self, df: DataFrame) -> DataFrame:
+        """``df`` with the ``cell`` and ``codes`` of each vector."""
+        centres = self.centres
+
+        def assign(vectors: pd.Series) -> pd.Series:
+            matrix = np.stack(vectors.to_numpy()).astype("float64")
+            return pd.Series(((centres**2).sum(1) - 2 * matrix @ centres.T).argmin(axis=1))
+
+        return df.select(
+            *df.columns,
+            F.pandas_udf(assign, "int")(self.vector).alias("cell"),
+            F.pandas_udf(_encoder(self.books), "array<smallint>")(self.vector).alias("codes"),
+        )
+
+    def append(self, df: DataFrame) -> None:
+        """Add rows to the stored ones; cells and codes stay as they were trained."""
+        write_partitioned(self.coded(df), self.path, ["cell"], mode="append")
+
     def save(self, spark: SparkSession) -> None:
         """Store the small arrays beside the rows."""
         text = json.dumps(
@@ -128,16 +146,16 @@ def build_index(
 
     Centres and code books are trained on a random ``training_rows`` of the rows, a
     bound that keeps training constant; every row is then assigned, encoded and
-    written by one distributed job. A crowded cell is split over several files.
+    written by one distributed job. A crowded cell is split over several files. An index
+    at ``path`` is replaced as a whole.
     """
     if dims % parts:
         raise ValueError(f"{dims} dimensions do not split into {parts} equal parts")
     spark, width = df.sparkSession, dims // parts
     keyed = df.select(F.xxhash64(*pid, F.lit(seed)).alias("order"), F.col(vector).alias("_vector"))
-    sampled = min(training_rows, df.count())
-    tasks = max(1, min(spark.sparkContext.defaultParallelism, sampled // _TRAINING_ROWS_PER_TASK))
-    training = keyed.orderBy("order").limit(training_rows)
-    training = (training.repartition(tasks) if tasks > 1 else training).persist()
+    # The same parts whatever the cluster, as the start of k-means depends on them.
+    tasks = max(1, training_rows // _TRAINING_ROWS_PER_TASK)
+    training = keyed.orderBy("order").limit(training_rows).repartitionByRange(tasks, "order").persist()
     rows = training.select(array_to_vector(F.col("_vector").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=20).fit(rows)
     centres = np.array(model.clusterCenters())
@@ -152,16 +170,7 @@ def build_index(
     training.unpersist()
     books = np.array([r["centre"] for r in rows_by_part]).reshape(parts, -1, width)
 
-    def assign(vectors: pd.Series) -> pd.Series:
-        matrix = np.stack(vectors.to_numpy()).astype("float64")
-        return pd.Series(((centres**2).sum(1) - 2 * matrix @ centres.T).argmin(axis=1))
-
-    coded = df.select(
-        *df.columns,
-        F.pandas_udf(assign, "int")(vector).alias("cell"),
-        F.pandas_udf(_encoder(books), "array<smallint>")(vector).alias("codes"),
-    )
-    write_partitioned(coded, path, ["cell"])
     index = VectorIndex(path, vector, list(pid), centres, books)
+    write_partitioned(index.coded(df), path, ["cell"])
     index.save(spark)
     return index

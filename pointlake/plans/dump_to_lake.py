@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pointlake.functions.columns import require_columns, with_id_partitions
 from pointlake.functions.geometry import decode_positions
 from pointlake.operators.joins import enrich
-from pointlake.sinks.partitioned import bloom_options, write_partitioned
+from pointlake.sinks.partitioned import BLOOM_BYTES, bloom_options, write_partitioned
 from pointlake.sinks.zorder import zorder_rewrite
 from pointlake.sources.dump import DROP_COLUMNS, scan_dump
 from pointlake.workspace import Workspace
@@ -44,23 +44,25 @@ def dump_to_lake(
     bloom_columns: Sequence[str] = (),
     fpp: float = 0.001,
     rows_per_file: int = 50_000_000,
+    codec: str = "zstd",
+    bloom_bytes: int = BLOOM_BYTES,
 ) -> DataFrame:
     """Write the table and return a scan of it. ``table`` and ``segmentation`` are
     ``(csv path, sidecar path)`` pairs.
 
-    Clustering needs quantiles of the joined rows, so they are stored once, unshuffled,
+    A table at ``out`` is replaced as a whole. Clustering needs quantiles of the joined rows, so they are stored once, unshuffled,
     and one range shuffle then produces the final files.
     """
     rows = prepared_dump(spark, table, partition_columns, n_partitions, segmentation)
     partition_by = [f"{c}_partition" for c in partition_columns]
-    bloom = bloom_options(bloom_columns, fpp)
+    bloom = bloom_options(bloom_columns, fpp, bloom_bytes)
     if zorder_columns:
         require_columns(rows, zorder_columns)
         work = Workspace(spark)
         staged = work.location("staged")
         rows.write.mode("overwrite").parquet(staged)
-        zorder_rewrite(spark, staged, out, zorder_columns, partition_by, bloom=bloom)
+        zorder_rewrite(spark, staged, out, zorder_columns, partition_by, codec=codec, bloom=bloom, rows_per_file=rows_per_file)
         work.delete()
     else:
-        write_partitioned(rows, out, partition_by, rows_per_file=rows_per_file, bloom=bloom)
+        write_partitioned(rows, out, partition_by, codec=codec, rows_per_file=rows_per_file, bloom=bloom)
     return spark.read.parquet(out)

@@ -170,6 +170,27 @@ ORACLES: dict[str, str] = {
         SELECT label, CAST(pos AS BIGINT) AS pos, round(CAST(CAST(avg(CAST(v AS DOUBLE)) AS FLOAT) AS DOUBLE), 5) AS value
         FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)
         WHERE pos < 32 GROUP BY label, pos""",
+    "mean_vector_nulls": """
+        SELECT label, CAST(pos AS BIGINT) AS pos, round(CAST(CAST(avg(CAST(v AS DOUBLE)) AS FLOAT) AS DOUBLE), 5) AS value
+        FROM (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)
+        WHERE pos < 32 AND (vec_id + pos) % 7 <> 0 GROUP BY label, pos""",
+    "gzip_dump_scan": """
+        SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN 'no note'
+                 ELSE p_brand || ', "' || p_type || '"' || chr(10) || p_partkey END AS note, CAST(p_size AS BIGINT) AS p_size
+        FROM part""",
+    "replaced_tables": """
+        WITH rows AS (SELECT l_partkey, l_quantity, l_partkey % 16 AS p, l_linenumber AS n FROM lineitem),
+        ways AS (
+          SELECT 'table' AS way, * FROM rows WHERE p < 3 AND n = 1
+          UNION ALL SELECT 'z-order', * FROM rows WHERE p < 3 AND n = 1
+          UNION ALL SELECT 'partitions', * FROM rows WHERE p >= 3 OR n = 1)
+        SELECT way, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS keys, round(sum(l_quantity), 2) AS quantity
+        FROM ways GROUP BY way""",
+    "ann_recall": "SELECT vec_id, true AS found FROM embeddings ORDER BY vec_id LIMIT 5",
+    "relabel_mapping": """
+        SELECT l_returnflag, count(DISTINCT l_suppkey) AS labels, count(DISTINCT l_suppkey) AS names,
+               count(DISTINCT l_suppkey) AS pairs, count(DISTINCT l_suppkey) AS known, true AS moved
+        FROM lineitem GROUP BY l_returnflag""",
     "centroid_rep_point": f"""
         WITH {_POINTS},
         means AS (

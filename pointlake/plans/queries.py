@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from pointlake.operators.knn_graph import knn_graph
 from pointlake.operators.labels import relabel, shuffled_labels
 from pointlake.operators.reduce import group_vectors, principal_components
 from pointlake.operators.sampling import sample_per_group
-from pointlake.operators.search import build_index, nearest
+from pointlake.operators.search import VectorIndex, build_index, nearest
 from pointlake.plans.dump_to_lake import dump_to_lake
 from pointlake.plans.shards_to_lake import shards_to_lake
 from pointlake.plans.standins import DIMS, points, table, write_dump, write_shards
@@ -49,6 +50,7 @@ from pointlake.workspace import Workspace
 
 WARD_THRESHOLD = 1.6
 COSINE_THRESHOLD = 0.8
+RECALL_QUERIES = 5
 LOOKUP_IDS = [3, 77, 500, 1024, 1999]
 
 ORDER_FIELDS = {
@@ -133,12 +135,43 @@ def partitioned_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     lines = lines.withColumn("l_partkey_partition", id_partition("l_partkey", 64))
     path = work.location("lineitem")
-    bloom = bloom_options(["l_partkey"], ndv=100_000)
+    bloom = bloom_options(["l_partkey"])
     write_partitioned(lines, path, ["l_partkey_partition"], bloom=bloom, sort_by=["l_partkey"])
     found = lookup(scan_lake(spark, path), "l_partkey", LOOKUP_IDS, 64)
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
+def gzip_dump_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A packed dump whose text has quotes, separators and newlines."""
+    fields = {"p_partkey": "bigint", "note": "text", "p_size": "integer", "valid": "boolean"}
+    note = F.concat(F.col("p_brand"), F.lit(', "'), F.col("p_type"), F.lit('"\n'), F.col("p_partkey").cast("string"))
+    noted = F.when(F.col("p_partkey") % 5 == 0, F.lit("")).when(F.col("p_partkey") % 7 != 0, note)
+    parts = table(spark, sf_dir, "part").select("p_partkey", noted.alias("note"), "p_size", F.lit(True).alias("valid"))
+    scanned = scan_dump(spark, *write_dump(parts, Workspace(spark), "parts", fields, compression="gzip"))
+    return scanned.select("p_partkey", F.coalesce("note", F.lit("no note")).alias("note"), F.col("p_size").cast("long").alias("p_size"))
+
+
+def replaced_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows left by a second, smaller write: of the whole table, of its partitions, and in z-order."""
+    work, lines = Workspace(spark), table(spark, sf_dir, "lineitem")
+    lines = lines.withColumn("l_partkey_partition", id_partition("l_partkey", 16))
+    less = lines.filter("l_partkey_partition < 3 AND l_linenumber = 1")
+    found = []
+    for name, replace in (("table", "table"), ("partitions", "partitions")):
+        path = work.location(name)
+        for rows in (lines, less):
+            write_partitioned(rows, path, ["l_partkey_partition"], replace=replace, codec="zstd", rows_per_file=5000)
+        found.append(spark.read.parquet(path).select(F.lit(name).alias("way"), "l_partkey", "l_quantity"))
+    path, staged = work.location("z-order"), work.location("staged")
+    for rows in (lines, less):
+        rows.write.mode("overwrite").parquet(staged)
+        zorder_rewrite(spark, staged, path, ["l_shipdate", "l_returnflag", "l_partkey"], ["l_partkey_partition"], rows_per_file=5000)
+    found.append(spark.read.parquet(path).select(F.lit("z-order").alias("way"), "l_partkey", "l_quantity"))
+    return reduce(DataFrame.unionByName, found).groupBy("way").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_partkey").alias("keys"), F.round(F.sum("l_quantity"), 2).alias("quantity")
+    )
+
+
 def zorder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = Workspace(spark).location("clustered")
     zorder_rewrite(spark, f"{sf_dir}/lineitem.parquet", target, ["l_partkey", "l_orderkey"], files=8)
@@ -165,6 +198,14 @@ def mean_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("label", F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
+def mean_vector_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of vectors some of whose elements are null."""
+    holes = F.transform("embedding", lambda x, i: F.when((F.col("vec_id") + i) % 7 != 0, x))
+    half = table(spark, sf_dir, "embeddings").select("label", F.slice(holes, 1, 32).alias("embedding"))
+    means = unpack(mean_vector_by(half, ["label"], "embedding", 32), "embedding")
+    return means.select("label", F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
 def centroid_rep_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nearest_to_mean(points(spark, sf_dir), ["root_id"], ["x", "y", "z"], "pid")
     return found.select("root_id", "pid", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in "xyz"])
@@ -204,6 +245,23 @@ def ann_full_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ann(spark, sf_dir, nprobe=16, refine=rows // 100 + 1)
 
 
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of half of the vectors, loaded again and given the other half: whether a
+    search finds at least nine of the ten nearest, for each of the first vectors by id."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    path = Workspace(spark).location("index")
+    build_index(vectors.filter("vec_id % 2 = 0"), path, "embedding", ["vec_id"], DIMS, cells=16, parts=16, codes=64)
+    index = VectorIndex.load(spark, path)
+    index.append(vectors.filter("vec_id % 2 <> 0"))
+    asked = vectors.orderBy("vec_id").limit(RECALL_QUERIES).collect()
+    rows = []
+    for query in asked:
+        found = index.search(spark, query["embedding"], 10, nprobe=10, refine=10).select("vec_id")
+        exact = nearest(vectors, "embedding", query["embedding"], 10, ["vec_id"]).select("vec_id")
+        rows.append(found.join(exact, "vec_id").agg((F.count(F.lit(1)) >= 9).alias("found")).select(F.lit(query["vec_id"]).alias("vec_id"), "found"))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_graph(points(spark, sf_dir), 3)
 
@@ -276,6 +334,20 @@ def relabel_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def relabel_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The renaming itself: every label once on either side, and not the identity."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_suppkey")
+    mapping = shuffled_labels(lines, ["l_returnflag"], "l_suppkey", seed=7)
+    known = lines.distinct().select("l_returnflag", F.col("l_suppkey").alias("shuffled"), F.lit(1).alias("known"))
+    return mapping.join(known, ["l_returnflag", "shuffled"], "left").groupBy("l_returnflag").agg(
+        F.count_distinct("l_suppkey").alias("labels"),
+        F.count_distinct("shuffled").alias("names"),
+        F.count(F.lit(1)).alias("pairs"),
+        F.coalesce(F.sum("known"), F.lit(0)).alias("known"),
+        (F.sum((F.col("l_suppkey") == F.col("shuffled")).cast("int")) < F.count(F.lit(1)) / 2).alias("moved"),
+    )
+
+
 def pca_32(spark: SparkSession, sf_dir: str) -> DataFrame:
     reduced = principal_components(table(spark, sf_dir, "embeddings"), "embedding", 32)
     return reduced.select("vec_id", *[F.round(F.abs(F.col("reduced")[i]), 3).alias(f"c{i}") for i in range(32)])
@@ -451,6 +523,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "id_partition": id_partition_query,
     "wkb_decode": wkb_decode,
     "partitioned_lookup": partitioned_lookup,
+    "gzip_dump_scan": gzip_dump_scan,
+    "replaced_tables": replaced_tables,
     "zorder_rows": zorder_rows,
     "dump_lake_rows": dump_lake_rows,
     "dump_lake_groups": dump_lake_groups,
@@ -458,11 +532,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "limit_slice": limit_slice,
     "sort_rows": sort_rows,
     "mean_vector": mean_vector,
+    "mean_vector_nulls": mean_vector_nulls,
     "centroid_rep_point": centroid_rep_point,
     "group_dist": group_dist,
     "topk_l2": topk_l2,
     "ann_ivf": ann_ivf,
     "ann_full_probe": ann_full_probe,
+    "ann_recall": ann_recall,
     "knn_edges": knn_edges,
     "components": components_query,
     "condense_ward": condense_ward,
@@ -472,6 +548,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "agglomerate_ratio": agglomerate_ratio,
     "sample_per_group": sample_query,
     "relabel": relabel_query,
+    "relabel_mapping": relabel_mapping,
     "pca_32": pca_32,
     "pca_full_norm": pca_full_norm,
     "group_20": group_20,

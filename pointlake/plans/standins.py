@@ -30,7 +30,9 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_dump(df: DataFrame, work: Workspace, name: str, fields: dict[str, str]) -> tuple[str, str]:
+def write_dump(
+    df: DataFrame, work: Workspace, name: str, fields: dict[str, str], compression: str = "none"
+) -> tuple[str, str]:
     """Write ``df`` as a headerless CSV dump with its sidecar; returns both paths."""
     spark = df.sparkSession
     csv, sidecar = work.location(f"{name}-csv"), work.location(f"{name}-header")
@@ -40,7 +42,7 @@ def write_dump(df: DataFrame, work: Workspace, name: str, fields: dict[str, str]
             text[field] = F.when(F.col(field), "t").when(~F.col(field), "f")
         elif dtype.startswith("timestamp"):
             text[field] = F.date_format(field, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    df.select(*fields).withColumns(text).write.option("escape", '"').csv(csv)
+    df.select(*fields).withColumns(text).write.option("escape", '"').option("emptyValue", '""').csv(csv, compression=compression)
     rows = spark.createDataFrame(list(fields.items()), "field string, dtype string")
     rows.coalesce(1).write.csv(sidecar)
     return csv, sidecar

@@ -6,8 +6,9 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointlake.functions.bits import interleave
 from pointlake.functions.columns import require_columns
@@ -17,6 +18,20 @@ from pointlake.sinks.sizes import stored_bytes
 _SMALLEST_FILE = 8 * 1024**2
 
 
+def _as_double(df: DataFrame, column: str) -> Column:
+    """A number in the order of the column's values; text goes by its first six bytes."""
+    kind = df.schema[column].dataType
+    value = F.col(column)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("double")
+    if isinstance(kind, T.TimestampNTZType | T.TimestampType):
+        return F.unix_micros(value.cast("timestamp")).cast("double")
+    if isinstance(kind, T.StringType | T.BinaryType):
+        head = F.rpad(F.hex(F.substring(value.cast("binary"), 1, 6)), 12, "0")
+        return F.when(value.isNotNull(), F.conv(head, 16, 10).cast("double"))
+    return value.cast("double")
+
+
 def with_zorder(df: DataFrame, columns: Sequence[str], bits: int = 8, error: float = 0.001) -> DataFrame:
     """Add ``_z``: interleaved quantile buckets, nulls in a bucket of their own below the rest.
 
@@ -26,7 +41,7 @@ def with_zorder(df: DataFrame, columns: Sequence[str], bits: int = 8, error: flo
     require_columns(df, columns)
     bits = min(bits, 63 // len(columns))
     filled = 2**bits - 1
-    doubles = {f"_d{i}": F.col(c).cast("double") for i, c in enumerate(columns)}
+    doubles = {f"_d{i}": _as_double(df, c) for i, c in enumerate(columns)}
     quantiles = [q / filled for q in range(1, filled)]
     bounds = df.select(*[e.alias(n) for n, e in doubles.items()]).approxQuantile(list(doubles), quantiles, error)
     df = df.withColumns(doubles)
@@ -52,10 +67,11 @@ def zorder_rewrite(
     files: int | None = None,
     codec: str = "zstd",
     bloom: dict[str, str] | None = None,
+    rows_per_file: int = 50_000_000,
 ) -> None:
     """Write ``source`` to ``target`` in z-order within each partition.
 
-    Ranges also split on the row's place in its source file, so a single z value
+    The target is replaced as a whole. Ranges also split on the row's place in its source file, so a single z value
     holding a large share of the rows still spreads over many tasks.
     """
     table = spark.read.parquet(source)
@@ -68,4 +84,4 @@ def zorder_rewrite(
     coded = with_zorder(placed, columns, bits)
     ranged = coded.repartitionByRange(files, *partition_by, "_z", "_row")
     ordered = ranged.sortWithinPartitions(*partition_by, "_z").drop("_z", "_row")
-    table_writer(ordered, partition_by, "overwrite", codec, 0, bloom).parquet(target)
+    table_writer(ordered, partition_by, "overwrite", codec, rows_per_file, bloom).parquet(target)

@@ -22,17 +22,16 @@ def scan_dump(
     table_path: str,
     sidecar_path: str,
     drop: Sequence[str] = DROP_COLUMNS,
-    multiline: bool | None = None,
+    multiline: bool = True,
 ) -> DataFrame:
     """Lazy scan of a dump, optionally gzip-compressed.
 
-    A bad value fails the job rather than becoming null. Compressed files cannot be
-    split, so quoted newlines cost nothing there and are allowed by default; a plain
-    file is split across tasks unless ``multiline`` is set. Reading one compressed
-    file is one task, but the joins and writes that follow shuffle its rows anyway.
+    A bad value and a row with too few or too many fields fail the job, also where the
+    columns concerned are dropped: every field of every row is parsed. A quoted newline
+    is part of its value, in packed and plain files alike. That makes a file the unit of
+    reading, so a large dump should come in several; a dump known to have no quoted
+    newline can set ``multiline=False``, and plain files are then split across tasks.
     """
-    if multiline is None:
-        multiline = table_path.endswith(".gz")
     fields = read_sidecar(spark, sidecar_path)
     table = (
         spark.read.schema(build_schema(fields))
@@ -40,6 +39,7 @@ def scan_dump(
         .option("escape", '"')
         .option("mode", "FAILFAST")
         .option("multiLine", multiline)
+        .option("columnPruning", False)
         .option("nullValue", _NULL_MARKER)
         .option("emptyValue", "")
         .csv(table_path)

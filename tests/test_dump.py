@@ -81,9 +81,24 @@ def test_scan_decodes_types_and_drops_bookkeeping(spark, tmp_path, packed):
     assert rows[-3]["note"] is None and rows[-3]["seen"] is None
 
 
-def test_newline_in_quotes(spark, tmp_path):
-    files = _files(tmp_path, "n", ['1,"two\nlines"'], [("id", "bigint"), ("note", "text")], packed=True)
-    assert scan_dump(spark, *files).collect()[0]["note"] == "two\nlines"
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("drop", [(), ("created",)])
+def test_newline_in_quotes(spark, tmp_path, packed, drop):
+    fields = [("id", "bigint"), ("note", "text"), ("created", "bigint")]
+    table = scan_dump(spark, *_files(tmp_path, "n", ['1,"two\nlines",3', "2,x,4"], fields, packed), drop=drop)
+    assert [(r["id"], r["note"]) for r in table.orderBy("id").collect()] == [(1, "two\nlines"), (2, "x")]
+    assert table.count() == 2
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("drop", [(), ("created",)])
+@pytest.mark.parametrize("line", ["3,y", "4,z,5,7,8"])
+def test_a_row_of_another_length_fails(spark, tmp_path, packed, drop, line):
+    fields = [("id", "bigint"), ("note", "text"), ("created", "bigint")]
+    table = scan_dump(spark, *_files(tmp_path, "l", ["1,a,2", line], fields, packed), drop=drop)
+    for read in (table, table.select("id")):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read.collect()
 
 
 def test_bad_value_fails(spark, tmp_path):

@@ -65,3 +65,11 @@ def test_retry_by_difference(spark, tmp_path):
     assert process_missing(range_items(spark, 12), path, square, "long") == {"ok": 12}
     done = spark.read.parquet(path).filter("status = 'ok'")
     assert done.count() == 12 and done.select("item").distinct().count() == 12
+
+
+def test_a_run_in_which_all_fail_is_an_error_after_a_good_one(spark, tmp_path):
+    path = str(tmp_path / "again")
+    process_missing(range_items(spark, 5), path, square, "long")
+    with pytest.raises(RuntimeError, match="all 3 items failed"):
+        process_missing(range_items(spark, 8), path, broken, "long")
+    assert process_missing(range_items(spark, 5), path, broken, "long") == {"ok": 5, "failed": 3}

@@ -112,3 +112,17 @@ def test_means_and_stats(spark):
     row = df.select(*[c.alias(n) for n, c in stats.items()]).first()
     one = vectors[0].astype("float64")
     np.testing.assert_allclose(list(row), [one.mean(), one.std(), one.sum(), 5], rtol=1e-6)
+
+
+def test_means_leave_null_elements_out(spark):
+    rows = [("a", [2.0, 4.0]), ("a", [None, 8.0]), ("a", None), ("b", [None, 1.0])]
+    df = spark.createDataFrame(rows, "k string, v array<double>")
+    found = {r["k"]: r["v"] for r in mean_vector_by(df, ["k"], "v", 2).collect()}
+    assert found == {"a": [2.0, 6.0], "b": [None, 1.0]}
+
+
+def test_statistics_of_long_arrays_are_one_pass(spark):
+    values = [float(i % 97) for i in range(200_000)]
+    stats = array_stats("v")
+    row = spark.createDataFrame([(values,)], "v array<double>").select(*[c.alias(n) for n, c in stats.items()]).first()
+    assert row["std"] == pytest.approx(np.std(values)) and row["mean"] == pytest.approx(np.mean(values))

@@ -102,3 +102,12 @@ def test_aggregates(spark):
         near = {r["g"]: r["id"] for r in nearest_to_mean(rows, ["g"], ["x", "y"], "id", hot_rows=hot_rows).collect()}
         # Group 0 has an even number of members: the smaller id wins the tie.
         assert near == {0: 48, 1: 49, 2: 50}
+
+
+def test_relabel_keeps_every_row(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", None), (None, 2), (None, 3), ("a", 4)], "g string, label long")
+    mapping = shuffled_labels(rows, ["g"], "label", seed=1)
+    found = relabel(rows, mapping, ["g"], "label", "shuffled").collect()
+    assert sorted(str(r["label"]) for r in found) == ["1", "2", "3", "4", "None"]
+    with pytest.raises(Exception, match="no shuffled for label 4"):
+        relabel(rows, mapping.filter("label <> 4"), ["g"], "label", "shuffled").collect()

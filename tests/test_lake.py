@@ -48,7 +48,7 @@ def test_writing_the_same_partitions_twice_replaces_them(spark, tmp_path):
     path = str(tmp_path / "twice")
     rows = _ids(spark)
     write_partitioned(rows, path, ["root_partition"])
-    write_partitioned(rows.filter("root_partition < 3"), path, ["root_partition"])
+    write_partitioned(rows.filter("root_partition < 3"), path, ["root_partition"], replace="partitions")
     assert spark.read.parquet(path).count() == 2000
     write_partitioned(rows.filter("root_partition = 3"), path, ["root_partition"], mode="append")
     assert spark.read.parquet(path).count() == 2000 + rows.filter("root_partition = 3").count()
@@ -120,3 +120,59 @@ def test_generated_items(spark):
     assert [r["item"] for r in range_items(spark, 10, 3).orderBy("item").collect()] == list(range(10))
     counts = normal_arrays(spark, 5, 100).groupBy("array_id").count().collect()
     assert sorted((r["array_id"], r["count"]) for r in counts) == [(i, 100) for i in range(5)]
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_a_smaller_table_leaves_nothing_of_the_larger(spark, tmp_path, ordered):
+    path, staged = str(tmp_path / "smaller"), str(tmp_path / "staged")
+    for n in (2000, 30):
+        if ordered:
+            _ids(spark, n).write.mode("overwrite").parquet(staged)
+            zorder_rewrite(spark, staged, path, ["id"], ["root_partition"])
+        else:
+            write_partitioned(_ids(spark, n), path, ["root_partition"])
+    assert spark.read.parquet(path).count() == 30
+
+
+def test_unknown_extent_of_an_overwrite(spark, tmp_path):
+    with pytest.raises(ValueError, match="extent"):
+        write_partitioned(_ids(spark, 10), str(tmp_path / "x"), ["root_partition"], replace="rows")
+
+
+def test_text_and_dates_are_clustered(spark, tmp_path):
+    rows = spark.range(8000).select(
+        "id",
+        F.expr("date_add(date'2020-01-01', cast(id * 7919 % 1000 as int))").alias("day"),
+        F.when(F.col("id") % 50 != 0, F.sha1(F.col("id").cast("string"))).alias("name"),
+        F.expr("timestamp_seconds(id * 104729 % 100000)").alias("at"),
+    )
+    source, target = str(tmp_path / "s"), str(tmp_path / "t")
+    rows.write.parquet(source)
+    zorder_rewrite(spark, source, target, ["day", "name", "at"], files=16, rows_per_file=400, codec="gzip")
+    back = spark.read.parquet(target)
+    assert sorted(back.collect()) == sorted(rows.collect())
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{target}/*.parquet")]
+    assert all(f.metadata.num_rows <= 400 for f in files)
+    assert files[0].metadata.row_group(0).column(0).compression == "GZIP"
+    spans = [f.metadata.row_group(0).column(1).statistics for f in files if f.metadata.num_rows > 100]
+    days = [(s.max - s.min).days for s in spans]
+    assert sum(days) / len(days) < 750
+
+
+def test_bloom_rate_is_met_in_large_row_groups(spark, tmp_path):
+    path, n = str(tmp_path / "rate"), 1_500_000
+    ids = spark.range(n).select(F.xxhash64("id").alias("id")).coalesce(1)
+    write_partitioned(ids, path, [], bloom=bloom_options(["id"], fpp=0.001), clustered=True)
+    jvm = spark.sparkContext._jvm
+    (file,) = glob.glob(f"{path}/*.parquet")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(file), conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    block = reader.getFooter().getBlocks().get(0)
+    assert block.getRowCount() > 1_000_000
+    filters = reader.getBloomFilterDataReader(block).readBloomFilter(block.getColumns().get(0))
+    boxed = jvm.java.lang.Long.valueOf
+    absent = [r["id"] for r in spark.range(n, n + 3000).select(F.xxhash64("id").alias("id")).collect()]
+    wrong = sum(filters.findHash(filters.hash(boxed(i))) for i in absent)
+    reader.close()
+    assert wrong <= 20
