@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pointlake.llm.text import table, text_bytes
+from pointlake.workspace import Workspace
 
 # A file of public_tokenizers; a vocabulary of another place is named by its path.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -133,7 +134,9 @@ def truncated_totals(histogram: DataFrame, limits: Sequence[int]) -> DataFrame:
 
 def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of all documents at every encoded length."""
-    return context_totals(length_histogram(table(spark, sf_dir, "documents")))
+    # Stored, as several sums read it and the texts should be encoded once.
+    histogram = Workspace(spark).save(length_histogram(table(spark, sf_dir, "documents")), "lengths")
+    return context_totals(histogram)
 
 
 QUERIES = {"op7_token_counts": token_counts_query}
