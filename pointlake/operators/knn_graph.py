@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,55 +20,79 @@ OBJECT = ("shard", "root_id")
 XYZ = XYZ_COLUMNS
 _CURVE_BITS = 20
 _BROADCAST_ROWS = 100_000
-# Grid level of a search over a whole object, used when no radius is known.
-_WHOLE = 5000
+# Grid level of points whose radius is not known: fewer than k points of their object
+# came near them in curve order. An object has at most 2 k of them, all if it is that small.
+_ALONE = -5000
 
 
-def _with_curve(points: DataFrame, low: Sequence[float], high: Sequence[float]) -> DataFrame:
-    """Add ``curve``, the place of a point along a space-filling curve."""
+def _with_curve(points: DataFrame, work: Workspace, hot: DataFrame | bool) -> DataFrame:
+    """Add ``curve``, the place of a point along a space-filling curve of its object.
+
+    The steps are finest about the middle of each object and never end, so neither
+    another object nor a few far points of its own coarsen the curve where most are.
+    """
     steps = 2**_CURVE_BITS - 1
+    spread = [F.percentile_approx(c, [0.1, 0.5, 0.9], 200).alias(f"_q{c}") for c in XYZ]
+    middles = work.save(points.groupBy(*OBJECT).agg(*spread), "middles")
+    known = skew_join(points, middles, OBJECT, hot=hot)
     cells = {}
-    for name, a, b in zip(XYZ, low, high, strict=True):
-        scale = steps / (b - a) if b > a else 0.0
-        cells[f"_{name}"] = F.floor((F.col(name) - F.lit(a)) * F.lit(scale))
-    return points.withColumns(cells).withColumn("curve", interleave(list(cells), _CURVE_BITS)).drop(*cells)
+    for name in XYZ:
+        q = F.col(f"_q{name}")
+        wide = F.when(q[2] > q[0], q[2] - q[0]).otherwise(F.lit(1.0))
+        away = (F.col(name) - q[1]) / wide
+        share = F.lit(0.5) + F.lit(0.5) * away / (F.lit(1.0) + F.abs(away))
+        cells[f"_{name}"] = F.floor(share * steps)
+    return known.withColumns(cells).withColumn("curve", interleave(list(cells), _CURVE_BITS)).drop(
+        *cells, *[f"_q{c}" for c in XYZ]
+    )
 
 
 def _search_radii(k: int, lowest_level: int):
     """Task helper: an upper bound on each point's k-th neighbour distance.
 
-    Rows arrive in curve order, so the rows around a point in its batch are mostly
-    near it. Any k points of the object bound the distance, wherever batches are cut.
+    Rows arrive in curve order, so the rows around a point are mostly near it. Any k
+    points of the object bound the distance. Rows at the end of a batch wait for the
+    next one, so only the ends of a partition have fewer rows around them.
     """
+    reach = max(k, 8)
+
+    def sized(frame: pd.DataFrame) -> pd.DataFrame:
+        n = len(frame)
+        xyz = frame[list(XYZ)].to_numpy("float64")
+        owner = frame.groupby(list(OBJECT), sort=False).ngroup().to_numpy()
+        squares = []
+        for step in range(1, min(reach, n - 1) + 1):
+            gap = ((xyz[step:] - xyz[:-step]) ** 2).sum(axis=1)
+            gap[owner[step:] != owner[:-step]] = np.inf
+            pad = np.full(step, np.inf)
+            squares += [np.concatenate([gap, pad]), np.concatenate([pad, gap])]
+        if len(squares) >= k:
+            radius = np.sqrt(np.partition(np.stack(squares), k - 1, axis=0)[k - 1]) * (1 + 1e-9)
+        else:
+            radius = np.full(n, np.inf)
+        level = np.full(n, lowest_level, dtype="int64")
+        known = np.isfinite(radius) & (radius > 0)
+        level[known] = np.maximum(lowest_level, 2 * np.ceil(np.log2(2 * radius[known]) / 2).astype("int64"))
+        level[np.isinf(radius)] = _ALONE
+        return frame.assign(radius=radius, level=level)
 
     def radii(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, done = None, 0  # rows kept back, the first ``done`` of them given out already
         for frame in frames:
-            n = len(frame)
-            if n == 0:
-                continue
-            xyz = frame[list(XYZ)].to_numpy("float64")
-            owner = frame.groupby(list(OBJECT), sort=False).ngroup().to_numpy()
-            squares = []
-            for step in range(1, min(max(k, 8), n - 1) + 1):
-                gap = ((xyz[step:] - xyz[:-step]) ** 2).sum(axis=1)
-                gap[owner[step:] != owner[:-step]] = np.inf
-                pad = np.full(step, np.inf)
-                squares += [np.concatenate([gap, pad]), np.concatenate([pad, gap])]
-            if len(squares) >= k:
-                radius = np.sqrt(np.partition(np.stack(squares), k - 1, axis=0)[k - 1]) * (1 + 1e-9)
-            else:
-                radius = np.full(n, np.inf)
-            level = np.full(n, lowest_level, dtype="int64")
-            sized = np.isfinite(radius) & (radius > 0)
-            level[sized] = np.maximum(lowest_level, 2 * np.ceil(np.log2(2 * radius[sized]) / 2).astype("int64"))
-            level[np.isinf(radius)] = _WHOLE
-            yield frame.assign(radius=radius, level=level)
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            ready = len(held) - reach
+            if ready > done:
+                yield sized(held).iloc[done:ready]
+                first = max(0, ready - reach)
+                held, done = held.iloc[first:], ready - first
+        if held is not None and len(held) > done:
+            yield sized(held).iloc[done:]
 
     return radii
 
 
 def _cell(coordinate, level):
-    return F.when(level == _WHOLE, F.lit(0)).otherwise(F.floor(coordinate / F.pow(F.lit(2.0), level))).cast("long")
+    return F.floor(coordinate / F.pow(F.lit(2.0), level)).cast("long")
 
 
 def nearest_neighbours(
@@ -83,7 +107,8 @@ def nearest_neighbours(
        For all others, only the ``k + 1`` smallest ids of a location need be looked at.
     2. These points are range-partitioned along a space-filling curve, which
        splits an object of any size, and get an upper bound r on their search radius.
-    3. Each point looks up the at most eight cells of side >= 2r that its search ball
+    3. A point without such a bound, one of a few per object, is compared with all of its object.
+       Every other point looks up the at most eight cells of side >= 2r that its search ball
        touches and keeps the k nearest. Cells follow the local density, so a point is
        compared with a number of others that does not grow with the object.
 
@@ -106,7 +131,9 @@ def nearest_neighbours(
     copies = Window.partitionBy(*place).orderBy("pid")
     kept = pts.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1)
     along = [*OBJECT, "curve", "pid"]
-    ordered = _with_curve(kept, low, high).repartitionByRange(*along)
+    kept = work.save(kept, "kept")
+    hot = stored_hot_keys(work, kept, OBJECT, hot_rows)
+    ordered = _with_curve(kept, work, hot).repartitionByRange(*along)
     schema = "shard long, root_id long, pid long, x double, y double, z double, copy int, radius double, level long"
     typed = ordered.sortWithinPartitions(*along).select(
         *[F.col(c).cast("long").alias(c) for c in (*OBJECT, "pid")], *XYZ, "copy"
@@ -121,11 +148,12 @@ def nearest_neighbours(
     if n_crowded:
         known = F.broadcast(crowded) if n_crowded <= _BROADCAST_ROWS else crowded
         queries = queries.join(known, place, "left_anti")
+    alone = queries.filter(F.col("level") == _ALONE).select(*OBJECT, "pid", *XYZ)
+    queries = queries.filter(F.col("level") != _ALONE)
     for c in XYZ:
         span = F.sequence(_cell(lows[c], F.col("level")), _cell(highs[c], F.col("level")))
         queries = queries.withColumn(f"c{c}", F.explode(span))
-    levels = searched.select(*OBJECT, "level").distinct()
-    hot = stored_hot_keys(work, searched, OBJECT, hot_rows)
+    levels = searched.filter(F.col("level") != _ALONE).select(*OBJECT, "level").distinct()
     candidates = skew_join(searched.select(*OBJECT, "pid", *XYZ), levels, OBJECT, hot=hot)
     candidates = candidates.select(
         *OBJECT,
@@ -137,8 +165,12 @@ def nearest_neighbours(
     pairs = candidates.join(queries, [*OBJECT, "level", "cx", "cy", "cz"]).filter("pid <> neighbour")
     square = sum(((F.col(c) - F.col(f"n{c}")) * (F.col(c) - F.col(f"n{c}")) for c in XYZ), F.lit(0.0))
     close = pairs.withColumn("square", square).filter(F.col("square") <= F.col("radius") * F.col("radius"))
+    mates = searched.select(*OBJECT, F.col("pid").alias("neighbour"), *[F.col(c).alias(f"n{c}") for c in XYZ])
+    every = skew_join(mates, alone, OBJECT, hot=hot).filter("pid <> neighbour").withColumn("square", square)
+    found = [*OBJECT, "pid", "neighbour", "square"]
     ranked = Window.partitionBy(*OBJECT, "pid").orderBy("square", "neighbour")
-    near = close.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= k)
+    near = close.select(*found).unionByName(every.select(*found))
+    near = near.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= k)
     result = near.select(*OBJECT, "pid", "neighbour")
 
     if n_crowded == 0:

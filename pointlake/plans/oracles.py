@@ -213,6 +213,13 @@ ORACLES: dict[str, str] = {
     "topk_l2": _TOPK,
     "ann_full_probe": _TOPK,
     "knn_edges": f"WITH {_EDGES} SELECT shard, root_id, src, dst FROM edges",
+    "small_object_edges": f"""
+        WITH {_POINTS},
+        small AS (
+          SELECT shard, pid, CAST(floor(pid / 4) AS BIGINT) * 4
+                   + least(pid % 4, CAST(floor(pid / 4) AS BIGINT) % 4) AS root_id FROM points)
+        SELECT a.shard, a.root_id, a.pid AS src, b.pid AS dst
+        FROM small a JOIN small b ON a.shard = b.shard AND a.root_id = b.root_id AND a.pid < b.pid""",
     "components": f"""
         WITH RECURSIVE {_EDGES},
         linked AS (

@@ -266,6 +266,12 @@ def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_graph(points(spark, sf_dir), 3)
 
 
+def small_object_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of one to four points: complete graphs."""
+    small = F.floor(F.col("pid") / 4) * 4 + F.least(F.pmod("pid", F.lit(4)), F.pmod(F.floor(F.col("pid") / 4), F.lit(4)))
+    return knn_graph(points(spark, sf_dir).withColumn("root_id", small.cast("long")), 3)
+
+
 def components_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     work, pts = Workspace(spark), points(spark, sf_dir)
     return connected_components(pts, work.save(knn_graph(pts, 3, work), "graph"), work)
@@ -540,6 +546,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ann_full_probe": ann_full_probe,
     "ann_recall": ann_recall,
     "knn_edges": knn_edges,
+    "small_object_edges": small_object_edges,
     "components": components_query,
     "condense_ward": condense_ward,
     "condense_ward_joins": condense_ward_joins,

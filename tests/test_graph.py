@@ -1,3 +1,5 @@
+import pathlib
+
 import numpy as np
 import pytest
 from conftest import brute_edges, curve, make_points
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from pointlake.operators import knn_graph as module
 from pointlake.operators.components import connected_components, smallest_reachable
 from pointlake.operators.knn_graph import knn_graph, nearest_neighbours
+from pointlake.workspace import Workspace
 
 
 def edge_set(df):
@@ -67,6 +70,11 @@ def test_missing_coordinate_is_refused(spark):
         knn_graph(points)
 
 
+def stored_search(spark, work):
+    (path,) = pathlib.Path(work.path.removeprefix("file:")).glob("*-search")
+    return spark.read.parquet(str(path))
+
+
 def test_candidates_do_not_grow_with_the_object(spark):
     """Compared pairs per point stay level when an object gets ten times larger."""
 
@@ -74,7 +82,7 @@ def test_candidates_do_not_grow_with_the_object(spark):
         work = module.Workspace(spark)
         found = nearest_neighbours(make_points(spark, {(0, 0): curve(n, 5)}), 3, work)
         found.write.format("noop").mode("overwrite").save()
-        searched = spark.read.parquet(f"{work.path}/000-search").toPandas()
+        searched = stored_search(spark, work).filter("level > -5000").toPandas()
         xyz = searched[["x", "y", "z"]].to_numpy()
         sides = 2.0 ** searched["level"].to_numpy()
         return np.mean([
@@ -123,3 +131,39 @@ def test_components_equal_union_find(spark, max_edges, hot_rows):
     expected = {(0, i): c for i, c in enumerate(union_find(n, [r[2:] for r in rows if r[1] == 0]))}
     expected |= {(1, i): c for i, c in enumerate([0, 0, 2, 2, 4])}
     assert labels == expected
+
+
+def test_a_far_point_does_not_coarsen_the_search(spark):
+    """Candidate pairs stay about as many when another object has a point far away."""
+    rng = np.random.default_rng(8)
+    near = rng.normal(size=(3000, 3))
+
+    def level_pairs(objects):
+        work = Workspace(spark)
+        found = knn_graph(make_points(spark, objects), 3, work)
+        cells = stored_search(spark, work).filter("level > -5000").select(
+            "root_id", "level", *[F.floor(F.col(c) / F.pow(F.lit(2.0), "level")).alias(c) for c in "xyz"]
+        )
+        return cells.groupBy("root_id", "level", "x", "y", "z").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0], found
+
+    alone, _ = level_pairs({(0, 1): near})
+    beside, found = level_pairs({(0, 1): near, (0, 2): np.array([[0.0, 0, 0], [1e7, 1e7, 1e7]])})
+    assert beside < 1.5 * alone
+    within = {(0, 1): np.vstack([near[:400], [[1e9, -1e9, 1e9]]])}
+    edges = {tuple(r) for r in knn_graph(make_points(spark, within), 3).collect()}
+    assert edges == brute_edges(within)
+
+
+def test_few_points_are_searched_alone(spark):
+    """Points at the ends of batches and partitions, with ids in no order along the curve."""
+    rng = np.random.default_rng(9)
+    objects = {(0, 1): rng.permutation(curve(2500, 3)), (0, 2): curve(3, 4), (1, 1): rng.normal(size=(40, 3))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        work = Workspace(spark)
+        edges = {tuple(r) for r in knn_graph(make_points(spark, objects), 3, work).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert edges == brute_edges(objects)
+    alone = stored_search(spark, work).filter("level = -5000 AND shard = 0 AND root_id = 1").count()
+    assert alone <= 6
