@@ -10,7 +10,9 @@ shuffle joins.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import itertools
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,6 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_LEFT: dict[str, Workspace] = {}
 
 
 def _root(spark: SparkSession) -> str:
@@ -25,7 +28,7 @@ def _root(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     if sc.applicationId not in _LOCAL_ROOTS:
         root = tempfile.mkdtemp(prefix="pointlake-")
@@ -35,12 +38,17 @@ def _root(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """A fresh folder under the shared root; one per job."""
+    """A fresh folder under the shared root; one per job.
+
+    Results that are still to be read keep it; what no job has deleted goes when the
+    application ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = f"{_root(spark)}/work-{uuid.uuid4().hex}"
         self._numbers = itertools.count()
+        _LEFT[self.path] = self
 
     def location(self, name: str) -> str:
         return f"{self.path}/{next(self._numbers):03d}-{name}"
@@ -53,7 +61,16 @@ class Workspace:
 
     def delete(self) -> None:
         """Remove the folder once no DataFrame reads from it any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        sc = self.spark.sparkContext
+        stopped = sc._jsc is None
+        conf = sc._jvm.org.apache.hadoop.conf.Configuration() if stopped else sc._jsc.hadoopConfiguration()
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(conf).delete(path, True)
+        _LEFT.pop(self.path, None)
+
+
+@atexit.register
+def _delete_left() -> None:
+    for work in list(_LEFT.values()):
+        with contextlib.suppress(Exception):  # the JVM may have ended already
+            work.delete()
