@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pointlake.functions.columns import distance
 from pointlake.operators.skew import HOT_ROWS, skew_join
+from pointlake.workspace import Workspace
 
 
 def groups_with_size(df: DataFrame, keys: Sequence[str], more_than: int, less_than: int) -> DataFrame:
@@ -24,7 +25,9 @@ def with_group_mean(
     means = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), *[F.avg(F.col(c).cast("double")).alias(f"{prefix}{c}") for c in columns]
     )
-    hot = means.filter(F.col("_n") > hot_rows).select(*keys)
+    # Stored, as the list of hot groups and the join both read it.
+    means = Workspace(df.sparkSession).save(means, "means")
+    hot = means.filter(F.col("_n") > hot_rows).select(*keys, "_n")
     return skew_join(df, means.drop("_n"), keys, hot=hot)
 
 

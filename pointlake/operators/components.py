@@ -112,7 +112,7 @@ def connected_components(
             small.append(live)
             break
         # At most (all edges / max_object_edges) objects are large: a short list.
-        large = F.broadcast(work.save(sizes.filter(F.col("n") > max_object_edges).select(*OBJECT), "large"))
+        large = work.save(sizes.filter(F.col("n") > max_object_edges).select(*OBJECT), "large")
         total += counts["all"]
         small.append(live.join(large, list(OBJECT), "left_anti"))
         live, moves = _contract(live.join(large, list(OBJECT), "left_semi"), len(rounds), work, hot_rows)

@@ -37,7 +37,7 @@ def summarize(
     means = work.save(mean_vector_by(labelled, CLUSTER, "embedding", dims, counted, *centres), "means")
     ids = contiguous_labels(means, OBJECT, "cluster", "condensed_id")
     known = means.select(*CLUSTER, *[f"mean_{c}" for c in XYZ]).join(ids, list(CLUSTER))
-    hot = work.save(means.filter(F.col("n_points") > hot_rows).select(*CLUSTER), "hot")
+    hot = work.save(means.filter(F.col("n_points") > hot_rows).select(*CLUSTER, F.col("n_points").alias("_n")), "hot")
     hot = False if hot.isEmpty() else hot
     placed = skew_join(labelled.select(*CLUSTER, "pid", *XYZ), known, CLUSTER, hot=hot)
     measured = placed.withColumn("distance", distance(XYZ, [f"mean_{c}" for c in XYZ]))

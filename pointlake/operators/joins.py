@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.functions.columns import require_columns
-from pointlake.operators.skew import SALTS, skew_join
+from pointlake.operators.skew import skew_join
 
 
 def enrich(
@@ -27,7 +27,8 @@ def enrich(
     extra = extra.withColumnsRenamed(renamed)
     if hot_rows is not None:
         return skew_join(table, extra, [key], "left", hot_rows=hot_rows)
-    spread = F.pmod(F.xxhash64(*table.columns), F.lit(SALTS)).cast("int")
+    partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.pmod(F.xxhash64(*table.columns), F.lit(partitions)).cast("int")
     left = table.withColumn("_salt", F.when(F.col(key).isNull(), spread).otherwise(F.lit(0)))
     joined = left.join(extra.withColumn("_salt", F.lit(0)), [key, "_salt"], "left")
     return joined.select(*table.columns, *[c for c in extra.columns if c != key])

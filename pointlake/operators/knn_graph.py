@@ -193,7 +193,7 @@ def _among_copies(
         copies = skew_join(pts, crowded, place, hot_rows=hot_rows)
     ranked = work.save(numbered(copies, place, id_bucket("pid"), ["pid"], "rank"), "copies")
     sizes = ranked.groupBy(*place).agg(F.count(F.lit(1)).alias("size"))
-    hot = work.save(sizes.filter(F.col("size") > hot_rows).select(*place), "hot")
+    hot = work.save(sizes.filter(F.col("size") > hot_rows).select(*place, F.col("size").alias("_n")), "hot")
     sized = skew_join(ranked, sizes, place, hot=False if hot.isEmpty() else hot)
     steps = F.explode(F.sequence(F.lit(1), F.lit(k))).alias("step")
     wanted = sized.select(*place, "pid", "rank", "size", steps)

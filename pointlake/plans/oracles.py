@@ -251,6 +251,11 @@ ORACLES: dict[str, str] = {
         SELECT l_returnflag, n, count(*) AS labels
         FROM (SELECT l_returnflag, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)
         GROUP BY l_returnflag, n""",
+    "pca_facts": """
+        SELECT round(sum(v), 5) AS variance, true AS falling, true AS uncorrelated
+        FROM (SELECT i, var_pop(v) AS v FROM (
+                SELECT CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)
+              GROUP BY i)""",
     "pca_full_norm": """
         WITH cells AS (
           SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),

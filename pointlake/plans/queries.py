@@ -174,7 +174,7 @@ def replaced_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zorder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = Workspace(spark).location("clustered")
-    zorder_rewrite(spark, f"{sf_dir}/lineitem.parquet", target, ["l_partkey", "l_orderkey"], files=8)
+    zorder_rewrite(spark, f"{sf_dir}/lineitem.parquet", target, ["l_partkey", "l_orderkey"])
     return spark.read.parquet(target).select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
 
 
@@ -366,6 +366,21 @@ def pca_full_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduced.select("vec_id", F.round(F.sqrt(square), 5).alias("length"))
 
 
+def pca_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components keep the total variance, come in falling order and are uncorrelated."""
+    reduced = principal_components(table(spark, sf_dir, "embeddings"), "embedding", DIMS)
+    own = [F.var_pop(F.col("reduced")[i]).alias(f"v{i}") for i in range(DIMS)]
+    shared = [F.abs(F.covar_pop(F.col("reduced")[i], F.col("reduced")[i + 1])) for i in range(DIMS - 1)]
+    spread = reduced.agg(*own, F.greatest(*shared).alias("shared"))
+    names = [f"v{i}" for i in range(DIMS)]
+    falling = reduce(lambda a, b: a & b, [F.col(a) >= F.col(b) - 1e-9 for a, b in zip(names, names[1:], strict=False)])
+    return spread.select(
+        F.round(sum((F.col(n) for n in names[1:]), F.col(names[0])), 5).alias("variance"),
+        falling.alias("falling"),
+        (F.col("shared") < 1e-6).alias("uncorrelated"),
+    )
+
+
 def group_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     reduced = principal_components(table(spark, sf_dir, "embeddings").drop("label"), "embedding", 2)
     grouped = group_vectors(Workspace(spark).save(reduced.drop("embedding"), "reduced"), "reduced", 20)
@@ -404,7 +419,7 @@ def _square_or_fail(item: int, unwanted: frozenset[int]) -> int:
 def fanout_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"))
     unwanted = frozenset({3, 5, 7})
-    outcome = process_items(items, _square_or_fail, "long", shared={"unwanted": unwanted}, tasks=8)
+    outcome = process_items(items, _square_or_fail, "long", shared={"unwanted": unwanted})
     return outcome.withColumn("result", _shown(F.col("result")))
 
 
@@ -558,6 +573,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "relabel_mapping": relabel_mapping,
     "pca_32": pca_32,
     "pca_full_norm": pca_full_norm,
+    "pca_facts": pca_facts,
     "group_20": group_20,
     "sum_squares": sum_squares,
     "array_stats": array_stats_query,
