@@ -62,7 +62,7 @@ def skew_join(
     if hot is False:
         return left.join(right, on, how).select(*columns)
     hot = hot if hot is not None else hot_keys(left, on, hot_rows)
-    counted = F.ceil(F.col("_n") * _PARTS / hot_rows).cast("int") if "_n" in hot.columns else F.lit(salts)
+    counted = F.ceil(F.col("_n") * _PARTS / max(hot_rows, 1)).cast("int") if "_n" in hot.columns else F.lit(salts)
     marks = F.broadcast(hot.select(*on, counted.alias("_salts")))
     null_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
