@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pointlake.functions.bits import interleave
 from pointlake.functions.columns import XYZ_COLUMNS
-from pointlake.operators.labels import id_bucket, numbered
+from pointlake.operators.labels import ID_LEVELS, id_bucket, numbered
 from pointlake.operators.skew import HOT_ROWS, skew_join, stored_hot_keys
 from pointlake.workspace import Workspace
 
@@ -191,7 +191,7 @@ def _among_copies(
         copies = pts.join(F.broadcast(crowded), place)
     else:
         copies = skew_join(pts, crowded, place, hot_rows=hot_rows)
-    ranked = work.save(numbered(copies, place, id_bucket("pid"), ["pid"], "rank"), "copies")
+    ranked = work.save(numbered(copies, place, id_bucket("pid"), ["pid"], "rank", ID_LEVELS), "copies")
     sizes = ranked.groupBy(*place).agg(F.count(F.lit(1)).alias("size"))
     hot = work.save(sizes.filter(F.col("size") > hot_rows).select(*place, F.col("size").alias("_n")), "hot")
     sized = skew_join(ranked, sizes, place, hot=False if hot.isEmpty() else hot)

@@ -111,3 +111,13 @@ def test_relabel_keeps_every_row(spark):
     assert sorted(str(r["label"]) for r in found) == ["1", "2", "3", "4", "None"]
     with pytest.raises(Exception, match="no shuffled for label 4"):
         relabel(rows, mapping.filter("label <> 4"), ["g"], "label", "shuffled").collect()
+
+
+def test_far_apart_ids_are_numbered(spark):
+    keys = [i * (2**62 // 500) - 2**61 for i in range(1000)]
+    rows = spark.createDataFrame([("a" if i % 3 else None, k) for i, k in enumerate(keys)], "g string, key long")
+    found = contiguous_labels(rows, ["g"], "key", "n").collect()
+    for g in ("a", None):
+        mine = sorted((r["key"], r["n"]) for r in found if r["g"] == g)
+        assert [n for _, n in mine] == list(range(len(mine)))
+    assert len(found) == 1000
