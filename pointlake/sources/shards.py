@@ -6,7 +6,9 @@ import io
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyarrow import csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,38 +17,50 @@ from pointlake.functions.columns import id_from_name
 # Columns of a member before the embedding dimensions.
 POINT_FIELDS = "node_id decimal(20,0), x float, y float, z float"
 DIMENSIONS = 128
-_LINES_PER_BATCH = 8192
+_BLOCK_BYTES = 1 << 22
 
 
-def _member_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream every line of every member, a bounded number per batch."""
+def _member_points(dims: int, keep: int):
+    """Task helper: the typed rows of every member, block by block."""
+    kinds = {"node_id": pa.uint64(), **{c: pa.float32() for c in ("x", "y", "z")}}
+    kinds |= {f"d{i}": pa.float32() for i in range(dims)}
+    read = csv.ReadOptions(column_names=list(kinds), block_size=_BLOCK_BYTES, use_threads=False)
+    convert = csv.ConvertOptions(column_types=kinds, null_values=[""])
 
-    def batch(path: str, name: str, first: int, lines: list[str]) -> pa.RecordBatch:
-        n = len(lines)
-        return pa.RecordBatch.from_pydict(
-            {
-                "path": pa.array([path] * n, pa.string()),
-                "member": pa.array([name] * n, pa.string()),
-                "pid": pa.array(range(first, first + n), pa.int64()),
-                "line": pa.array(lines, pa.string()),
-            }
-        )
+    def vectors(rows: pa.RecordBatch) -> pa.Array:
+        parts = [rows.column(4 + i) for i in range(keep)]
+        values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in parts]).ravel()
+        missing = None
+        if any(c.null_count for c in parts):
+            missing = np.column_stack([c.is_null().to_numpy(zero_copy_only=False) for c in parts]).ravel()
+        offsets = pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * keep)
+        return pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.float32), pa.float32(), mask=missing))
 
-    for incoming in batches:
-        for row in incoming.to_pylist():
-            with zipfile.ZipFile(io.BytesIO(row["content"])) as archive:
-                for name in archive.namelist():
-                    first, lines = 0, []
-                    with archive.open(name) as member:
-                        for line in io.TextIOWrapper(member, "utf-8"):
-                            if not line.strip():
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for incoming in batches:
+            for path, content in zip(*(c.to_pylist() for c in incoming.columns), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in archive.namelist():
+                        with archive.open(name) as member:
+                            if not member.peek(1):
                                 continue
-                            lines.append(line.rstrip("\r\n"))
-                            if len(lines) == _LINES_PER_BATCH:
-                                yield batch(row["path"], name, first, lines)
-                                first, lines = first + len(lines), []
-                    if lines:
-                        yield batch(row["path"], name, first, lines)
+                            first = 0
+                            for rows in csv.open_csv(member, read_options=read, convert_options=convert):
+                                n = rows.num_rows
+                                yield pa.RecordBatch.from_arrays(
+                                    [
+                                        pa.array([path] * n, pa.string()),
+                                        pa.array([name] * n, pa.string()),
+                                        pa.array(np.arange(first, first + n)),
+                                        rows.column(0).cast(pa.decimal128(20, 0)),
+                                        *(rows.column(i) for i in (1, 2, 3)),
+                                        vectors(rows),
+                                    ],
+                                    names=["path", "member", "pid", "node_id", "x", "y", "z", "embedding"],
+                                )
+                                first += n
+
+    return points
 
 
 def list_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -58,22 +72,17 @@ def list_shards(spark: SparkSession, path: str) -> DataFrame:
 def scan_shards(spark: SparkSession, path: str, dims: int = DIMENSIONS, keep: int | None = None) -> DataFrame:
     """Points of all archives: ``shard, root_id, pid, node_id, x, y, z, embedding``.
 
-    Archives are unpacked in parallel, one task per archive, and lines leave the
-    Python worker in bounded batches. The rebalance after that keeps a shard's lines
-    together but splits a large archive over many tasks, so lines are parsed in parallel
-    and the rows are already clustered for a table partitioned by ``shard``. ``pid`` is
-    the line number within the member; ``keep`` retains only the first dimensions.
+    Archives are unpacked in parallel, one task per archive, and leave the Python worker
+    as typed blocks. The rebalance after that keeps a shard's rows together but splits a
+    large archive over many tasks, so the rows are already clustered for a table
+    partitioned by ``shard``. ``pid`` is the row number within the member; ``keep``
+    retains only the first dimensions. A value that is no number and a row of another
+    length fail the job; an empty value is null.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    lines = files.mapInArrow(_member_lines, "path string, member string, pid long, line string")
-    lines = lines.withColumn("shard", id_from_name("path")).drop("path").hint("rebalance", "shard")
-    ddl = POINT_FIELDS + ", " + ", ".join(f"d{i} float" for i in range(dims))
-    parsed = lines.withColumn("row", F.from_csv("line", ddl, {"mode": "FAILFAST"}))
-    return parsed.select(
-        "shard",
-        id_from_name("member").alias("root_id"),
-        "pid",
-        F.col("row.node_id").alias("node_id"),
-        *[F.col(f"row.{c}").alias(c) for c in "xyz"],
-        F.array(*[F.col(f"row.d{i}") for i in range(keep or dims)]).alias("embedding"),
+    schema = f"path string, member string, pid long, {POINT_FIELDS}, embedding array<float>"
+    points = files.mapInArrow(_member_points(dims, keep or dims), schema)
+    named = points.withColumn("shard", id_from_name("path")).drop("path").hint("rebalance", "shard")
+    return named.select(
+        "shard", id_from_name("member").alias("root_id"), "pid", "node_id", "x", "y", "z", "embedding"
     )

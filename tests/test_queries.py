@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
+from pointlake.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -27,7 +28,7 @@ def _rows(frame: pd.DataFrame):
     return sorted(tuple(shown(v) for v in row) for row in frame[sorted(frame.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, connection, name):
     result = contract.queries()[name](spark, SF)
     plan = result._jdf.queryExecution().executedPlan().toString()
