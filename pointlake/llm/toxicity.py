@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pointlake.llm.text import map_batches, table, text_bytes, word_hashes, words
 
 # Labelled documents the chain is fitted on, at most, chosen by a hash of their id.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 FOLDS = 5
 # Words a model may use: those whose presence departs most from independence of the label.
 MAX_WORDS = 2_000
@@ -194,6 +194,7 @@ def fit_chain(
     shapes = np.array([r["shape"] for r in sample], dtype=np.float64)
     truth = np.array([r["flags"] for r in sample], dtype=np.float64)
     fold = np.array([r["ord"] for r in sample]) % folds
+    del sample  # the arrays hold what is needed
     earlier: list[np.ndarray] = []
     models = []
     for i in range(len(names)):
