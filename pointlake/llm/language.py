@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm.text import map_batches, table, text_bytes
+from pointlake.llm.text import map_batches, slices, table, text_bytes
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16  # per width
@@ -24,8 +24,9 @@ WINDOW = 256
 TRAIN_ROWS = 6000
 STEPS = 600  # batches the network is fitted on, whatever the number of windows
 UNDETERMINED = "und"
-# A text whose best language is less likely than this is rejected by the pipeline.
-MIN_SCORE = 0.35
+# A text whose best language is less likely than this is rejected by the pipeline: with four
+# languages it looks like all of them. A short text has little to tell, and stays.
+MIN_SCORE = 0.28
 _BATCH = 128
 _CHUNK = 2048  # windows scored at a time
 
@@ -196,15 +197,12 @@ def _classify(net: Network | None, texts: list[bytes | None], letters: list[bool
     return languages, scores
 
 
-_SLICE = 256
-
-
 def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` with ``lang_pred`` and ``score``, one row per document.
 
     Every window of every text is classified. A text that is null or has no letter is
     ``und`` with score 0, as is every text without a network. Repeated rows are judged
-    alike, and a text of many windows takes no more memory than one chunk of them.
+    alike, and windows are scored a chunk at a time, however many a text has.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kept = docs.select(*keep)
@@ -213,8 +211,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: Seq
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(at, _SLICE)
+            for batch in slices(whole, len(names) - 2):
                 *own, value, letters = batch.columns
                 languages, scores = _classify(shared.value, text_bytes(value), letters.to_pylist())
                 yield pa.RecordBatch.from_arrays([*own, pa.array(languages, pa.string()), pa.array(scores)], names=names)
@@ -230,8 +227,8 @@ def keep_identified(docs: DataFrame, net: Network | None, text: str = "text", mi
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         mask: list[bool] = []
-        for start in range(0, batch.num_rows, _SLICE):
-            values = text_bytes(batch.column(at).slice(start, _SLICE))
+        for part in slices(batch, at):
+            values = text_bytes(part.column(at))
             letters = [v is not None and any(c.isalpha() for c in v.decode("utf-8", "replace")) for v in values]
             languages, scores = _classify(shared.value, values, letters)
             mask += [lang != UNDETERMINED and s >= min_score for lang, s in zip(languages, scores, strict=True)]

@@ -115,7 +115,7 @@ def cut_documents(
         encode, seen, part = encoder(vocabulary), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             done = 0
-            for texts in decoded(batch.column(1)):
+            for texts in decoded(batch, 1):
                 owner, rows = [], []
                 for i, value in enumerate(texts):
                     ids = encode(value)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,18 +58,20 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-def filter_batches(df: DataFrame, column: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """Rows of ``df``, all columns as they are, for which ``keep(column)`` is true.
+def slices(batch: pa.RecordBatch, text: int, rows: int = 256, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of at most ``rows`` rows with about ``size`` bytes in column ``text``.
 
-    No join brings the decision back to its row, so neither repeated ids nor clashing
-    column names matter and nothing is shuffled.
+    What a task makes of texts is held for one run at a time; a longer text is a run of its own.
     """
-    at = df.columns.index(column)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(keep(batch.column(at)), type=pa.bool_()))
-
-    return map_batches(df, df.schema, run)
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(lengths):
+        if i > start and (i - start == rows or held + n > size):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(lengths):
+        yield batch.slice(start)
 
 
 def text_bytes(column: pa.Array) -> list[bytes | None]:

@@ -12,14 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pointlake.llm.text import table, text_bytes
+from pointlake.llm.text import slices, table, text_bytes
 from pointlake.workspace import Workspace
 
 # A file of public_tokenizers; a vocabulary of another place is named by its path.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Lengths per bucket of the suffix sums; their totals, one row each, are summed in one task.
 _BUCKET_LENGTHS = 1024
-_SLICE = 256
 
 
 @cache
@@ -37,10 +36,10 @@ def encoder(vocabulary: str):
     return encoding.encode_ordinary
 
 
-def decoded(batch_column: pa.Array) -> Iterator[list[str]]:
-    """Texts of an Arrow column, some at a time; null is empty."""
-    for at in range(0, len(batch_column), _SLICE):
-        yield [(v or b"").decode("utf-8", "replace") for v in text_bytes(batch_column.slice(at, _SLICE))]
+def decoded(batch: pa.RecordBatch, text: int) -> Iterator[list[str]]:
+    """Texts of a column, some at a time; null is empty."""
+    for part in slices(batch, text):
+        yield [(v or b"").decode("utf-8", "replace") for v in text_bytes(part.column(text))]
 
 
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -54,7 +53,7 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, counts = encoder(vocabulary), Counter()
         for batch in batches:
-            for texts in decoded(batch.column(0)):
+            for texts in decoded(batch, 0):
                 counts.update(len(encode(t)) for t in texts)
         if counts:
             yield pa.RecordBatch.from_arrays(

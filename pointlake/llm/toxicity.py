@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm.text import map_batches, table, text_bytes, word_hashes, words
+from pointlake.llm.text import map_batches, slices, table, text_bytes, word_hashes, words
 
 # Labelled documents the chain is fitted on, at most, chosen by a hash of their id.
 TRAIN_ROWS = 8_000
@@ -28,7 +28,6 @@ THRESHOLD = 0.3
 _L1 = 7e-3
 _L2 = 1e-4
 _STEPS = 600
-_SLICE = 256
 
 N_SHAPE = 5
 
@@ -234,8 +233,7 @@ def score_toxicity(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(at, _SLICE)
+            for batch in slices(whole, 1):
                 p = predict(shared.value, text_bytes(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in p.T)], names=names)
 
@@ -251,8 +249,7 @@ def drop_toxic(docs: DataFrame, chain: Chain | None, category: str = "toxic", te
     at, which = docs.columns.index(text), chain.names.index(category)
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = [predict(shared.value, text_bytes(batch.column(at).slice(s, _SLICE)))[:, which]
-             for s in range(0, batch.num_rows, _SLICE)]
+        p = [predict(shared.value, text_bytes(part.column(at)))[:, which] for part in slices(batch, at)]
         return batch.filter(pa.array(np.concatenate(p) < threshold))
 
     return map_batches(docs, docs.schema, keep)
