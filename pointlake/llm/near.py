@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.llm.text import mix, table, text_bytes, word_hashes, words
+from pointlake.llm.text import mix, slices, table, text_bytes, word_hashes, words
 from pointlake.operators.components import smallest_reachable
 from pointlake.workspace import Workspace
 
@@ -41,7 +41,6 @@ _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 2**32, size=BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _SECOND = _rng.integers(0, 2**32, size=BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _CHUNK = 1024  # shingles hashed at a time
-_SLICE = 256
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -104,8 +103,7 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(at, _SLICE)
+            for batch in slices(whole, 2):
                 prints, bands = [], []
                 for value in text_bytes(batch.column(2)):
                     found = shingles(value)
@@ -259,23 +257,27 @@ def near_duplicates(
     found = work.save(_links(members, threshold, tolerance, block_bytes, max_blocks), "links")
     links = found.groupBy("fp").agg(F.sum("docs").alias("docs"), F.sum("classes").alias("n_class_links"))
     groups = connect(found.select(F.col("fp").alias("node"), "root"), work).withColumnRenamed("node", "fp")
-    named = work.save(classes.select("fp", "copy_id", "copies").join(groups, "fp", "left").join(links, "fp", "left"), "named")
-    least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    known = named.join(least, "root", "left").select(
+    named = classes.select("fp", "copy_id", "copies").join(groups, "fp", "left").join(links, "fp", "left")
+    # A class without links is its own group, so that no missing root gathers them.
+    named = work.save(named.withColumn("root", F.coalesce("root", "fp")), "named")
+    least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    known = named.join(least, "root").select(
         "fp",
-        F.coalesce("class_id", "copy_id").alias("class_id"),
+        "class_id",
         "copy_id",
         (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"),
         F.coalesce("n_class_links", F.lit(0)).alias("n_class_links"),
     )
-    return described.join(known, "fp", "left").select(
+    linked = described.filter("fp IS NOT NULL").join(known, "fp")
+    wordless = described.filter("fp IS NULL").select(
         "doc_id",
         "text_key",
-        F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("n_class_links", F.lit(0)).alias("n_class_links"),
+        F.col("doc_id").alias("class_id"),
+        F.col("doc_id").alias("copy_id"),
+        F.lit(0).cast("long").alias("n_links"),
+        F.lit(0).cast("long").alias("n_class_links"),
     )
+    return linked.select(*wordless.columns).unionByName(wordless)
 
 
 def _with_shingles(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
@@ -285,8 +287,7 @@ def _with_shingles(docs: DataFrame, asked: DataFrame, key: str, text: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(at, _SLICE)
+            for batch in slices(whole, 3):
                 found = [shingles(v) for v in text_bytes(batch.column(3))]
                 # An id may name other texts as well.
                 own = [len(x) > 0 and fingerprint(x) == fp for x, fp in zip(found, batch.column(0).to_pylist(), strict=True)]
