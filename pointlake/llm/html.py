@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointlake.llm.text import table, text_bytes
+from pointlake.workspace import Workspace
 
 # Elements whose text stands on lines of its own; every other element runs within a line.
 BLOCKS = frozenset(
@@ -31,7 +32,7 @@ BLOCKS = frozenset(
 # Elements that never hold text, so that they have no end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object audio video button select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas object audio video button select".split())
 # An opening tag ends an open element of these kinds, if none of the last kinds is between.
 _ENDS = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -300,7 +301,7 @@ def main_text(page: str, articles: set[str], constant: set[int]) -> str:
 
 
 def extract_main_text(
-    pages: DataFrame, url: str = "url", html_column: str = "html", key: str = "page_id"
+    pages: DataFrame, url: str = "url", html_column: str = "html", key: str = "page_id", work: Workspace | None = None
 ) -> DataFrame:
     """``key``, ``url`` and ``text``, the main text of each page; empty if it has none.
 
@@ -309,7 +310,10 @@ def extract_main_text(
     tag, entity or page is read as far as it goes, and pages of any length are read
     whole. An empty table gives no rows.
     """
-    templates = deduce_templates(occurrence_classes(pages, url, html_column, key))
+    work = work or Workspace(pages.sparkSession)
+    # Stored: its size decides how it joins, and a join of two scans can be split where
+    # a host has many pages.
+    templates = work.save(deduce_templates(occurrence_classes(pages, url, html_column, key)), "templates")
     read = pages.select(
         F.col(key).alias(key), F.col(url).alias("url"), host_of(url).alias("host"), F.col(html_column).cast("binary").alias("_html")
     )
