@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import cache
@@ -17,6 +18,10 @@ from pointlake.workspace import Workspace
 
 # A file of public_tokenizers; a vocabulary of another place is named by its path.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+# White space of the splitting pattern, and the longest run of it that its matcher is given:
+# it looks ahead behind a run and overflows its stack on one of about a million characters.
+_RUNS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
+_LONGEST_RUN = 100_000
 # Lengths per bucket of the suffix sums; their totals, one row each, are summed in one task.
 _BUCKET_LENGTHS = 1024
 
@@ -33,7 +38,22 @@ def encoder(vocabulary: str):
     encoding = tiktoken.Encoding(
         vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
     )
-    return encoding.encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        if len(text) <= _LONGEST_RUN:
+            return encoding.encode_ordinary(text)
+        ids, at = [], 0
+        for run in _RUNS.finditer(text):
+            if run.end() - run.start() > _LONGEST_RUN:
+                # The pattern makes one piece of a run up to its last character, which may
+                # begin the next piece; a run that ends the text is a piece as a whole.
+                stop = run.end() - (run.end() < len(text))
+                ids += encoding.encode_ordinary(text[at : run.start()])
+                ids += encoding._encode_single_piece(text[run.start() : stop])
+                at = stop
+        return ids + encoding.encode_ordinary(text[at:])
+
+    return encode
 
 
 def decoded(batch: pa.RecordBatch, text: int) -> Iterator[list[str]]:

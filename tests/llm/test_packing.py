@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pointlake.llm.packing import cut_documents, pack, plan_best_fit
-from pointlake.llm.tokens import context_totals, encoder, length_histogram, quantiles, truncated_totals, VOCABULARY
+import corpus_pipeline
+from pointlake.llm.packing import cut_documents, pack, packing_query, plan_best_fit
+from pointlake.llm.tokens import context_totals, encoder, length_histogram, quantiles, token_counts_query, truncated_totals, VOCABULARY
 from tests.llm.conftest import make_docs
 
 TEXTS = [None, "", "a", "word " * 700, "word " * 700, "Zwölf  kurze\n\nWörter 　 ", "<|endoftext|>", "x" * 3000, "a"]
@@ -91,3 +92,22 @@ def test_histogram_and_totals(spark):
     ]
     assert [r["length"] for r in quantiles(context_totals(histogram), [0.5, 1.0]).collect()] == [sorted(lengths)[4], max(lengths)]
     assert context_totals(length_histogram(docs.limit(0))).count() == 0
+
+
+# Runs before a word and a line, one that ends a text, and white space of three bytes.
+LONG_RUNS = ["a" + " " * 1_500_000 + "b", "\n" * 1_500_000 + "b", "word" + " \n" * 60_000, "\u3000" * 110_000 + "\n 's \x1c" + "\t" * 100_001 + "!?"]
+
+
+def test_very_long_runs_of_white_space(spark, tmp_path):
+    encode, expected = encoder(VOCABULARY), [_reference(t) for t in LONG_RUNS]
+    assert [encode(t) for t in LONG_RUNS] == expected
+    make_docs(spark, LONG_RUNS).write.parquet(str(tmp_path / "documents.parquet"))
+    lengths = token_counts_query(spark, str(tmp_path)).collect()
+    assert {r["length"]: r["documents"] for r in lengths} == dict(Counter(map(len, expected)))
+    packed = packing_query(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length")).collect()
+    assert {r[0]: r[1] for r in packed} == {i: len(ids) + 1 for i, ids in enumerate(expected)}
+    held = defaultdict(list)
+    for r in corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "").collect():
+        held[r["doc_id"]].append((r["piece"], bytes(r["ids"])))
+    for i, ids in enumerate(expected):
+        assert np.frombuffer(b"".join(b for _, b in sorted(held[i])), "<u4").tolist() == ids + [0]
