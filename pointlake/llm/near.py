@@ -180,8 +180,7 @@ def _compare(left: list, right: list | None, kind: int, needed: list[int], thres
 def _compare_blocks(frame: pd.DataFrame, needed: list[int], threshold: float) -> pd.DataFrame:
     """Links found in one pair of blocks: a row for each class that has any."""
     first = frame.iloc[0]
-    # A repeated document would bring its class twice.
-    frame = frame.drop_duplicates("fp").sort_values("fp")
+    frame = frame.sort_values("fp")
     entries = [
         (bytes(r.fp), int(r.copies), np.frombuffer(r.sign, np.uint32), np.frombuffer(r.shingles, np.uint64))
         for r in frame.itertuples()
@@ -244,7 +243,13 @@ def near_duplicates(
     classes = work.save(
         described.filter("fp IS NOT NULL")
         .groupBy("fp")
-        .agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")),
+        .agg(
+            # The first document of the class; one without an id comes last.
+            F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first"),
+            F.count(F.lit(1)).alias("copies"),
+            F.first("bands").alias("bands"),
+        )
+        .select("fp", F.col("first.doc_id").alias("copy_id"), F.col("first.text_key").alias("text_key"), "copies", "bands"),
         "classes",
     )
     bands = classes.select("fp", F.explode("bands").alias("band"))
@@ -281,15 +286,16 @@ def near_duplicates(
 
 
 def _with_shingles(docs: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
-    """``asked`` classes with the signature and shingles of their first document."""
-    texts = docs.select(F.col(key).alias("_id"), F.col(text).cast("binary").alias("_text"))
-    joined = texts.join(asked, texts["_id"].eqNullSafe(asked["copy_id"])).select("fp", "copies", "root", "_text")
+    """``asked`` classes, a row each, with the signature and shingles of their first document."""
+    texts = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_key"), F.col(text).cast("binary").alias("_text"))
+    same = texts["_id"].eqNullSafe(asked["copy_id"]) & (texts["_key"] == asked["text_key"])
+    # Rows repeated with that id and text are dropped in the task that joins them.
+    joined = texts.join(asked, same).groupBy("fp").agg(*(F.first(c).alias(c) for c in ("copies", "root", "_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 3):
                 found = [shingles(v) for v in text_bytes(batch.column(3))]
-                # An id may name other texts as well.
                 own = [len(x) > 0 and fingerprint(x) == fp for x, fp in zip(found, batch.column(0).to_pylist(), strict=True)]
                 kept = [x for x, is_own in zip(found, own, strict=True) if is_own]
                 yield pa.RecordBatch.from_arrays(

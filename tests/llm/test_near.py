@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pointlake.llm.near import keep_first, least_matches, near_duplicates, shingles
+from pointlake.llm import near
+from pointlake.llm.near import _links, keep_first, least_matches, near_duplicates, shingles
 from tests.llm.conftest import make_docs
 
 
@@ -68,6 +69,24 @@ def test_ids_that_are_null_or_name_two_texts(spark):
     assert near_duplicates(make_docs(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("key", [7, None])
+def test_repeats_of_a_row_are_one_member(spark, monkeypatch, key):
+    rng = random.Random(3)
+    one, other, third = ([t, f"{t} end"] for t in _group(rng, 1, 300, 0) + _group(rng, 1, 300, 0) + _group(rng, 1, 300, 0))
+    # Rows that share the id but not the text are members of their own classes only.
+    rows = [(key, one[0])] * 400 + [(key, one[1]), (key, other[0]), (None, third[0]), (None, third[1]), (9, one[0])]
+    seen = []
+
+    def links(members, *rest):
+        seen.extend(r["fp"] for r in members.select("fp").collect())
+        return _links(members, *rest)
+
+    monkeypatch.setattr(near, "_links", links)
+    found = near_duplicates(make_docs(spark, rows), block_bytes=30_000, max_blocks=2).collect()
+    assert len(seen) == len({bytes(x) for x in seen}) == 4
+    assert sorted(r["n_links"] for r in found) == sorted([401] * 402 + [0] + [1] * 2)
+
+
 def test_pruning_spares_pairs_at_the_threshold():
     needed = least_matches()
     rng = random.Random(1)
