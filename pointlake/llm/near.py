@@ -238,6 +238,13 @@ def near_duplicates(
     so chains of accidental candidates are not multiplied out. Either way every candidate
     pair is judged, once. Copies weigh in by their number and never form pairs.
     """
+    return _grouped(docs, key, text, threshold, tolerance, work, block_bytes, max_blocks).drop("root")
+
+
+def _grouped(
+    docs: DataFrame, key: str, text: str, threshold: float, tolerance: float, work: Workspace | None, block_bytes: int, max_blocks: int
+) -> DataFrame:
+    """Rows of :func:`near_duplicates` with ``root``, the same in a group of linked classes; null without words."""
     work = work or Workspace(docs.sparkSession)
     described = work.save(describe(docs, key, text), "described")
     classes = work.save(
@@ -268,6 +275,7 @@ def near_duplicates(
     least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     known = named.join(least, "root").select(
         "fp",
+        "root",
         "class_id",
         "copy_id",
         (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"),
@@ -281,6 +289,7 @@ def near_duplicates(
         F.col("doc_id").alias("copy_id"),
         F.lit(0).cast("long").alias("n_links"),
         F.lit(0).cast("long").alias("n_class_links"),
+        F.lit(None).cast("binary").alias("root"),
     )
     return linked.select(*wordless.columns).unionByName(wordless)
 
@@ -351,6 +360,45 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     return docs.join(gone, same, "left_anti")
 
 
+def keep_one(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    threshold: float = THRESHOLD,
+    tolerance: float = TOLERANCE,
+    work: Workspace | None = None,
+    block_bytes: int = BLOCK_BYTES,
+    max_blocks: int = MAX_BLOCKS,
+) -> DataFrame:
+    """``docs`` with exactly one row of each group of near duplicates, and every row without words.
+
+    The row of the least id stays, one without an id last; of texts under one id the one of
+    the least hash, and any of the rows that repeat that id and text.
+    """
+    work = work or Workspace(docs.sparkSession)
+    found = _grouped(docs, key, text, threshold, tolerance, work, block_bytes, max_blocks).filter("root IS NOT NULL")
+    rows = found.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    rows = work.save(rows.withColumn("unnamed", F.col("doc_id").isNull()), "rows")
+    place = F.struct("unnamed", "doc_id", "text_key")
+    firsts = work.save(rows.groupBy("root").agg(F.min(F.struct("unnamed", "doc_id", "text_key", "n")).alias("first")), "firsts")
+    is_first = place.eqNullSafe(F.struct("first.unnamed", "first.doc_id", "first.text_key"))
+    gone = rows.join(firsts, "root").filter(~is_first).select("doc_id", "text_key")
+    repeated = work.save(
+        firsts.filter("first.n > 1").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")),
+        "repeated",
+    )
+
+    def same(other: DataFrame):
+        return docs[key].eqNullSafe(other["doc_id"]) & (F.xxhash64(docs[text]) == other["text_key"])
+
+    if repeated.isEmpty():
+        return docs.join(gone, same(gone), "left_anti")
+    taken = gone.unionByName(repeated)
+    again = docs.join(repeated, same(repeated), "left_semi")
+    one = again.groupBy(F.col(key), F.xxhash64(text)).agg(F.first(F.struct(*again.columns)).alias("row")).select("row.*")
+    return docs.join(taken, same(taken), "left_anti").unionByName(one)
+
+
 def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and links of every document."""
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")

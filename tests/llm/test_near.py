@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pointlake.llm import near
 from pointlake.llm.near import _links, keep_first, least_matches, near_duplicates, shingles
 from tests.llm.conftest import make_docs
@@ -87,6 +88,16 @@ def test_repeats_of_a_row_are_one_member(spark, monkeypatch, key):
     assert sorted(r["n_links"] for r in found) == sorted([401] * 402 + [0] + [1] * 2)
 
 
+def test_the_stage_leaves_one_row_of_each_group(spark):
+    near_texts = [f"{' '.join(f'w{n}' for n in range(100))} {end}" for end in "ab"]
+    rows = [(5, near_texts[0]), (5, near_texts[1]), (5, "one two three four five six")] + [(8, "other words than these in it")] * 6
+    rows += [(None, "no id has this text at all")] * 3 + [(None, near_texts[0]), (None, "!!"), (None, "!!"), (4, None)]
+    kept = corpus_pipeline.near_duplicates(spark, make_docs(spark, rows).repartition(3), "")
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    found = sorted((r["doc_id"] or -1, (r["text"] or "")[:3]) for r in kept.collect())
+    assert found == [(-1, "!!"), (-1, "!!"), (-1, "no "), (4, ""), (5, "one"), (5, "w0 "), (8, "oth")]
+
+
 def test_pruning_spares_pairs_at_the_threshold():
     needed = least_matches()
     rng = random.Random(1)
