@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pointlake.llm import chat, decontamination, html, language, near, packing, sharding, tokens, topk, toxicity
+from pointlake.llm import chat, decontamination, divergence, html, language, lines, near, packing, runs, sharding, tokens, topk, toxicity
 
-_MODULES = [chat, decontamination, html, language, near, packing, sharding, tokens, topk, toxicity]
+_MODULES = [chat, decontamination, divergence, html, language, lines, near, packing, runs, sharding, tokens, topk, toxicity]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
