@@ -1,13 +1,14 @@
 """Toxicity by a classifier chain of sparse linear models, trained here in numpy.
 
-Categories are predicted one after the other. Each model sees the words of the text and
-the probabilities of the earlier categories; those it is trained with are out-of-fold, so
-that they look as they will for texts that no model has seen.
+Categories are predicted one after the other. Each model sees the words of the text, what
+they begin with, and the probabilities of the earlier categories; those it is trained with
+are out-of-fold, so that they look as they will for texts that no model has seen. The
+penalty that chooses the words is the one of least out-of-fold loss.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,23 +19,28 @@ from pyspark.sql import functions as F
 from pointlake.llm.text import map_batches, slices, table, text_bytes, word_hashes, words
 
 # Labelled documents the chain is fitted on, at most, chosen by a hash of their id.
-TRAIN_ROWS = 8_000
-FOLDS = 5
-# Words a model may use: those whose presence departs most from independence of the label.
+TRAIN_ROWS = 12_000
+FOLDS = 3
+# Words also count by their first bytes, as many languages inflect a word at its end.
+STEMS = (4, 6, 8)
+# Words and stems a model may use: those whose presence departs most from independence of the label.
 MAX_WORDS = 2_000
-MIN_DOCUMENTS = 5  # documents of the sample that a usable word occurs in
+MIN_DOCUMENTS = 3  # documents of the sample that a usable word or stem occurs in
 # Texts without a telling word stay near the share of wrong labels, far below this.
-THRESHOLD = 0.3
-_L1 = 7e-3
+THRESHOLD = 0.4
+# Penalties tried, from the one that keeps the fewest words on.
+PENALTIES = (1e-3, 2.5e-4, 1.2e-4)
 _L2 = 1e-4
 _STEPS = 600
+_STILL = 1e-4  # weights that change by less than this part of the largest have converged
 
 N_SHAPE = 5
+CATEGORIES = ("low_quality", "toxic")
 
 
 @dataclass
 class Model:
-    """Logistic model: sorted word hashes with weights, and weights of the other inputs."""
+    """Logistic model: sorted hashes of words and stems with weights, and weights of the other inputs."""
 
     hashes: np.ndarray
     weights: np.ndarray
@@ -64,10 +70,13 @@ def shape(text: bytes, tokens: list[bytes], distinct: int) -> list[float]:
 
 
 def text_features(text: bytes | None) -> tuple[np.ndarray, list[float]]:
-    """Hashes of the distinct words of a whole text, and its shape."""
+    """32-bit hashes of the distinct words and stems of a whole text, and its shape."""
     tokens = words(text)
-    distinct = list(set(tokens))
-    return np.sort(word_hashes(distinct)), shape(text or b"", tokens, len(distinct))
+    distinct = set(tokens)
+    # No word holds a blank, so a stem is told from a word.
+    stems = {w[:n] + b" " for n in STEMS for w in distinct if len(w) > n}
+    hashes = (word_hashes([*distinct, *stems]) >> np.uint64(32)).astype(np.uint32)
+    return np.unique(hashes), shape(text or b"", tokens, len(distinct))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -79,64 +88,118 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p)) / 10
 
 
-def fit_model(bags: list[np.ndarray], other: np.ndarray, labels: np.ndarray) -> Model:
-    """Logistic regression with an L1 penalty on the words, by accelerated proximal steps.
-
-    Texts with the same words count once: many copies of one text are no more evidence.
+class Sample:
+    """Labelled texts as rows of numbered words; only words of enough texts have a number."""
+
+    def __init__(self, bags: list[np.ndarray]):
+        flat = np.concatenate([*bags, np.zeros(0, np.uint32)])
+        row = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b in bags])
+        # Texts a word may occur in at most, by coarse buckets; most rare words end here.
+        coarse = np.bincount(flat & np.uint32((1 << 22) - 1), minlength=1 << 22)
+        use = coarse[flat & np.uint32((1 << 22) - 1)] >= MIN_DOCUMENTS
+        flat, row = flat[use], row[use]
+        hashes, column, total = np.unique(flat, return_inverse=True, return_counts=True)
+        use = total[column] >= MIN_DOCUMENTS
+        number = np.cumsum(total >= MIN_DOCUMENTS) - 1
+        self.hashes = hashes[total >= MIN_DOCUMENTS]
+        self.row, self.column = row[use], number[column[use]].astype(np.int32)
+        self.size = len(bags)
+
+    def fit(self, other: np.ndarray, labels: np.ndarray, penalties: Sequence[float], rows: np.ndarray | None = None) -> list[Model]:
+        """A logistic regression for each penalty on the words, fitted on some of the rows.
+
+        The words that depart most from independence of the label take part. Accelerated
+        proximal steps start from the solution of the penalty before.
+        """
+        inside = np.ones(self.size, bool) if rows is None else rows
+        place = np.cumsum(inside) - 1
+        use = inside[self.row]
+        row, column = place[self.row[use]], self.column[use]
+        other, labels = other[inside], labels[inside]
+        n, share = len(labels), labels.mean()
+        total = np.bincount(column, minlength=len(self.hashes))
+        positive = np.bincount(column, weights=labels[row], minlength=len(self.hashes))
+        expected = total * share
+        departure = np.abs(positive - expected) / np.sqrt(np.maximum(expected * (1 - share), 1e-9))
+        departure[total < MIN_DOCUMENTS] = -1
+        kept = np.sort(np.argsort(-departure, kind="stable")[:MAX_WORDS])
+        kept = kept[departure[kept] >= 0]
+        number = np.full(len(self.hashes), -1)
+        number[kept] = np.arange(len(kept))
+        use = number[column] >= 0
+        row, column, d = row[use], number[column[use]], len(kept)
+
+        def descend(w: np.ndarray, l1: float, l2: float) -> np.ndarray:
+            """Weights of the words in use, then of the other inputs; the last one is never shrunk."""
+
+            def times(w: np.ndarray) -> np.ndarray:
+                return np.bincount(row, weights=w[:d][column], minlength=n) + other @ w[d:]
+
+            def back(r: np.ndarray) -> np.ndarray:
+                return np.concatenate([np.bincount(column, weights=r[row], minlength=d), r @ other])
+
+            v = np.ones(d + other.shape[1])
+            for _ in range(15):
+                v = back(times(v))
+                norm = np.linalg.norm(v)
+                v /= norm
+            rate = 4 * n / norm
+            ahead, momentum = w, 1.0
+            for _ in range(_STEPS):
+                slope = back(_sigmoid(times(ahead)) - labels) / n
+                slope[:-1] += l2 * ahead[:-1]
+                step = ahead - rate * slope
+                step[:-1] = np.sign(step[:-1]) * np.maximum(np.abs(step[:-1]) - rate * l1, 0)
+                following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+                ahead = step + (momentum - 1) / following * (step - w)
+                still = np.abs(step - w).max() <= _STILL * max(np.abs(step).max(), 1e-3)
+                w, momentum = step, following
+                if still:
+                    break
+            return w
+
+        models, path, entries = [], np.zeros(d + other.shape[1]), (row, column)
+        for l1 in penalties:
+            row, column, d = *entries, len(kept)
+            path = descend(path, l1, 0.0)
+            # The penalty chose the words and shrank their weights; these are fitted again without it.
+            chosen = np.flatnonzero(path[:d])
+            renumber = np.full(d, -1)
+            renumber[chosen] = np.arange(len(chosen))
+            use = renumber[column] >= 0
+            row, column, d = row[use], renumber[column[use]], len(chosen)
+            w = descend(np.concatenate([path[chosen], path[len(kept) :]]), 0.0, _L2)
+            models.append(Model(self.hashes[kept[chosen]], w[:d], w[d:]))
+        return models
+
+
+def _loss(p: np.ndarray, labels: np.ndarray) -> float:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return float(-(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean())
+
+
+def fit_category(
+    sample: Sample, bags: list[np.ndarray], other: np.ndarray, labels: np.ndarray, fold: np.ndarray, penalties: Sequence[float] = PENALTIES
+) -> tuple[Model, np.ndarray]:
+    """The model of the penalty with the least out-of-fold loss, and its out-of-fold probabilities.
+
+    Ties go to the stronger penalty. Without two folds that have rows there is no
+    out-of-fold prediction: the share of the label stands for it and the middle penalty is used.
     """
-    first = np.array(sorted({(b.tobytes(), y): i for i, (b, y) in enumerate(zip(bags, labels, strict=True))}.values()))
-    bags, other, labels = [bags[i] for i in first], other[first], labels[first]
-    n = len(labels)
-    flat = np.concatenate([*bags, np.zeros(0, np.uint64)])
-    row = np.repeat(np.arange(n), [len(b) for b in bags])
-    hashes, column, total = np.unique(flat, return_inverse=True, return_counts=True)
-    positive = np.bincount(column, weights=labels[row], minlength=len(hashes))
-    share = labels.mean()
-    expected = total * share
-    departure = np.abs(positive - expected) / np.sqrt(np.maximum(expected * (1 - share), 1e-9))
-    departure[total < MIN_DOCUMENTS] = -1
-    kept = np.sort(np.argsort(-departure, kind="stable")[:MAX_WORDS])
-    kept = kept[departure[kept] >= 0]
-    number = np.full(len(hashes), -1)
-    number[kept] = np.arange(len(kept))
-    use = number[column] >= 0
-    row, column = row[use], number[column[use]]
-    d = len(kept)
-
-    def times(w: np.ndarray) -> np.ndarray:
-        return np.bincount(row, weights=w[:d][column], minlength=n) + other @ w[d:]
-
-    def back(r: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(column, weights=r[row], minlength=d), r @ other])
-
-    v = np.ones(d + other.shape[1])
-    for _ in range(15):
-        v = back(times(v))
-        norm = np.linalg.norm(v)
-        v /= norm
-    rate = 4 * n / norm
-
-    def descend(w: np.ndarray, l1: float, l2: float, free: np.ndarray) -> np.ndarray:
-        ahead, momentum = w, 1.0
-        for _ in range(_STEPS):
-            slope = back(_sigmoid(times(ahead)) - labels) / n
-            slope[:-1] += l2 * ahead[:-1]
-            step = (ahead - rate * slope) * free
-            step[:-1] = np.sign(step[:-1]) * np.maximum(np.abs(step[:-1]) - rate * l1, 0)
-            following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-            ahead = step + (momentum - 1) / following * (step - w)
-            w, momentum = step, following
-        return w
-
-    w = descend(np.zeros(d + other.shape[1]), _L1, 0.0, np.ones(d + other.shape[1]))
-    # The penalty chose the inputs and shrank their weights; they are fitted again without it.
-    w = descend(w, 0.0, _L2, np.append(w[:-1] != 0, True))
-    used = np.flatnonzero(w[:d])
-    return Model(hashes[kept[used]], w[used], w[d:])
+    outside = np.full((len(penalties), len(labels)), labels.mean())
+    parts = np.unique(fold)
+    if len(parts) < 2:
+        return sample.fit(other, labels, penalties)[len(penalties) // 2], outside[0]
+    for part in parts:
+        test = np.flatnonzero(fold == part)
+        for i, model in enumerate(sample.fit(other, labels, penalties, fold != part)):
+            outside[i, test] = apply_model(model, [bags[j] for j in test], other[test])
+    best = int(np.argmin([_loss(p, labels) for p in outside]))
+    return sample.fit(other, labels, penalties[: best + 1])[best], outside[best]
 
 
 def apply_model(model: Model, bags: list[np.ndarray], other: np.ndarray) -> np.ndarray:
-    flat = np.concatenate([*bags, np.zeros(0, np.uint64)])
+    flat = np.concatenate([*bags, np.zeros(0, np.uint32)])
     row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     score = other @ model.other
     if len(model.hashes) and len(flat):
@@ -166,6 +229,8 @@ def fit_chain(
     flags = labels.select(
         F.col(key).alias("_key"), hashed.alias("_order"), *[c.cast("int").alias(f"_c{i}") for i, c in enumerate(categories.values())]
     ).dropna()
+    # Labels of documents that are not there use up none of the rows.
+    flags = flags.join(docs.select(F.col(key).alias("_key")), "_key", "left_semi")
     # Not more than ``rows`` rows of numbers: the bound of what is broadcast.
     chosen = flags.orderBy("_order", *[c for c in flags.columns if c != "_order"]).limit(rows)
     texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"))
@@ -189,44 +254,46 @@ def fit_chain(
     sample = map_batches(joined, schema, featurise).orderBy("ord", "words").limit(rows).collect()
     if not sample:
         return None
-    bags = [np.frombuffer(bytes(r["words"]), dtype=np.uint64) for r in sample]
-    shapes = np.array([r["shape"] for r in sample], dtype=np.float64)
-    truth = np.array([r["flags"] for r in sample], dtype=np.float64)
-    fold = np.array([r["ord"] for r in sample]) % folds
-    del sample  # the arrays hold what is needed
+    # Texts with the same words count once: many copies of one text are no more evidence.
+    once = {(bytes(r["words"]), *r["flags"]): (r["shape"], r["ord"]) for r in sample}
+    del sample
+    bags = [np.frombuffer(w, dtype=np.uint32) for w, *_ in once]
+    truth = np.array([flags for _, *flags in once], dtype=np.float64)
+    shapes = np.array([s for s, _ in once.values()], dtype=np.float64)
+    fold = np.array([o for _, o in once.values()]) % folds
+    del once  # the arrays hold what is needed
+    numbered = Sample(bags)
     earlier: list[np.ndarray] = []
     models = []
     for i in range(len(names)):
-        other, y = _inputs(shapes, earlier), truth[:, i]
-        models.append(fit_model(bags, other, y))
-        if i + 1 < len(names):
-            outside = np.full(len(y), y.mean())
-            for f in range(folds):
-                test = np.flatnonzero(fold == f)
-                rest = np.flatnonzero(fold != f)
-                if len(test) and len(rest):
-                    part = fit_model([bags[j] for j in rest], other[rest], y[rest])
-                    outside[test] = apply_model(part, [bags[j] for j in test], other[test])
-            earlier.append(outside)
+        model, outside = fit_category(numbered, bags, _inputs(shapes, earlier), truth[:, i], fold)
+        models.append(model)
+        earlier.append(outside)
     return Chain(names, models)
 
 
 def predict(chain: Chain, texts: list[bytes | None]) -> np.ndarray:
-    """Probability of each category (columns) for each text (rows)."""
+    """Probability of each category (columns) for each text (rows); NaN for a text without a word."""
     found = [text_features(t) for t in texts]
     bags, shapes = [w for w, _ in found], np.array([s for _, s in found]).reshape(-1, N_SHAPE)
     earlier: list[np.ndarray] = []
     for model in chain.models:
         earlier.append(apply_model(model, bags, _inputs(shapes, earlier)))
-    return np.column_stack(earlier)
+    p = np.column_stack(earlier)
+    p[[len(bag) == 0 for bag in bags]] = np.nan
+    return p
 
 
-def score_toxicity(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, chain: Chain | None, key: str = "doc_id", text: str = "text",
+                   names: Sequence[str] = CATEGORIES) -> DataFrame:
     """``key`` and a column ``p_<category>`` for each category, one row per document.
 
-    All words of the whole text count. A null or empty text has no words and gets what the
-    chain says of such texts; repeated rows are scored alike.
+    All words of the whole text count; repeated rows are scored alike. A text without a
+    word, null and empty ones among them, has nothing to judge: its probabilities are null.
+    So are those of ``names`` without a chain, as there was no labelled document.
     """
+    if chain is None:
+        return docs.select(key, *[F.lit(None).cast("double").alias(f"p_{n}") for n in names])
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     names = [key, *(f"p_{n}" for n in chain.names)]
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"`{n}` double" for n in names[1:])
@@ -235,14 +302,14 @@ def score_toxicity(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str
         for whole in batches:
             for batch in slices(whole, 1):
                 p = predict(shared.value, text_bytes(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in p.T)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, from_pandas=True) for c in p.T)], names=names)
 
     return docs.select(key, F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, chain: Chain | None, category: str = "toxic", text: str = "text",
                threshold: float = THRESHOLD) -> DataFrame:
-    """Documents whose ``category`` stays under ``threshold``, all columns as they are."""
+    """Documents whose ``category`` is not ``threshold`` or more, all columns as they are."""
     if chain is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(chain)
@@ -250,21 +317,22 @@ def drop_toxic(docs: DataFrame, chain: Chain | None, category: str = "toxic", te
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = [predict(shared.value, text_bytes(part.column(at)))[:, which] for part in slices(batch, at)]
-        return batch.filter(pa.array(np.concatenate(p) < threshold))
+        return batch.filter(pa.array(~(np.concatenate(p) >= threshold)))
 
     return map_batches(docs, docs.schema, keep)
 
 
 def label_chain(docs: DataFrame, labels: DataFrame) -> Chain | None:
     """The chain for the given labels: low quality first, toxicity with its probability."""
-    return fit_chain(docs, labels, {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+    conditions = [F.col("quality") == 0, F.col("toxic") == 1]
+    return fit_chain(docs, labels, dict(zip(CATEGORIES, conditions, strict=True)))
 
 
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of every document, and whether it is toxic."""
     docs = table(spark, sf_dir, "documents")
     chain = label_chain(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, chain).withColumn("toxic", F.col("p_toxic") >= THRESHOLD)
+    return score_toxicity(docs, chain).withColumn("toxic", F.coalesce(F.col("p_toxic") >= THRESHOLD, F.lit(False)))
 
 
 QUERIES = {"op9_toxicity": toxicity_query}
