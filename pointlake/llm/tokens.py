@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -16,7 +18,8 @@ from pyspark.sql.window import Window
 from pointlake.llm.text import slices, table, text_bytes
 from pointlake.workspace import Workspace
 
-# A file of public_tokenizers; a vocabulary of another place is named by its path.
+# A file of public_tokenizers; a vocabulary of another place is named by its path. Strings
+# that are tokens by themselves are listed in the JSON file of the same name beside it.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # White space of the splitting pattern, and the longest run of it that its matcher is given:
 # it looks ahead behind a run and overflows its stack on one of about a million characters.
@@ -26,9 +29,26 @@ _LONGEST_RUN = 100_000
 _BUCKET_LENGTHS = 1024
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Strings that a vocabulary adds as whole tokens, with their ids; none without a JSON file."""
+    beside = path.removesuffix(".tiktoken") + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as described:
+        listed = json.load(described).get("added_tokens", [])
+    odd = [t["content"] for t in listed if t["single_word"] or t["lstrip"] or t["rstrip"]]
+    if odd:
+        raise ValueError(f"added tokens that take the blanks beside them are not supported: {odd}")
+    return {t["content"]: t["id"] for t in listed}
+
+
 @cache
 def encoder(vocabulary: str):
-    """``text -> ids`` for a rank file, once per process; no string in a text is special."""
+    """``text -> ids`` for a rank file, once per process.
+
+    Ids are those of the JSON file beside it: a string that it adds as a token is that
+    token wherever it stands, the longest first; the text between is encoded by itself.
+    """
     import public_tokenizers
     import tiktoken
 
@@ -38,8 +58,10 @@ def encoder(vocabulary: str):
     encoding = tiktoken.Encoding(
         vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
     )
+    added = added_tokens(path)
+    whole = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or "(?!)")
 
-    def encode(text: str) -> list[int]:
+    def encode_plain(text: str) -> list[int]:
         if len(text) <= _LONGEST_RUN:
             return encoding.encode_ordinary(text)
         ids, at = [], 0
@@ -53,6 +75,14 @@ def encoder(vocabulary: str):
                 at = stop
         return ids + encoding.encode_ordinary(text[at:])
 
+    def encode(text: str) -> list[int]:
+        ids, at = [], 0
+        for token in whole.finditer(text):
+            ids += encode_plain(text[at : token.start()])
+            ids.append(added[token.group()])
+            at = token.end()
+        return ids + encode_plain(text[at:]) if ids else encode_plain(text)
+
     return encode
 
 
