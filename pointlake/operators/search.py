@@ -64,22 +64,24 @@ class VectorIndex:
 
         rough = probed.select(*self.pid, F.pandas_udf(estimate, "double")("codes").alias("_rough"))
         short = rough.orderBy("_rough", *self.pid).limit(k * refine).drop("_rough")
-        chosen = probed.drop("codes", "cell").join(short, self.pid)
+        chosen = probed.drop("codes", "cell", "far").join(short, self.pid)
         return nearest(chosen, self.vector, query, k, self.pid)
 
     def coded(self, df: DataFrame) -> DataFrame:
-        """``df`` with the ``cell`` and ``codes`` of each vector."""
+        """``df`` with the ``cell`` and ``codes`` of each vector, and how ``far`` it is from the centre."""
         centres = self.centres
 
-        def assign(vectors: pd.Series) -> pd.Series:
+        def assign(vectors: pd.Series) -> pd.DataFrame:
             matrix = np.stack(vectors.to_numpy()).astype("float64")
-            return pd.Series(((centres**2).sum(1) - 2 * matrix @ centres.T).argmin(axis=1))
+            cell = ((centres**2).sum(1) - 2 * matrix @ centres.T).argmin(axis=1)
+            return pd.DataFrame({"cell": cell, "far": np.sqrt(((matrix - centres[cell]) ** 2).sum(axis=1))})
 
-        return df.select(
+        placed = df.select(
             *df.columns,
-            F.pandas_udf(assign, "int")(self.vector).alias("cell"),
+            F.pandas_udf(assign, "cell int, far double")(self.vector).alias("_place"),
             F.pandas_udf(_encoder(self.books), "array<smallint>")(self.vector).alias("codes"),
         )
+        return placed.select(*df.columns, "_place.cell", "codes", "_place.far")
 
     def append(self, df: DataFrame) -> None:
         """Add rows to the stored ones; cells and codes stay as they were trained."""

@@ -186,7 +186,13 @@ ORACLES: dict[str, str] = {
           UNION ALL SELECT 'partitions', * FROM rows WHERE p >= 3 OR n = 1)
         SELECT way, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS keys, round(sum(l_quantity), 2) AS quantity
         FROM ways GROUP BY way""",
-    "ann_recall": "SELECT vec_id, true AS found FROM embeddings ORDER BY vec_id LIMIT 5",
+    "ann_recall": """
+        WITH far AS (
+          SELECT q.vec_id AS query_id, v.vec_id, round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS distance
+          FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM far)
+        SELECT query_id, rank, vec_id, round(distance, 4) AS distance, true AS enough FROM ranked WHERE rank <= 10""",
+    "ann_ivf": "SELECT vec_id AS query_id, 10 AS n, CAST(0 AS DOUBLE) AS least FROM embeddings WHERE vec_id % 100 = 0",
     "relabel_mapping": """
         SELECT l_returnflag, count(DISTINCT l_suppkey) AS labels, count(DISTINCT l_suppkey) AS names,
                count(DISTINCT l_suppkey) AS pairs, count(DISTINCT l_suppkey) AS known, true AS moved

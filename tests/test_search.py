@@ -2,8 +2,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pointlake.operators import batched_search
+from pointlake.operators.batched_search import nearest_many, search_many, visited_cells
 from pointlake.operators.reduce import group_vectors, principal_components
 from pointlake.operators.search import VectorIndex, build_index, nearest
+from pointlake.workspace import Workspace
 
 DIMS = 16
 
@@ -50,6 +53,66 @@ def test_index_finds_most_and_all_with_full_probe(spark, vectors, tmp_path):
     assert "PartitionFilters: [isnotnull(cell" in plan or "cell" in plan.split("PartitionFilters")[1][:80]
 
 
+@pytest.fixture(scope="module")
+def index(spark, vectors, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("index") / "i")
+    return build_index(vectors[0], path, "embedding", ["vec_id"], DIMS, cells=12, parts=4, codes=32)
+
+
+def _queries(spark, rows, ids):
+    frame = pd.DataFrame({"query_id": ids, "query": [rows[i].tolist() for i in ids]})
+    return spark.createDataFrame(frame, "query_id long, query array<float>")
+
+
+def _by_query(found):
+    lists = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        lists.setdefault(r["query_id"], []).append(r["vec_id"])
+    return lists
+
+
+@pytest.mark.parametrize("block", [4096, 37])
+def test_many_queries_are_exact(spark, vectors, index, monkeypatch, block):
+    """Also where cells are dealt into many blocks on both sides, and with copies of a vector."""
+    monkeypatch.setattr(batched_search, "BLOCK_ROWS", block)
+    monkeypatch.setattr(batched_search, "BLOCK_QUERIES", block)
+    df, rows = vectors
+    ids = [*range(0, 1500, 25), 7]
+    found = _by_query(nearest_many(index, _queries(spark, rows, ids), 10))
+    assert found == {i: exact(rows, rows[i], 10) for i in ids}
+
+
+def test_far_queries_and_more_rows_than_there_are(spark, vectors, index):
+    df, rows = vectors
+    odd = np.vstack([rows[:1] * 0, rows[:1] * 50, rows[:1] + 1000]).astype("float32")
+    found = _by_query(nearest_many(index, _queries(spark, odd, [0, 1, 2]), 30))
+    assert found == {i: exact(rows, odd[i], 30) for i in range(3)}
+    everything = _by_query(nearest_many(index, _queries(spark, rows, [3]), 2000))
+    assert everything == {3: exact(rows, rows[3], 1500)}
+    none = spark.createDataFrame([(1, None)], "query_id long, query array<float>")
+    assert nearest_many(index, none, 5).count() == search_many(index, none, 5).count() == 0
+
+
+def test_most_cells_are_skipped(spark, vectors, index):
+    """On clustered data few cells are within the bound; the rest are never compared."""
+    df, rows = vectors
+    work, queries = Workspace(spark), _queries(spark, rows, list(range(0, 1500, 50)))
+    first, later = visited_cells(index, queries, 10, "query_id", "query", work)
+    near = nearest_many(index, queries, 10).groupBy("query_id").agg({"distance": "max"}).withColumnRenamed("max(distance)", "far")
+    rest = later(queries.join(near, "query_id").selectExpr("query_id", "query", "far * far AS bound"))
+    assert (first.count() + rest.count()) / (30 * 12) < 0.35
+
+
+def test_many_queries_through_the_codes(spark, vectors, index):
+    df, rows = vectors
+    ids = list(range(0, 1500, 25))
+    found = _by_query(search_many(index, _queries(spark, rows, ids), 20, nprobe=3, refine=5))
+    recalls = [len(set(found[i]) & set(exact(rows, rows[i], 20))) / 20 for i in ids]
+    assert np.mean(recalls) >= 0.9 and all(len(v) == 20 for v in found.values())
+    full = _by_query(search_many(index, _queries(spark, rows, ids), 20, nprobe=12, refine=75))
+    assert full == {i: exact(rows, rows[i], 20) for i in ids}
+
+
 def test_index_refuses_uneven_parts(spark, vectors, tmp_path):
     with pytest.raises(ValueError, match="equal parts"):
         build_index(vectors[0], str(tmp_path / "x"), "embedding", ["vec_id"], DIMS, parts=5)
