@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
@@ -53,14 +54,26 @@ def failures(outcome: DataFrame, item: str = "item") -> DataFrame:
     return outcome.filter("status = 'failed'").select(item, "error")
 
 
-def check_outcome(outcome: DataFrame) -> dict[str, int]:
-    """Counts per status of a *stored* outcome; an error when every item failed."""
-    counts = {row["status"]: row["count"] for row in outcome.groupBy("status").count().collect()}
+def status_counts(outcome: DataFrame) -> dict[str, int]:
+    return {row["status"]: row["count"] for row in outcome.groupBy("status").count().collect()}
+
+
+def _refuse_all_failed(counts: Mapping[str, int]) -> None:
     if counts.get("failed") and not counts.get("ok"):
         raise RuntimeError(f"all {counts['failed']} items failed")
+
+
+def check_outcome(outcome: DataFrame) -> dict[str, int]:
+    """Counts per status of a *stored* outcome; an error when every item failed."""
+    counts = status_counts(outcome)
+    _refuse_all_failed(counts)
     return counts
 
 
+# Items whose outcome is stored together: what a driver that dies can lose.
+BATCH_ITEMS = 100_000
+
+
 def process_missing(
     items: DataFrame,
     output_path: str,
@@ -69,12 +82,15 @@ def process_missing(
     item: str = "item",
     shared: Mapping[str, object] | None = None,
     tasks: int | None = None,
+    batch_items: int = BATCH_ITEMS,
 ) -> dict[str, int]:
     """Process the items without an ``ok`` row in ``output_path`` and append the outcome.
 
-    Running it again retries exactly the failed and the never-started items. It is an
-    error if every item of this run failed, whatever earlier runs did. Returns the items'
-    counts per latest status over all runs.
+    Items are dealt by a hash into batches of about ``batch_items``, and the outcome of
+    each batch is appended when it is done: a run that ends half-way keeps its finished
+    batches. Running it again retries exactly the failed and the never-started items; an
+    item with two rows counts once. It is an error if every item of this run failed,
+    whatever earlier runs did. Returns the items' counts per latest status over all runs.
     """
     spark = items.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(output_path)
@@ -83,15 +99,20 @@ def process_missing(
         done = spark.read.parquet(output_path).filter("status = 'ok'")
         items = remaining_items(items, done, [item])
     work = Workspace(spark)
-    # Stored first: what this run did is counted and appended from one execution.
-    outcome = work.save(process_items(items, function, result_type, item, shared, tasks), "outcome")
-    outcome.write.mode("append").parquet(output_path)
+    todo = work.save(items.select(item), "items")
+    batches = max(1, -(-todo.count() // batch_items))
+    counts: Counter[str] = Counter()
     try:
-        check_outcome(outcome)
+        for batch in range(batches):
+            part = todo.filter(F.pmod(F.xxhash64(item), F.lit(batches)) == batch)
+            # Stored first: what this batch did is counted and appended from one execution.
+            outcome = work.save(process_items(part, function, result_type, item, shared, tasks), "outcome")
+            outcome.write.mode("append").parquet(output_path)
+            counts.update(status_counts(outcome))
+        _refuse_all_failed(counts)
     finally:
         work.delete()
     latest = spark.read.parquet(output_path)
     done_now = F.max(F.when(F.col("status") == "ok", 1).otherwise(0)).alias("done")
     per_item = latest.groupBy(item).agg(done_now)
-    statuses = per_item.select(F.when(F.col("done") == 1, "ok").otherwise("failed").alias("status"))
-    return {row["status"]: row["count"] for row in statuses.groupBy("status").count().collect()}
+    return status_counts(per_item.select(F.when(F.col("done") == 1, "ok").otherwise("failed").alias("status")))

@@ -305,6 +305,9 @@ ORACLES: dict[str, str] = {
         WITH {_POINTS}
         SELECT shard, CAST(1 AS BIGINT) AS has_bytes, count(DISTINCT root_id) AS n_objects, count(*) AS n_points
         FROM points GROUP BY shard""",
+    "storage_bytes": """
+        SELECT format, true AS same_bytes, true AS projected
+        FROM (VALUES ('zipped_csv'), ('raw'), ('condensed'), ('maps')) f(format)""",
     "shards_lake_points": f"""
         WITH {_POINTS}
         SELECT shard, root_id, count(*) AS n FROM points GROUP BY shard, root_id""",

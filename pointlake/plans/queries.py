@@ -488,7 +488,18 @@ def zip_shard_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shard_metrics_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = write_shards(points(spark, sf_dir), Workspace(spark))
     metrics = shard_metrics(scan_shards(spark, root, DIMS), list_shards(spark, root))
-    return metrics.select("shard", (F.col("shard_n_bytes") > 0).cast("long").alias("has_bytes"), "n_objects", "n_points")
+    # The file system's own listing of the few archives, which Spark's sizes have to equal.
+    sizes = [(int(name.removesuffix(".zip")), size) for name, size in _listed(spark, root) if name.endswith(".zip")]
+    listed = spark.createDataFrame(sizes, "shard long, listed long")
+    same = (F.col("shard_n_bytes") == F.col("listed")) & (F.col("listed") > 0)
+    return metrics.join(listed, "shard").select("shard", same.cast("long").alias("has_bytes"), "n_objects", "n_points")
+
+
+def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Names and bytes of what lies directly below a folder, as the file system has them; folders with all they hold."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [(s.getPath().getName(), files.getContentSummary(s.getPath()).getLength()) for s in files.listStatus(folder)]
 
 
 def storage_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,7 +507,13 @@ def storage_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     zipped = write_shards(pts, work)
     paths = shards_to_lake(spark, zipped, work.location("lake"), WARD_THRESHOLD, DIMS, DIMS)
     layouts = {"zipped_csv": zipped, "raw": paths.raw, "condensed": paths.condensed, "maps": paths.maps}
-    return with_projection(storage_by_layout(spark, layouts), 50_000, 4)
+    sizes = with_projection(storage_by_layout(spark, layouts), 50_000, 4)
+    listed = [(name, sum(size for _, size in _listed(spark, path))) for name, path in layouts.items()]
+    expected = spark.createDataFrame(listed, "format string, listed long")
+    # A layout's bytes depend on the writer, but not on who counts them.
+    same = (F.col("size_bytes") == F.col("listed")) & (F.col("listed") > 0)
+    projected = F.abs(F.col("projected_size_gigabytes") - F.col("listed") * 12_500 / 1024**3) < 1e-6
+    return sizes.join(expected, "format").select("format", same.alias("same_bytes"), projected.alias("projected"))
 
 
 def shards_lake_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
+import io
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import curve
 
 from pointlake.operators.aggregates import shard_metrics
 from pointlake.operators.condense import summarize
 from pointlake.plans.shards_to_lake import shards_to_lake
-from pointlake.sources.shards import list_shards, scan_shards
+from pointlake.sources.shards import _member_runs, list_shards, scan_shards
 
 DIMS = 6
 BIG = 123456789012345678
@@ -51,6 +53,45 @@ def test_scan_shards(spark, shards):
     assert len(kept) == 2
 
 
+def _shown(df):
+    return sorted(map(str, df.withColumn("node_id", df["node_id"].cast("string")).collect()))
+
+
+def test_large_archives_are_read_by_several_tasks(spark, shards):
+    """Above the bound each task reads some members of an archive, from its directory; the rows are the same."""
+    folder, members, _ = shards
+    whole = scan_shards(spark, str(folder), DIMS)
+    for bound in (1, 2_000):
+        assert _shown(scan_shards(spark, str(folder), DIMS, whole_bytes=bound)) == _shown(whole)
+    path = f"file:{folder}/0.zip"
+    directory = pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+    runs = [m for batch in _member_runs(500)([directory]) for m in batch.column(1).to_pylist()]
+    assert len(runs) > 1 and [n for run in runs for n in run] == [f"{root}.csv" for root in members[0]]
+
+
+def test_only_the_asked_part_of_an_archive_is_read(tmp_path):
+    rng = np.random.default_rng(1)
+    with zipfile.ZipFile(tmp_path / "0.zip", "w") as archive:
+        for i in range(20):
+            archive.writestr(f"{i}.csv", rng.bytes(1_000_000))
+    reads = []
+
+    class Counted(io.FileIO):
+        def readinto(self, target):
+            n = super().readinto(target)
+            reads.append(n)
+            return n
+
+        def read(self, size=-1):
+            data = super().read(size)
+            reads.append(len(data))
+            return data
+
+    with zipfile.ZipFile(Counted(tmp_path / "0.zip")) as archive, archive.open("7.csv") as member:
+        assert len(member.read()) == 1_000_000
+    assert sum(reads) < 1_200_000
+
+
 @pytest.mark.parametrize("line", ["1,x,2,3,4,5,6,7,8,9", "1,2,3,4,5", "1,2,3,4,5,6,7,8,9,10,11"])
 def test_a_line_of_other_values_or_length_is_refused(spark, tmp_path, line):
     _write(tmp_path, {0: {1: curve(3, 0)}}, dims=DIMS)

@@ -4,6 +4,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from pointlake.operators import fanout
 from pointlake.operators.fanout import check_outcome, failures, process_items, process_missing
 from pointlake.sources.items import range_items
 
@@ -73,3 +74,29 @@ def test_a_run_in_which_all_fail_is_an_error_after_a_good_one(spark, tmp_path):
     with pytest.raises(RuntimeError, match="all 3 items failed"):
         process_missing(range_items(spark, 8), path, broken, "long")
     assert process_missing(range_items(spark, 5), path, broken, "long") == {"ok": 5, "failed": 3}
+
+
+def test_a_run_that_dies_keeps_its_finished_batches(spark, tmp_path, monkeypatch):
+    path, real, started = str(tmp_path / "out"), fanout.process_items, []
+
+    def dies_in_the_third(part, *args, **kwargs):
+        started.append(sorted(r["item"] for r in part.collect()))
+        if len(started) == 3:
+            raise SystemExit("the driver is lost")
+        return real(part, *args, **kwargs)
+
+    monkeypatch.setattr(fanout, "process_items", dies_in_the_third)
+    with pytest.raises(SystemExit):
+        process_missing(range_items(spark, 40), path, square, "long", batch_items=8)
+    kept = {r["item"] for r in spark.read.parquet(path).collect()}
+    assert kept == {*started[0], *started[1]} and 0 < len(kept) < 40
+
+    def watch(part, *args, **kwargs):
+        again.extend(r["item"] for r in part.collect())
+        return real(part, *args, **kwargs)
+
+    again = []
+    monkeypatch.setattr(fanout, "process_items", watch)
+    assert process_missing(range_items(spark, 40), path, square, "long", batch_items=8) == {"ok": 40}
+    assert sorted(again) == sorted(set(range(40)) - kept)
+    assert spark.read.parquet(path).count() == 40
