@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pointlake.operators.search import VectorIndex
+from pointlake.operators.search import VectorIndex, code_table
 from pointlake.workspace import Workspace
 
 # Rows and queries of a cell that are compared at a time, about.
@@ -48,7 +48,7 @@ def _route(queries: DataFrame, query_id: str, vector: str, choose: Callable, ext
 def _compare(rows: DataFrame, routes: DataFrame, pid: list[str], query_id: str, score: Callable, keep: int) -> DataFrame:
     """``(query_id, *pid, distance)``: the best ``keep`` of every block of a cell for each query.
 
-    ``rows`` has ``cell``, the id columns and ``data``; ``score(query vectors, data)``
+    ``rows`` has ``cell``, the id columns and ``data``; ``score(query vectors, data, cell)``
     yields for each query the positions and squares of at least its best ``keep`` rows.
     """
     sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -70,12 +70,12 @@ def _compare(rows: DataFrame, routes: DataFrame, pid: list[str], query_id: str,
     )
     kinds = {**{f.name: f.dataType.simpleString() for f in rows.select(*pid).schema}, query_id: routes.schema[query_id].dataType.simpleString()}
 
-    def block(held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def block(cell: int, held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(held) and len(queries):
             held = held.sort_values(pid, kind="stable")
             data, matrix = np.stack(held["data"].to_numpy()), np.stack(queries["query"].to_numpy()).astype("float64")
-            for name, (at, squares) in zip(queries[query_id], score(matrix, data), strict=True):
+            for name, (at, squares) in zip(queries[query_id], score(matrix, data, cell), strict=True):
                 first = np.argsort(squares, kind="stable")[:keep]  # ties stay in the order of the ids
                 out.append(held[pid].iloc[at[first]].assign(**{query_id: name, "distance": squares[first]}))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in [query_id, *pid, "distance"]}).astype({"distance": "float64"})
@@ -83,8 +83,8 @@ def _compare(rows: DataFrame, routes: DataFrame, pid: list[str], query_id: str,
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [query_id, *pid]) + ", distance double"
     keys = ["cell", "rb", "qb"]
 
-    def ordered(held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        return block(held, queries)[[query_id, *pid, "distance"]]
+    def ordered(key: tuple, held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        return block(int(key[0]), held, queries)[[query_id, *pid, "distance"]]
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(ordered, schema)
 
@@ -92,7 +92,7 @@ def _compare(rows: DataFrame, routes: DataFrame, pid: list[str], query_id: str,
 def _exact_squares(keep: int) -> Callable:
     """Task helper: squares of distances, exact for every row that may be among the best."""
 
-    def score(matrix: np.ndarray, data: np.ndarray):
+    def score(matrix: np.ndarray, data: np.ndarray, _: int):
         data = data.astype("float64")
         norms = (data**2).sum(axis=1)
         for query in matrix:
@@ -108,23 +108,18 @@ def _exact_squares(keep: int) -> Callable:
     return score
 
 
-def _code_squares(books: np.ndarray) -> Callable:
+def _code_squares(books: list[np.ndarray], generation: np.ndarray) -> Callable:
     """Task helper: squares of distances between a query and the code book entries of rows."""
 
-    def score(matrix: np.ndarray, codes: np.ndarray):
-        codes, parts = codes.astype("int64"), np.arange(len(books))
+    def score(matrix: np.ndarray, codes: np.ndarray, cell: int):
+        book = books[generation[cell]]
+        codes, parts = codes.astype("int64"), np.arange(len(book))
         for query in matrix:
-            tables = ((books - query.reshape(len(books), 1, -1)) ** 2).sum(axis=2)
-            yield np.arange(len(codes)), tables[parts, codes].sum(axis=1)
+            yield np.arange(len(codes)), code_table(book, query)[parts, codes].sum(axis=1)
 
     return score
 
 
-def _to_centres(matrix: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Distances of queries (rows) to centres (columns), by differences, so that bounds lose no digits."""
-    return np.stack([np.sqrt(((centres - query) ** 2).sum(axis=1)) for query in matrix])
-
-
 def search_many(
     index: VectorIndex, queries: DataFrame, k: int, nprobe: int = 16, refine: int = 10, query_id: str = "query_id", vector: str = "query"
 ) -> DataFrame:
@@ -134,19 +129,19 @@ def search_many(
     ``k * refine`` of them on the vectors themselves; ties go to the smaller id. Query ids
     have to be unique, and queries without a vector are left out.
     """
-    spark, centres, pid = queries.sparkSession, index.centres, index.pid
+    spark, pid = queries.sparkSession, index.pid
     queries = queries.select(query_id, vector).filter(F.col(vector).isNotNull())
 
     def nearest_cells(matrix: np.ndarray, _: pd.DataFrame) -> np.ndarray:
-        far = _to_centres(matrix, centres)
+        far = index.to_centres(matrix)
         marks = np.zeros(far.shape, dtype=bool)
         np.put_along_axis(marks, np.argsort(far, axis=1, kind="stable")[:, :nprobe], True, axis=1)
-        return marks
+        return marks & index.live
 
-    stored = spark.read.parquet(index.path)
+    stored = index.rows(spark)
     routes = _route(queries, query_id, vector, nearest_cells)
     coded = stored.select("cell", *pid, F.col("codes").alias("data"))
-    rough = _compare(coded, routes, pid, query_id, _code_squares(index.books), k * refine)
+    rough = _compare(coded, routes, pid, query_id, _code_squares(index.books, index.generation), k * refine)
     short = _best(rough, query_id, ["distance", *pid], k * refine).select(query_id, *pid)
     chosen = short.join(stored.select(*pid, F.col(index.vector).alias("_row")), pid).join(queries, query_id)
     square = F.expr(f"aggregate(zip_with(_row, `{vector}`, (a, b) -> (double(a) - b) * (double(a) - b)), 0D, (s, x) -> s + x)")
@@ -168,7 +163,7 @@ def nearest_many(
     work = work or Workspace(queries.sparkSession)
     pid = index.pid
     queries = work.save(queries.select(query_id, vector).filter(F.col(vector).isNotNull()), "queries")
-    rows = queries.sparkSession.read.parquet(index.path).select("cell", *pid, F.col(index.vector).alias("data"))
+    rows = index.rows(queries.sparkSession).select("cell", *pid, F.col(index.vector).alias("data"))
     first, later = visited_cells(index, queries, k, query_id, vector, work)
     near = work.save(_compare(rows, first, pid, query_id, _exact_squares(k), k), "near")
     bound = near.transform(lambda df: _best(df, query_id, ["distance", *pid], k)).groupBy(query_id)
@@ -180,16 +175,15 @@ def nearest_many(
 
 def visited_cells(index: VectorIndex, queries: DataFrame, k: int, query_id: str, vector: str, work: Workspace):
     """Routes to the cells that are compared at once, and a function from bounds to the routes of the rest."""
-    stored = queries.sparkSession.read.parquet(index.path)
+    stored = index.rows(queries.sparkSession)
     # One row a cell: a number that is a parameter of the index.
     facts = stored.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()
     counts, radii = np.zeros(len(index.centres), np.int64), np.full(len(index.centres), -np.inf)
     for r in facts:
         counts[r["cell"]], radii[r["cell"]] = r["n"], r["radius"]
-    centres = index.centres
 
     def at_once(matrix: np.ndarray, _: pd.DataFrame | None = None) -> np.ndarray:
-        order = np.argsort(_to_centres(matrix, centres), axis=1, kind="stable")
+        order = np.argsort(index.to_centres(matrix), axis=1, kind="stable")
         before = np.cumsum(counts[order], axis=1) - counts[order]
         marks = np.zeros(order.shape, dtype=bool)
         np.put_along_axis(marks, order, before < k, axis=1)
@@ -197,7 +191,8 @@ def visited_cells(index: VectorIndex, queries: DataFrame, k: int, query_id: str,
 
     def within(matrix: np.ndarray, frame: pd.DataFrame) -> np.ndarray:
         bound = np.sqrt(frame["bound"].to_numpy())[:, None]
-        far = _to_centres(matrix, centres)
+        far = index.to_centres(matrix)
+        far[:, counts == 0] = 0
         reach = (far - radii) * (1 - _SLACK) - _SLACK * (far + bound + 1e-3) <= bound
         return reach & (counts > 0) & ~at_once(matrix)
 
