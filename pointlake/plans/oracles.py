@@ -152,6 +152,7 @@ ORACLES: dict[str, str] = {
         SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
         WHERE l_partkey IN (3, 77, 500, 1024, 1999)""",
     "zorder_rows": "SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice FROM lineitem",
+    "zorder_merged": "SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice FROM lineitem",
     "dump_lake_rows": f"""
         WITH {_SYNAPSES}
         SELECT id, coalesce(pt_root_id, -1) AS pt_root_id, coalesce(pt_root_id_partition, -1) AS pt_root_id_partition, x, y, z, size, size_right, reviewed FROM lake""",
@@ -192,6 +193,12 @@ ORACLES: dict[str, str] = {
           FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM far)
         SELECT query_id, rank, vec_id, round(distance, 4) AS distance, true AS enough FROM ranked WHERE rank <= 10""",
+    "ann_maintained": """
+        WITH far AS (
+          SELECT q.vec_id AS query_id, v.vec_id, round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS distance
+          FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM far)
+        SELECT query_id, rank, vec_id, round(distance, 4) AS distance FROM ranked WHERE rank <= 10""",
     "ann_ivf": "SELECT vec_id AS query_id, 10 AS n, CAST(0 AS DOUBLE) AS least FROM embeddings WHERE vec_id % 100 = 0",
     "relabel_mapping": """
         SELECT l_returnflag, count(DISTINCT l_suppkey) AS labels, count(DISTINCT l_suppkey) AS names,

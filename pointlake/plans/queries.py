@@ -32,6 +32,7 @@ from pointlake.operators.batched_search import nearest_many, search_many
 from pointlake.operators.components import connected_components
 from pointlake.operators.condense import condense
 from pointlake.operators.fanout import process_items
+from pointlake.operators.index_upkeep import maintain
 from pointlake.operators.joins import enrich, remaining_items
 from pointlake.operators.knn_graph import knn_graph
 from pointlake.operators.labels import relabel, shuffled_labels
@@ -43,7 +44,7 @@ from pointlake.plans.shards_to_lake import shards_to_lake
 from pointlake.plans.standins import DIMS, points, table, write_dump, write_shards
 from pointlake.sinks.partitioned import bloom_options, write_partitioned
 from pointlake.sinks.sizes import storage_by_layout, unpivot_sizes, with_projection
-from pointlake.sinks.zorder import zorder_rewrite
+from pointlake.sinks.zorder import zorder_merge, zorder_rewrite, zorder_table
 from pointlake.sources.dump import scan_dump
 from pointlake.sources.lake import lookup, scan_lake
 from pointlake.sources.shards import list_shards, scan_shards
@@ -178,6 +179,16 @@ def zorder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
 
 
+def zorder_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in ranges of the curve, to which the lines of some parts are added later."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
+    late = F.col("l_partkey") <= F.lit(20)
+    target = Workspace(spark).location("grown")
+    zorder_table(lines.filter(~late), target, ["l_partkey", "l_orderkey"], ranges=16)
+    zorder_merge(spark, lines.filter(late), target)
+    return spark.read.parquet(target).drop("z_range")
+
+
 def group_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     returned = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R")
     return groups_with_size(returned, ["l_partkey"], 8, 15)
@@ -275,6 +286,18 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.select("query_id", "rank", "vec_id", F.round("distance", 4).alias("distance"), enough)
 
 
+def ann_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of the vectors of some labels that is given all others and put in order: the
+    exact search still finds the ten nearest of each query."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    path = Workspace(spark).location("index")
+    first = F.coalesce(F.col("label") % 4 == 0, F.lit(False))
+    index = build_index(vectors.filter(first).drop("label"), path, "embedding", ["vec_id"], DIMS, cells=8, parts=16, codes=64)
+    index.append(vectors.filter(~first).drop("label"))
+    found = nearest_many(maintain(spark, index), _asked(vectors), 10)
+    return found.select("query_id", "rank", "vec_id", F.round("distance", 4).alias("distance"))
+
+
 def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_graph(points(spark, sf_dir), 3)
 
@@ -577,6 +600,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gzip_dump_scan": gzip_dump_scan,
     "replaced_tables": replaced_tables,
     "zorder_rows": zorder_rows,
+    "zorder_merged": zorder_merged,
     "dump_lake_rows": dump_lake_rows,
     "dump_lake_groups": dump_lake_groups,
     "group_having": group_having,
@@ -590,6 +614,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ann_ivf": ann_ivf,
     "ann_full_probe": ann_full_probe,
     "ann_recall": ann_recall,
+    "ann_maintained": ann_maintained,
     "knn_edges": knn_edges,
     "small_object_edges": small_object_edges,
     "components": components_query,

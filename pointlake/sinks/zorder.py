@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
+from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,22 +35,33 @@ def _as_double(df: DataFrame, column: str) -> Column:
     return value.cast("double")
 
 
-def with_zorder(df: DataFrame, columns: Sequence[str], bits: int = 8, error: float = 0.001) -> DataFrame:
+def zorder_edges(df: DataFrame, columns: Sequence[str], bits: int = 8, error: float = 0.001) -> list[list[float]]:
+    """Quantile edges of each column, on which its buckets begin."""
+    require_columns(df, columns)
+    filled = 2 ** min(bits, 63 // len(columns)) - 1
+    doubles = {f"_d{i}": _as_double(df, c) for i, c in enumerate(columns)}
+    quantiles = [q / filled for q in range(1, filled)]
+    bounds = df.select(*[e.alias(n) for n, e in doubles.items()]).approxQuantile(list(doubles), quantiles, error)
+    return [sorted(set(edges)) for edges in bounds]
+
+
+def with_zorder(
+    df: DataFrame, columns: Sequence[str], bits: int = 8, error: float = 0.001, edges: Sequence[Sequence[float]] | None = None
+) -> DataFrame:
     """Add ``_z``: interleaved quantile buckets, nulls in a bucket of their own below the rest.
 
     The null bucket is one of the ``2**bits``, which keeps the quantile halves on the
-    halves of the curve.
+    halves of the curve. ``edges`` passes stored ones, so that rows of later get the
+    buckets of earlier ones.
     """
     require_columns(df, columns)
     bits = min(bits, 63 // len(columns))
-    filled = 2**bits - 1
+    bounds = zorder_edges(df, columns, bits, error) if edges is None else edges
     doubles = {f"_d{i}": _as_double(df, c) for i, c in enumerate(columns)}
-    quantiles = [q / filled for q in range(1, filled)]
-    bounds = df.select(*[e.alias(n) for n, e in doubles.items()]).approxQuantile(list(doubles), quantiles, error)
     df = df.withColumns(doubles)
     buckets = {}
-    for name, edges in zip(doubles, bounds, strict=True):
-        splits = [-math.inf, *sorted(set(edges)), math.inf]
+    for name, own in zip(doubles, bounds, strict=True):
+        splits = [-math.inf, *own, math.inf]
         bucketizer = Bucketizer(splits=splits, inputCol=name, outputCol=f"{name}b", handleInvalid="keep")
         df = bucketizer.transform(df)
         ranked = F.col(f"{name}b").cast("long") + 1
@@ -56,6 +70,80 @@ def with_zorder(df: DataFrame, columns: Sequence[str], bits: int = 8, error: flo
     return coded.drop(*doubles, *[f"{n}b" for n in doubles], *buckets)
 
 
+@dataclass
+class ZOrderLayout:
+    """How a table in ranges of the curve is laid out: edges of the columns, and where ranges begin."""
+
+    path: str
+    columns: list[str]
+    partition_by: list[str]
+    bits: int
+    edges: list[list[float]]
+    cuts: list[int]
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """``df`` with the place on the curve, ``_z``, and the range of it, ``z_range``."""
+        coded = with_zorder(df, self.columns, self.bits, edges=self.edges)
+        cuts = F.lit(self.cuts) if self.cuts else F.array().cast("array<bigint>")
+        return coded.withColumn("z_range", F.size(F.filter(cuts, lambda cut: cut <= F.col("_z"))))
+
+    def write(self, df: DataFrame, codec: str, replace: str) -> None:
+        """One write in the order of the curve; a range with many rows is split over tasks."""
+        keys = [*self.partition_by, "z_range"]
+        ordered = df.hint("rebalance", *keys).sortWithinPartitions(*keys, "_z").drop("_z")
+        table_writer(ordered, keys, "overwrite", codec, 50_000_000, None, replace).parquet(self.path)
+
+    def save(self, spark: SparkSession) -> None:
+        text = json.dumps(asdict(self))
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(self.path + "-zorder")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ZOrderLayout:
+        return cls(**json.loads(spark.read.option("wholetext", True).text(path + "-zorder").first()[0]))
+
+
+def zorder_table(
+    df: DataFrame, target: str, columns: Sequence[str], partition_by: Sequence[str] = (), bits: int = 8, ranges: int = 64,
+    codec: str = "zstd",
+) -> ZOrderLayout:
+    """Write ``df`` in ``ranges`` of the z-order curve, one folder each, to which ``zorder_merge`` can add rows.
+
+    The folders are a partition column ``z_range``. Edges and ranges are stored beside the
+    table and stay as they are; write the table anew when rows of another kind crowd a few
+    ranges. An existing table is replaced.
+    """
+    layout = ZOrderLayout(target, list(columns), list(partition_by), bits, zorder_edges(df, columns, bits), [])
+    coded = layout.placed(df)
+    steps = [i / ranges for i in range(1, ranges)]
+    layout.cuts = sorted({int(z) for z in coded.approxQuantile("_z", steps, 1 / (4 * ranges))}) if steps else []
+    layout.write(layout.placed(df), codec, "table")
+    layout.save(df.sparkSession)
+    return layout
+
+
+def zorder_merge(spark: SparkSession, rows: DataFrame, target: str, codec: str = "zstd") -> list[int]:
+    """Add ``rows`` to a table of ``zorder_table``; only the ranges that receive rows are written anew.
+
+    Rows get the stored buckets. The folders they fall into are read, put in order with
+    them and replaced in one write; all other files stay. Returns the ranges concerned.
+    """
+    layout = ZOrderLayout.load(spark, target)
+    coming = layout.placed(rows)
+    # Folders, of which a table has as many as ranges and values of its partition columns.
+    keys = [*layout.partition_by, "z_range"]
+    folders = coming.select(*keys).distinct().collect()
+    if not folders:
+        return []
+    touched = reduce(
+        lambda a, b: a | b,
+        [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(r[k])) for k in keys]) for r in folders],
+    )
+    table = spark.read.parquet(target)
+    held = layout.placed(table.filter(touched).drop("z_range"))
+    layout.write(held.unionByName(coming.select(*held.columns)), codec, "partitions")
+    return sorted({r["z_range"] for r in folders})
+
+
 def zorder_rewrite(
     spark: SparkSession,
     source: str,

@@ -1,4 +1,5 @@
 import glob
+import os
 
 import pyarrow.parquet as pq
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from pointlake.functions.columns import with_id_partitions
 from pointlake.sinks.partitioned import bloom_options, write_partitioned
 from pointlake.sinks.sizes import storage_by_layout, stored_bytes, unpivot_sizes, with_projection
-from pointlake.sinks.zorder import zorder_rewrite
+from pointlake.sinks.zorder import zorder_merge, zorder_rewrite, zorder_table
 from pointlake.sources.items import file_items, normal_arrays, range_items
 from pointlake.sources.lake import lookup, scan_lake
 
@@ -89,6 +90,29 @@ def test_zorder_keeps_rows_and_narrows_files(spark, tmp_path):
     assert sum(counts) / len(counts) <= 8, counts
 
 
+@pytest.mark.parametrize("partition_by", [[], ["part"]])
+def test_zorder_merge_writes_only_what_receives_rows(spark, tmp_path, partition_by):
+    target = str(tmp_path / "grown")
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 50 != 0, F.col("id") * 7919 % 1009).alias("a"),
+        (F.col("id") * 104729 % 2003).cast("int").alias("b"), "id", F.when(F.col("id") % 7 != 0, F.col("id") % 3).alias("part"),
+    )
+    zorder_table(rows, target, ["a", "b"], partition_by, ranges=16)
+    files = lambda: {os.path.relpath(f, target) for f in glob.glob(f"{target}/**/part-*", recursive=True)}
+    before = files()
+    assert len({f.rsplit("/", 1)[0] for f in before}) >= 16
+    new = spark.range(20_000, 20_300).select((F.col("id") % 20).alias("a"), (F.col("id") % 30).cast("int").alias("b"), "id", F.lit(1).cast("long").alias("part"))
+    assert 0 < len(zorder_merge(spark, new, target)) <= 4
+    kept = before & files()
+    assert len(kept) >= len(before) * 0.6 and files() - before
+    back = spark.read.parquet(target).drop("z_range").select(rows.columns)
+    assert back.withColumn("part", F.col("part").cast("long")).exceptAll(rows.union(new)).count() == 0 and back.count() == 20_300
+    odd = spark.createDataFrame([(None, 10**6, 1, None), (-5, -5, 2, None)], "a long, b int, id long, part long")
+    zorder_merge(spark, odd, target)
+    assert spark.read.parquet(target).count() == 20_302
+    assert zorder_merge(spark, odd.limit(0), target) == []
+
+
 def test_zorder_splits_one_repeated_value(spark, tmp_path):
     source, target = str(tmp_path / "hot"), str(tmp_path / "hot-out")
     spark.range(20_000).select(F.lit(7).alias("a"), "id").write.parquet(source)
