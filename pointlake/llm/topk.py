@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,6 +56,9 @@ class Block:
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    lengths = pc.list_value_length(column).to_numpy()
+    if (lengths != dims).any():
+        raise ValueError(f"a vector has {lengths[lengths != dims][0]} components, the first query has {dims}")
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 

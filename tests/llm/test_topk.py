@@ -40,3 +40,12 @@ def test_components_are_floored_or_the_vector_left_out(spark):
     rows = [([0.5, -0.0001],), ([nan, 1.0],), ([1.0, None],), ([-inf, 1.0],), (None,)]
     got = spark.createDataFrame(rows, "v array<float>").select(scaled_ints("v").alias("i")).collect()
     assert [r["i"] for r in got] == [[512, -1], None, None, None, None]
+
+
+@pytest.mark.parametrize("odd", [[[1, 2, 3], [1, 2, 3, 4, 5]], [[9], [1, 1, 1, 1, 1, 1, 1]]])
+def test_other_lengths_are_an_error(spark, odd):
+    """Also where the lengths of a batch add up to whole vectors."""
+    rows = [(0, [1, 2, 3, 4]), (5, [4, 3, 2, 1])] + [(i + 1, v) for i, v in enumerate(odd)]
+    table = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).coalesce(1)
+    with pytest.raises(Exception, match="components"):
+        exact_top_k(table, table.filter("vec_id = 0"), 3).collect()
