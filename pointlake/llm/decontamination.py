@@ -184,6 +184,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"unknown mode {remove!r}")
+    if "hits" in docs.columns:
+        # The scan's own column has that name; the documents' one is kept under another.
+        aside = max(docs.columns, key=len) + "_"
+        cleaned = decontaminate(docs.withColumnRenamed("hits", aside), benchmark, remove, **options)
+        return cleaned.withColumnRenamed(aside, "hits")
     text = options.get("text", "text")
     found = find_contamination(docs, benchmark, **options)
     if remove == "documents":

@@ -24,9 +24,9 @@ WINDOW = 256
 TRAIN_ROWS = 6000
 STEPS = 600  # batches the network is fitted on, whatever the number of windows
 UNDETERMINED = "und"
-# A text whose best language is less likely than this is rejected by the pipeline: with four
-# languages it looks like all of them. A short text has little to tell, and stays.
-MIN_SCORE = 0.28
+# How far above chance the likeliest language of a text has to be for the pipeline to keep it:
+# this part of the way that four languages leave. A short text has little to tell, and stays.
+MARGIN = 0.04
 _BATCH = 128
 _CHUNK = 2048  # windows scored at a time
 
@@ -220,8 +220,20 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", keep: Seq
     return read.mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, net: Network | None, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """Documents in a learned language with at least ``min_score``, all columns as they are."""
+def least_score(languages: int, margin: float = MARGIN) -> float:
+    """The score from which a text counts as one of ``languages``: chance, and ``margin`` of what is above it.
+
+    A text that looks like all languages scores 1 / ``languages``, however many these are:
+    the bound is 0.28 for four, 0.54 for two and 0.114 for ten. A single language is
+    always kept, as there is nothing to tell it from.
+    """
+    chance = 1 / max(languages, 1)
+    return chance + 4 * margin * chance * (1 - chance)
+
+
+def keep_identified(docs: DataFrame, net: Network | None, text: str = "text", margin: float = MARGIN) -> DataFrame:
+    """Documents that ``least_score`` counts as one of the learned languages, all columns as they are."""
+    min_score = least_score(len(net.languages) if net else 0, margin)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index(text)
 

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pointlake.llm.decontamination import decontaminate, find_contamination, merge_ranges
 from tests.llm.conftest import make_docs
@@ -51,6 +52,15 @@ def test_removal(spark):
         decontaminate(docs, benchmark, remove="words")
 
 
+@pytest.mark.parametrize("remove", ["documents", "spans"])
+def test_a_document_column_called_hits_stays(spark, remove):
+    benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    docs = make_docs(spark, [ITEM, "clean"]).withColumn("hits", F.concat(F.lit("own "), "doc_id")).select("hits", "doc_id", "text", "lang")
+    found = decontaminate(docs, benchmark, remove=remove).orderBy("doc_id")
+    assert found.columns == docs.columns
+    assert [r["hits"] for r in found.collect()] == (["own 1"] if remove == "documents" else ["own 0", "own 1"])
+
+
 def test_empty_tables(spark):
     benchmark = spark.createDataFrame([(1, ITEM), (None, ITEM)], "item_id long, text string")
     docs = make_docs(spark, [ITEM])

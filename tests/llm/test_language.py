@@ -1,9 +1,10 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pointlake.llm import language
-from pointlake.llm.language import fit, identify, keep_identified, language_query, to_windows, train
-from tests.llm.conftest import SF, make_docs
+from pointlake.llm.language import fit, identify, keep_identified, language_query, least_score, to_windows, train
+from tests.llm.conftest import DOCS, SF, make_docs
 
 
 def test_held_out_accuracy(spark, sample):
@@ -45,3 +46,20 @@ def test_windows_cover_whole_texts():
     windows, owner = to_windows([b"abc" * 200, b"x"], 256)
     assert windows.shape == (4, 256) and owner.tolist() == [0, 0, 0, 1]
     assert bytes(windows[:3].tobytes()).rstrip(b"\0") == b"abc" * 200
+
+
+def test_the_bound_follows_the_number_of_languages():
+    assert [round(least_score(n), 3) for n in (1, 2, 4, 10)] == [1.0, 0.54, 0.28, 0.114]
+
+
+@pytest.mark.parametrize("n", [2, 10])
+def test_short_and_long_texts_of_few_and_many_languages_stay(spark, n):
+    rng = np.random.default_rng(n)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz"[2 * i : 2 * i + 2] for i in range(n)]
+    write = lambda letters, k=60: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(k))
+    rows = [(i, write(alphabets[i % n]), f"l{i % n}", "s", 0) for i in range(60 * n)]
+    net = fit(spark.createDataFrame(rows, DOCS))
+    texts = [write(a) for a in alphabets] + [write(a, 4) for a in alphabets] + ["12 34", None]
+    kept = {r["doc_id"] for r in keep_identified(make_docs(spark, texts), net).collect()}
+    assert kept == set(range(2 * n))
+    assert keep_identified(make_docs(spark, texts), None).count() == 0
