@@ -28,6 +28,7 @@ from pointlake.operators.aggregates import (
     sum_of_squares,
     with_distance_to_mean,
 )
+from pointlake.operators.average_linkage import average_linkage
 from pointlake.operators.batched_search import nearest_many, search_many
 from pointlake.operators.components import connected_components
 from pointlake.operators.condense import condense
@@ -424,6 +425,14 @@ def group_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_distance_to_mean(flat, ["label"], ["u", "v"], "dist").select("vec_id", "label", F.round("dist", 4).alias("dist"))
 
 
+def linkage_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The average linkage tree of the vectors' first two components, cut into 20 groups."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    reduced = Workspace(spark).save(principal_components(vectors, "embedding", 2).drop("embedding"), "reduced")
+    grouped = average_linkage(reduced, "reduced", "vec_id", 20)
+    return grouped.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"))
+
+
 def sum_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sum_of_squares(table(spark, sf_dir, "lineitem"), "l_partkey").select(
         F.col("sum_squares").cast("long").alias("sum_squares")
@@ -630,6 +639,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pca_full_norm": pca_full_norm,
     "pca_facts": pca_facts,
     "group_20": group_20,
+    "linkage_20": linkage_20,
     "sum_squares": sum_squares,
     "array_stats": array_stats_query,
     "remaining_items": remaining_query,
