@@ -49,7 +49,7 @@ def _ward(n_a, mean_a, n_b, mean_b):
     return np.sqrt(2.0 * n_a * n_b / (n_a + n_b) * _square_sum(mean_a - mean_b))
 
 
-def _matched(src, dst, weight, pid, turn):
+def _matched(src, dst, weight, pid, turn, mutual):
     """Pairs of clusters that merge in a round: see :func:`agglomerate`."""
     n = len(pid)
     ends, others = np.concatenate([src, dst]), np.concatenate([dst, src])
@@ -57,6 +57,8 @@ def _matched(src, dst, weight, pid, turn):
     asks, first = np.unique(ends[order], return_index=True)
     asked = others[order][first]
     pairs, votes = np.unique(np.sort(np.column_stack([asks, asked]), axis=1), axis=0, return_counts=True)
+    if mutual:
+        return pairs[votes == 2].T
     keep, gone = pairs.T
     order = np.lexsort((gone, keep, np.where(votes == 2, 0, 1 + _turn_order(pid[keep], pid[gone], turn))))
     place = np.empty(len(order), dtype=np.int64)
@@ -74,7 +76,7 @@ def _turn_order(keep, gone, turn):
     return mixed % _PRIME
 
 
-def _rounds(src, dst, vectors, pid, threshold, linkage, metric):
+def _rounds(src, dst, vectors, pid, threshold, linkage, metric, mutual=False):
     """Rounds of merges until no linked pair is closer than the threshold; returns owners and rounds."""
     n = len(vectors)
     owner, count, means = np.arange(n), np.ones(n), vectors
@@ -86,7 +88,7 @@ def _rounds(src, dst, vectors, pid, threshold, linkage, metric):
         below = weight < threshold
         if not below.any():
             break
-        keep, gone = _matched(src[below], dst[below], weight[below], pid, turn)
+        keep, gone = _matched(src[below], dst[below], weight[below], pid, turn, mutual)
         total = count[keep] + count[gone]
         means = means.copy()
         means[keep] = (means[keep] * count[keep, None] + means[gone] * count[gone, None]) / total[:, None]
@@ -102,7 +104,7 @@ def _rounds(src, dst, vectors, pid, threshold, linkage, metric):
     return owner, turn
 
 
-def _labeller(threshold: float, linkage: str, metric: str):
+def _labeller(threshold: float, linkage: str, metric: str, mutual: bool):
     """Task helper: name the cluster of every point of the objects in one bucket."""
 
     def label(points: pa.Table, edges: pa.Table) -> pa.Table:
@@ -116,7 +118,7 @@ def _labeller(threshold: float, linkage: str, metric: str):
         flat = pa.concat_arrays(points["embedding"].chunks).flatten() if n else pa.array([], pa.float32())
         vectors = flat.to_numpy(zero_copy_only=False).astype("float64").reshape(n, -1 if n else 0)
         pid = points["pid"].to_numpy()
-        owner, _ = _rounds(src, dst, vectors, pid, threshold, linkage, metric)
+        owner, _ = _rounds(src, dst, vectors, pid, threshold, linkage, metric, mutual)
         return points.append_column("cluster", pa.array(pid[owner], pa.int64()))
 
     return label
@@ -175,6 +177,7 @@ def _distributed_rounds(
     metric: str,
     work: Workspace,
     hot_rows: int,
+    mutual: bool,
 ) -> DataFrame:
     """The merge rounds as joins; the number of jobs does not grow with the number of objects."""
     ward = linkage == "ward"
@@ -189,7 +192,7 @@ def _distributed_rounds(
     turn = 0
     while True:
         near = both_directions(live.filter(F.col("weight") < threshold))
-        merges = work.save(_sql_matched(near, turn), "merges")
+        merges = work.save(_sql_matched(near, turn, mutual), "merges")
         if merges.isEmpty():
             # A cluster id occurs once per point, and a point once on either side.
             return points.join(members, list(POINT))
@@ -220,11 +223,13 @@ def _distributed_rounds(
         live = work.save(live, "weighted")
 
 
-def _sql_matched(near: DataFrame, turn: int) -> DataFrame:
+def _sql_matched(near: DataFrame, turn: int, mutual: bool) -> DataFrame:
     """:func:`_matched` over links in both directions; each node picks one proposal, both ends must agree."""
     best = near.groupBy(*OBJECT, "src").agg(F.min(F.struct("weight", "dst")).alias("best"))
     asked = best.select(*OBJECT, F.least("src", "best.dst").alias("keep"), F.greatest("src", "best.dst").alias("gone"))
     proposals = asked.groupBy(*OBJECT, "keep", "gone").agg(F.count(F.lit(1)).alias("votes"))
+    if mutual:
+        return proposals.filter("votes = 2").drop("votes")
     keep, gone = (F.pmod(c, F.lit(_PRIME)) for c in ("keep", "gone"))
     mixed = keep * F.lit(_FACTORS[0]) + gone * F.lit(_FACTORS[1]) + F.lit(turn * _FACTORS[2])
     order = F.when(F.col("votes") == 2, F.lit(0)).otherwise(F.pmod(mixed, F.lit(_PRIME)) + 1).cast("long")
@@ -256,6 +261,7 @@ def agglomerate(
     max_task_points: int = MAX_TASK_POINTS,
     work: Workspace | None = None,
     hot_rows: int = HOT_ROWS,
+    merges: str = "proposals",
 ) -> DataFrame:
     """``points`` with the ``cluster`` of each; a cluster is named by its smallest ``pid``.
 
@@ -268,7 +274,9 @@ def agglomerate(
 
     Mutual proposals always merge, as closest pairs do when taken one at a time; the
     others keep the number of rounds logarithmic even where distances shrink along a
-    path. The result does not depend on how the work is divided: a point set of any size
+    path. With ``merges="mutual"`` only mutual proposals merge: that is nearly the order of
+    one closest pair at a time, but a path of ever shorter links takes a round for each
+    link, which matters where the rounds are joins. The result does not depend on how the work is divided: a point set of any size
     is clustered by the same definition and the same order of additions.
 
     Objects of up to ``max_task_points`` are clustered whole, many per task, with one
@@ -280,8 +288,10 @@ def agglomerate(
         raise ValueError(f"unsupported linkage {linkage!r}")
     if linkage == "ward" and metric != "euclidean":
         raise ValueError("ward linkage needs the euclidean metric")
-    work = work or Workspace(points.sparkSession)
-    labeller = _labeller(threshold, linkage, metric)
+    if merges not in ("proposals", "mutual"):
+        raise ValueError(f"unknown merges {merges!r}")
+    work, mutual = work or Workspace(points.sparkSession), merges == "mutual"
+    labeller = _labeller(threshold, linkage, metric, mutual)
 
     objects = points.groupBy(*OBJECT).agg(F.count(F.lit(1)).alias("n"))
     total, largest = _total_and_largest(objects)
@@ -309,7 +319,7 @@ def agglomerate(
         return labelled
     points, edges = (df.join(big, list(COMPONENT), "left_semi") for df in (points, edges))
     points = work.save(points.select(*columns), "large-points")
-    members = _distributed_rounds(points, edges, threshold, linkage, metric, work, hot_rows)
+    members = _distributed_rounds(points, edges, threshold, linkage, metric, work, hot_rows, mutual)
     return labelled.unionByName(members)
 
 

@@ -45,7 +45,7 @@ _COSINE_WEIGHTS = """
 """
 
 
-def _merged(weights: str, threshold: float) -> str:
+def _merged(weights: str, threshold: float, votes: int = 1) -> str:
     return f"""
       WITH RECURSIVE {_EDGES},
       cell AS (
@@ -64,7 +64,7 @@ def _merged(weights: str, threshold: float) -> str:
           SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY w, dst) AS r
           FROM (SELECT a AS src, b AS dst, w FROM weighed UNION ALL SELECT b, a, w FROM weighed) WHERE w < {threshold}),
         proposals AS (
-          SELECT least(src, dst) AS keep, greatest(src, dst) AS gone, count(*) AS votes FROM near WHERE r = 1 GROUP BY ALL),
+          SELECT least(src, dst) AS keep, greatest(src, dst) AS gone, count(*) AS votes FROM near WHERE r = 1 GROUP BY ALL HAVING count(*) >= {votes}),
         ranked AS (
           SELECT keep, gone, CASE votes WHEN 2 THEN 0 ELSE 1 + ((keep % 1000003) * 7919 + (gone % 1000003) * 104729
                    + (SELECT max(turn) FROM cur) * 15485863) % 1000003 END AS p FROM proposals),
@@ -78,9 +78,9 @@ def _merged(weights: str, threshold: float) -> str:
     """
 
 
-def _condensed_sql(weights: str, threshold: float) -> str:
+def _condensed_sql(weights: str, threshold: float, votes: int = 1) -> str:
     return f"""
-      {_merged(weights, threshold)},
+      {_merged(weights, threshold, votes)},
       centres AS (
         SELECT m.cluster, avg(CAST(x AS DOUBLE)) AS mx, avg(CAST(y AS DOUBLE)) AS my, avg(CAST(z AS DOUBLE)) AS mz,
                avg(CAST(embedding[1] AS DOUBLE)) AS first
@@ -244,6 +244,7 @@ ORACLES: dict[str, str] = {
         FROM points p JOIN reach r ON p.root_id = r.root_id AND p.pid = r.pid
         GROUP BY p.shard, p.root_id, p.pid""",
     "condense_ward": _WARD,
+    "condense_ward_mutual": _condensed_sql(_WARD_WEIGHTS, 1.6, votes=2),
     "condense_ward_joins": _WARD,
     "condense_cosine": _condensed_sql(_COSINE_WEIGHTS, 0.8),
     "agglomerate_ratio": f"""

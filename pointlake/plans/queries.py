@@ -329,6 +329,11 @@ def condense_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _condensed_rows(_condensed(spark, sf_dir)[0])
 
 
+def condense_ward_mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of mutual merges only, nearly those of one closest pair at a time."""
+    return _condensed_rows(_condensed(spark, sf_dir, merges="mutual")[0])
+
+
 def condense_ward_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same clusters with every component of more than 8 points merged by joins."""
     return _condensed_rows(_condensed(spark, sf_dir, max_task_points=8, hot_rows=20)[0])
@@ -628,6 +633,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "small_object_edges": small_object_edges,
     "components": components_query,
     "condense_ward": condense_ward,
+    "condense_ward_mutual": condense_ward_mutual,
     "condense_ward_joins": condense_ward_joins,
     "condense_cosine": condense_cosine,
     "condensation_cover": condensation_cover,

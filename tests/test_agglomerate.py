@@ -38,6 +38,15 @@ def test_rounds_are_the_same_in_tasks_and_as_joins(spark, case, linkage, metric,
     assert labels(agglomerate(points, edges, threshold, linkage, metric, limit, hot_rows=hot_rows)) == expected
 
 
+@pytest.mark.parametrize(("linkage", "metric", "threshold"), [("ward", "euclidean", 2.0), ("complete", "cosine", 0.05)])
+def test_mutual_merges_are_the_same_in_tasks_and_as_joins(spark, case, linkage, metric, threshold):
+    points, edges, _, _ = case
+    expected = labels(agglomerate(points, edges, threshold, linkage, metric, merges="mutual"))
+    assert labels(agglomerate(points, edges, threshold, linkage, metric, 8, merges="mutual")) == expected
+    with pytest.raises(ValueError, match="merges"):
+        agglomerate(points, edges, threshold, merges="some")
+
+
 def naive_greedy(vectors, pairs, threshold):
     """Ward merges one closest linked pair at a time, recomputed from scratch each time."""
     groups = {i: [i] for i in range(len(vectors))}
@@ -56,7 +65,8 @@ def naive_greedy(vectors, pairs, threshold):
         heights.append(d)
         history.append({k: list(v) for k, v in groups.items()})
     undone = sum(h >= threshold for h in heights)
-    return {tuple(sorted(g)) for g in history[len(heights) - undone].values()}
+    rising = all(a <= b for a, b in zip(heights, heights[1:], strict=False))
+    return ({tuple(sorted(g)) for g in history[len(heights) - undone].values()}, rising)
 
 
 def naive_rounds(vectors, pairs, pid, threshold):
@@ -116,13 +126,28 @@ def test_rounds_mostly_agree_with_one_closest_pair_at_a_time():
         vectors, pairs = _random_case(seed, 60)
         src, dst = np.array(pairs).T
         owner, _ = _rounds(src, dst, vectors, np.arange(60), 3.0, "ward", "euclidean")
-        label = {p: i for i, g in enumerate(naive_greedy(vectors, pairs, 3.0)) for p in g}
+        label = {p: i for i, g in enumerate(naive_greedy(vectors, pairs, 3.0)[0]) for p in g}
         other = np.array([label[p] for p in range(60)])
         same = (owner[:, None] == owner[None, :]) == (other[:, None] == other[None, :])
         shares.append(same.mean())
     assert np.mean(shares) > 0.95
 
 
+def test_mutual_merges_nearly_equal_one_closest_pair_at_a_time():
+    """Paths of 30 points: how often the clusters are others, in all cases and where heights rise."""
+    cases = rising = other = other_rising = 0
+    for seed in range(150):
+        rng = np.random.default_rng(seed)
+        vectors = np.cumsum(rng.normal(size=(30, 8)), axis=0)
+        src = np.arange(29)
+        expected, rises = naive_greedy(vectors, list(zip(src, src + 1, strict=True)), 6.0)
+        owner, _ = _rounds(src, src + 1, vectors, np.arange(30), 6.0, "ward", "euclidean", mutual=True)
+        differs = _groups(owner) != expected
+        cases, other = cases + 1, other + differs
+        rising, other_rising = rising + rises, other_rising + (differs and rises)
+    assert rising > 20 and other <= 0.08 * cases and other_rising <= 0.05 * rising
+
+
 @pytest.mark.parametrize("linkage", ["ward", "complete"])
 def test_shrinking_gaps_take_few_rounds(linkage):
     n = 2000
