@@ -57,7 +57,7 @@ HEADER_WORDS = frozenset("header masthead".split())
 _ABOUT = frozenset("no with without has".split())
 ARTICLE = frozenset("article main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*)>?", re.S)
 _MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
@@ -89,6 +89,31 @@ def _step(name: str, attributes: str) -> str:
     return f"{named}!" if frame and name not in ("html", "body", "main") else named
 
 
+# Elements around a token that its path names one by one.
+_NAMED_STEPS = 64
+
+
+def _deeper(path: str, step: str) -> str:
+    """The path of an element inside ``path``.
+
+    Steps beyond ``_NAMED_STEPS`` are folded into one, a number of them all, so that
+    a page takes memory in proportion to its length however deep it nests. The folded step
+    still tells whether an article, a header or a frame is among them.
+    """
+    if path.count(">") < _NAMED_STEPS:
+        return f"{path}>{step}"
+    above, _, folded = path.rpartition(">")
+    kind = "div"
+    for part in (folded, step):
+        element, *marks = part.rstrip("!").split(".")
+        if kind == "div" and element in ARTICLE:
+            kind = element
+        elif kind == "div" and not HEADER_WORDS.isdisjoint([element, *marks]):
+            kind = "header"
+    frame = "!" if step.endswith("!") or folded.endswith("!") else ""
+    return f"{above}>{kind}.~{_number(f'{folded}>{step}'):x}{frame}"
+
+
 def scan(page: str) -> tuple[Counter, list[Piece]]:
     """Tag tokens with their numbers, and the blocks of text in page order."""
     tokens: Counter = Counter()
@@ -152,7 +177,7 @@ def scan(page: str) -> tuple[Counter, list[Piece]]:
                     pop_to(i)
                     break
         step = _step(name, found[3])
-        where = f"{path()}>{step}"
+        where = _deeper(path(), step)
         tokens[where] += 1
         if name not in VOID:
             stack.append((name, where))
@@ -296,7 +321,7 @@ def main_text(page: str, articles: set[str], constant: set[int]) -> str:
     own = {_slot(p.path) for p, _ in pieces if _in_article(p.path)}
     slots = (own & articles) or own
     if slots:
-        return "\n".join(t for p, t in pieces if any(p.path == s or p.path.startswith(s + ">") for s in slots))
+        return "\n".join(t for p, t in pieces if _slot(p.path) in slots)
     return "\n".join(t for p, t in pieces if _number(f"{p.path}\n{t}") not in constant)
 
 

@@ -1,5 +1,6 @@
 import html
 import re
+import tracemalloc
 
 import pytest
 
@@ -73,3 +74,34 @@ def test_empty_table(spark):
 
 def test_a_very_long_page():
     assert main_text("<article><p>" + "word " * 400_000, set(), set()).count("word") == 400_000
+
+
+@pytest.mark.parametrize("deep", [10, 60, 63, 64, 65, 66, 100, 2000])
+def test_deep_nesting_changes_nothing(deep):
+    """Frames, headers and articles are seen however many elements stand around or inside them."""
+    open_, close = "<div>" * deep, "</div>" * deep
+    page = (
+        f"{open_}<nav>Menu</nav><header>Site</header><article><header><h1>A</h1></header>{open_}<p>One<div class='advert'>{open_}buy{close}</div>"
+        f"<p>two{close}</article><footer>{open_}End{close}</footer>{close}"
+    )
+    assert main_text(page, set(), set()) == "A\nOne\ntwo"
+    plain = f"{open_}<div class='masthead'>{open_}Site{close}</div><p>One<p>two{close}"
+    assert main_text(plain, set(), set()) == "One\ntwo"
+
+
+def test_memory_of_deep_pages_is_linear():
+    tracemalloc.start()
+    peaks = []
+    for deep in (5_000, 20_000):
+        tracemalloc.reset_peak()
+        tokens, pieces = scan("<div>" * deep + "text")
+        assert sum(tokens.values()) == 2 * deep and pieces[-1].text() == "text"
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        del tokens, pieces
+    tracemalloc.stop()
+    assert peaks[1] < 6 * peaks[0] and peaks[1] < 60e6
+
+
+def test_quotes_only_count_after_an_equals_sign():
+    page = "<article><p class=don't>One<p title=\"a > b\" it's>two<p title = 'c > d'>three<p \"odd>four</article>"
+    assert main_text(page, set(), set()) == "One\ntwo\nthree\nfour"
