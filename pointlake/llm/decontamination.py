@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,9 @@ from pointlake.llm.text import mix, table, text_bytes, words
 from pointlake.workspace import Workspace
 
 WINDOW = 10
-# Bytes of item text whose n-grams one broadcast carries. More items take more passes.
-BROADCAST_TEXT_BYTES = 32_000_000
+# Bytes of item text whose n-grams one broadcast carries. More items take more passes. The
+# set takes about six times the text, while it is built on the driver about thirty times.
+BROADCAST_TEXT_BYTES = 16_000_000
 
 HITS = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,stop:int>>"
 
@@ -25,47 +26,91 @@ class NgramSet:
     """The n-grams of some items, by word numbers; small enough to broadcast.
 
     ``items`` holds ``(item_id, text)``. An item of fewer words than ``window``, but not
-    none, is one n-gram of all its words.
+    none, is one n-gram of all its words. Beside the numbers of the distinct words there
+    are only flat arrays: the items' words, and for each size a :class:`_Grams`.
     """
 
     def __init__(self, items: list[tuple[object, bytes | None]], window: int):
         self.numbers: dict[bytes, int] = {}
-        self.owners: dict[tuple[int, ...], set[str | None]] = {}
+        self.names: list[str | None] = []
+        texts, sizes = [], []
         for item_id, text in items:
-            tokens = [self.numbers.setdefault(w, len(self.numbers)) for w in words(text)]
-            size = min(window, len(tokens))
-            owner = None if item_id is None else str(item_id)
-            for i in range(len(tokens) - size + 1 if size else 0):
-                self.owners.setdefault(tuple(tokens[i : i + size]), set()).add(owner)
-        self.hashes: dict[int, np.ndarray] = {}
-        for size in {len(g) for g in self.owners}:
-            grams = np.array([g for g in self.owners if len(g) == size], dtype=np.int64)
-            self.hashes[size] = np.unique(_window_hashes(grams.T))
+            found = words(text)
+            if found:
+                number = self.numbers.setdefault
+                texts.append(np.array([number(w, len(self.numbers)) for w in found], dtype=np.int32))
+                sizes.append(min(window, len(found)))
+                self.names.append(None if item_id is None else str(item_id))
+        self.tokens = np.concatenate([*texts, np.zeros(0, dtype=np.int32)])
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        starts = np.cumsum(lengths) - lengths
+        self.grams: dict[int, _Grams] = {}
+        for size in sorted(set(sizes)):
+            own = np.flatnonzero(np.array(sizes) == size)
+            windows = lengths[own] - size + 1
+            first = np.repeat(starts[own] - (np.cumsum(windows) - windows), windows)
+            self.grams[size] = _Grams(self.tokens, first + np.arange(windows.sum()), np.repeat(own, windows), size)
 
     def find(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Word ranges of ``tokens`` that items cover, merged, and the items' ids."""
         lookup = self.numbers.get
         seen = np.fromiter((lookup(w, -1) for w in tokens), dtype=np.int64, count=len(tokens))
         unknown = np.concatenate([[0], np.cumsum(seen < 0)])
-        starts: list[tuple[int, int]] = []
-        owners: set[str | None] = set()
-        for size, hashes in self.hashes.items():
+        ranges: list[tuple[int, int]] = []
+        owners = np.zeros(len(self.names), dtype=bool) if self.names else None
+        for size, grams in self.grams.items():
             # Only windows without a word that no item has are worth a hash.
             at = np.flatnonzero(unknown[size:] == unknown[:-size]) if len(seen) >= size else []
-            if not len(at):
-                continue
-            found = _window_hashes([seen[at + i] for i in range(size)])
-            where = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-            for i in at[hashes[where] == found].tolist():
-                owner = self.owners.get(tuple(seen[i : i + size].tolist()))  # verifies the hash
-                if owner is not None:
-                    starts.append((i, i + size))
-                    owners |= owner
-        return merge_ranges(starts), owners
-
-
-def _window_hashes(columns) -> np.ndarray:
-    total = np.zeros(len(columns[0]), dtype=np.uint64)
+            if len(at):
+                at, found = grams.find(self.tokens, seen, at)
+                ranges += zip(at.tolist(), (at + size).tolist(), strict=True)
+                for g in np.unique(found).tolist():
+                    owners[grams.items[grams.begins[g] : grams.begins[g + 1]]] = True
+        if not ranges:
+            return [], set()
+        return merge_ranges(ranges), {self.names[i] for i in np.flatnonzero(owners)}
+
+
+class _Grams:
+    """Distinct n-grams of one size: their hashes, a place of each, and the items that hold it.
+
+    ``hashes`` is sorted; ``places`` are starts in the items' words; the items of gram ``g``
+    are ``items[begins[g] : begins[g + 1]]``.
+    """
+
+    def __init__(self, tokens: np.ndarray, places: np.ndarray, items: np.ndarray, size: int):
+        self.size, self.seed = size, 0
+        while True:
+            hashes = _window_hashes((tokens[places + i] for i in range(size)), self.seed)
+            order = np.lexsort((items, hashes))
+            hashes, at, owner = hashes[order], places[order], items[order]
+            same = hashes[1:] == hashes[:-1]
+            alike = np.ones(same.sum(), dtype=bool)
+            for i in range(size):
+                alike &= tokens[at[1:][same] + i] == tokens[at[:-1][same] + i]
+            if alike.all():
+                break
+            self.seed += 1  # two n-grams with one hash: hash anew
+        new = np.concatenate([[True], ~same])
+        self.hashes, self.places = hashes[new], at[new].astype(np.int32)
+        kept = np.concatenate([[True], ~same | (owner[1:] != owner[:-1])])
+        self.items = owner[kept].astype(np.int32)
+        self.begins = np.append(np.flatnonzero(new[kept]), len(self.items)).astype(np.int32)
+
+    def find(self, tokens: np.ndarray, seen: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts among ``at`` where ``seen`` holds an n-gram, and its number; each is compared word by word."""
+        found = _window_hashes((seen[at + i] for i in range(self.size)), self.seed)
+        gram = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+        hit = self.hashes[gram] == found
+        at, gram = at[hit], gram[hit]
+        equal = np.ones(len(at), dtype=bool)
+        for i in range(self.size):
+            equal &= tokens[self.places[gram] + i] == seen[at + i]
+        return at[equal], gram[equal]
+
+
+def _window_hashes(columns: Iterable[np.ndarray], seed: int) -> np.ndarray:
+    total = np.uint64(seed)
     for column in columns:
         total = mix(total + column.astype(np.uint64) + np.uint64(1))
     return total

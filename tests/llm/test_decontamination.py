@@ -1,9 +1,12 @@
+import pickle
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from pointlake.llm.decontamination import decontaminate, find_contamination, merge_ranges
+from pointlake.llm.decontamination import NgramSet, decontaminate, find_contamination, merge_ranges
+from pointlake.llm.text import words
 from tests.llm.conftest import make_docs
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -71,3 +74,21 @@ def test_empty_tables(spark):
 
 def test_ranges():
     assert merge_ranges([(5, 7), (0, 2), (2, 4), (6, 9)]) == [(0, 4), (5, 9)]
+
+
+def test_ngrams_of_many_items_against_brute_force():
+    rng = random.Random(4)
+    items = [(rng.choice([None, *range(30)]), " ".join(rng.choices("abcd", k=rng.randrange(0, 14)))) for _ in range(80)]
+    grams = NgramSet([(i, t.encode()) for i, t in items], 10)
+    for _ in range(60):
+        text = " ".join(rng.choices("abcde", k=rng.randrange(0, 40))) + " " + rng.choice(items)[1]
+        spans, owners = grams.find(words(text.encode()))
+        named = [(i, t) for i, t in items if i is not None]
+        assert (len(_plain(text)), sum(b - a for a, b in spans)) == _brute(text, items)[:2]
+        assert sorted(owners - {None}) == _brute(text, named)[2]
+
+
+def test_the_set_stays_a_few_times_its_text():
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(100)).encode()) for i in range(5000)]
+    assert len(pickle.dumps(NgramSet(items, 10))) < 8 * sum(len(t) for _, t in items)
