@@ -27,6 +27,7 @@ QUERY_EVERY = 100
 # Queries of one block, about: what is broadcast and what a task holds scores for at once.
 BLOCK_QUERIES = 2048
 BINS = 1024
+RESULT = "query_id long, vec_id long, score long"
 _ROWS = 1024  # candidate rows scored at a time
 
 
@@ -140,7 +141,7 @@ def _select(candidates: DataFrame, block: Block, dims: int, k: int, exact: type)
         query = np.repeat(np.arange(len(b.ids)), [len(t) for t in ties])
         yield _results(b.ids[query], np.concatenate([*ties, []]).astype(np.int64), b.low[query])
 
-    return candidates.mapInArrow(run, "query_id long, vec_id long, score long")
+    return candidates.mapInArrow(run, RESULT)
 
 
 def _results(query_id: np.ndarray, vec_id: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
@@ -180,21 +181,20 @@ def exact_top_k(
     longest = rows.agg(F.max(F.sqrt(square)).alias("norm")).first()["norm"]
     count = asked.count()
     blocks = math.ceil(count / block_queries)
-    found = []
+    # The blocks' results are folders of one table, so the plan does not grow with the queries.
+    found = work.location("found")
+    spark.createDataFrame([], RESULT).write.parquet(f"{found}/block=-1")
     for b in range(blocks):
         part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
         if part and longest is not None:
-            found.append(_search(rows, part, k, longest, work))
-    empty = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    kept = empty
-    for result in found:
-        kept = kept.unionByName(result)
+            _search(rows, part, k, longest).write.parquet(f"{found}/block={b}")
+    kept = spark.read.schema(f"{RESULT}, block int").parquet(found).drop("block")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _search(rows: DataFrame, part: list, k: int, longest: float, work: Workspace) -> DataFrame:
+def _search(rows: DataFrame, part: list, k: int, longest: float) -> DataFrame:
     vectors = np.array([r["ints"] for r in part], dtype=np.int64)
     dims = vectors.shape[1]
     # No score, nor a part of its sum, is larger than the product of the two lengths;
@@ -208,7 +208,7 @@ def _search(rows: DataFrame, part: list, k: int, longest: float, work: Workspace
     block = Block(ids, vectors, np.full(len(ids), -limit, dtype=np.int64), 2 * limit + 1, np.zeros(len(ids), dtype=np.int64))
     while block.width > 1:
         _narrow(block, _histogram(rows, block, dims, k, exact).collect())
-    return work.save(_select(rows, block, dims, k, exact), "found")
+    return _select(rows, block, dims, k, exact)
 
 
 def top_k_query(spark: SparkSession, sf_dir: str) -> DataFrame:
