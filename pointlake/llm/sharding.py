@@ -9,9 +9,11 @@ The rows never leave DataFrame operations.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import random
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from pointlake.workspace import Workspace
 SHARDS = 16
 # Rows that one task numbers in a shard, about; a shard has as many buckets as that takes.
 BUCKET_ROWS = 1_000_000
+# Partitions whose counts go into one part of the stored matrix.
+PLAN_PARTS = 10_000
 _POSITION_BITS = 33  # monotonically_increasing_id() keeps the position in its low 33 bits
 
 
@@ -67,11 +71,10 @@ def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
     return mode
 
 
-def communication_matrix(partition_rows: list[int], shard_rows: list[int], seed: int) -> list[list[int]]:
-    """Rows that each partition sends to each shard: one hypergeometric draw."""
+def communication_matrix(partition_rows: Iterable[int], shard_rows: list[int], seed: int) -> Iterator[list[int]]:
+    """Rows that each partition sends to each shard: one hypergeometric draw, a partition at a time."""
     rng = random.Random(seed)
     open_rows = list(shard_rows)
-    matrix = []
     for rows in partition_rows:
         rest, sent = sum(open_rows), []
         for shard, room in enumerate(open_rows):
@@ -80,12 +83,37 @@ def communication_matrix(partition_rows: list[int], shard_rows: list[int], seed:
             sent.append(take)
             rows -= take
             open_rows[shard] -= take
-        matrix.append(sent)
-    return matrix
+        yield sent
+
+
+def _stored_matrix(work: Workspace, counts: DataFrame, sizes: list[int], seed: int, plan_parts: int) -> DataFrame:
+    """``(part, ends)``: for each partition the position at which each shard's share ends.
+
+    The counts come to the driver a Spark partition at a time and go back as a table,
+    ``plan_parts`` rows at a time, so that neither the driver nor a plan holds the matrix.
+    """
+    spark = work.spark
+    target = work.location("matrix")
+    spark.range(0).select(F.col("id").alias("part"), F.array("id").alias("ends")).write.parquet(target)
+    ahead, behind = itertools.tee((r["part"], r["rows"]) for r in counts.orderBy("part").toLocalIterator())
+    drawn = communication_matrix((rows for _, rows in ahead), sizes, seed)
+    rows = ({"part": p, "ends": list(itertools.accumulate(sent))} for (p, _), sent in zip(behind, drawn))
+    for n in itertools.count():
+        some = list(itertools.islice(rows, plan_parts))
+        if not some:
+            break
+        told = F.from_json(F.lit(json.dumps(some)), "array<struct<part:bigint,ends:array<bigint>>>")
+        spark.range(1).select(F.inline(told)).write.parquet(f"{target}-{n}")
+    return spark.read.schema("part bigint, ends array<bigint>").parquet(target, *(f"{target}-{i}" for i in range(n)))
 
 
 def shuffle_into_shards(
-    docs: DataFrame, shards: int = SHARDS, seed: int = 0, work: Workspace | None = None, bucket_rows: int = BUCKET_ROWS
+    docs: DataFrame,
+    shards: int = SHARDS,
+    seed: int = 0,
+    work: Workspace | None = None,
+    bucket_rows: int = BUCKET_ROWS,
+    plan_parts: int = PLAN_PARTS,
 ) -> DataFrame:
     """``docs`` with ``shard`` (from 0) and ``slot`` (gapless from 0 in each shard).
 
@@ -95,7 +123,7 @@ def shuffle_into_shards(
 
     The rows are written once, in their local order, so that counts and slots come from
     the same stored partitions even if executors are lost or join in between. The driver
-    holds one count for each partition and shard, never a row.
+    draws the counts of one partition after the other and stores them as a table.
     """
     spark: SparkSession = docs.sparkSession
     work = work or Workspace(spark)
@@ -109,19 +137,13 @@ def shuffle_into_shards(
         F.shiftright("place", _POSITION_BITS).alias("part"),
         F.col("place").bitwiseAND((1 << _POSITION_BITS) - 1).alias("position"),
     )
-    counts = {r["part"]: r["rows"] for r in stored.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).collect()}
-    parts = sorted(counts)
-    sizes = shard_sizes(sum(counts.values()), shards)
-    matrix = communication_matrix([counts[p] for p in parts], sizes, seed)
+    counts = work.save(stored.groupBy("part").agg(F.count(F.lit(1)).alias("rows")), "counts")
+    sizes = shard_sizes(counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], shards)
+    plan = _stored_matrix(work, counts, sizes, seed, plan_parts)
     # Exchange: position r of partition p goes to the shard whose share of p holds r.
-    ends = [[sum(row[: s + 1]) for s in range(shards)] for row in matrix]
-    plan = spark.range(1).select(
-        F.explode(F.from_json(F.lit(json.dumps([{"part": p, "ends": e} for p, e in zip(parts, ends, strict=True)])),
-                              "array<struct<part:bigint,ends:array<bigint>>>")).alias("p")
-    )
     buckets = max(1, math.ceil(max(sizes) / bucket_rows), math.ceil(4 * _partitions(spark) / shards))
     draw = F.xxhash64(F.lit(seed + 1), "part", "position")
-    sent = stored.join(plan.select("p.*"), "part").select(
+    sent = stored.join(plan, "part").select(
         "row",
         F.size(F.filter("ends", lambda end: end <= F.col("position"))).alias("shard"),
         F.pmod(draw, F.lit(buckets)).alias("bucket"),

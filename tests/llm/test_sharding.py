@@ -18,7 +18,7 @@ def _check(rows, shards, total):
 
 def test_matrix_has_the_given_margins():
     parts, shards = [7, 0, 100, 3], shard_sizes(110, 16)
-    matrix = communication_matrix(parts, shards, seed=3)
+    matrix = list(communication_matrix(parts, shards, seed=3))
     assert [sum(r) for r in matrix] == parts
     assert [sum(c) for c in zip(*matrix, strict=True)] == shards
 
@@ -39,6 +39,12 @@ def test_sizes_slots_and_rows(spark):
     assert sorted(r["id"] for r in rows) == list(range(1003))
 
 
+def test_a_matrix_stored_in_parts_is_the_same(spark):
+    docs = spark.range(500).repartition(7)
+    whole = sorted(shuffle_into_shards(docs, 4, seed=2).collect())
+    assert sorted(shuffle_into_shards(docs, 4, seed=2, plan_parts=2).collect()) == whole
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     docs = make_docs(spark, [(None, None), (1, "a"), (1, "a"), (1, "a"), (2, "")])
     rows = shuffle_into_shards(docs, 2).collect()
