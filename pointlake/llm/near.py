@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from pointlake.llm.text import mix, slices, table, text_bytes, word_hashes, words
 from pointlake.operators.components import smallest_reachable
+from pointlake.operators.skew import skew_join
 from pointlake.workspace import Workspace
 
 SHINGLE = 5
@@ -36,6 +37,8 @@ COMPARE = 20  # MinHash values compared at a time
 BLOCK_BYTES = 2_000_000
 # A component of more blocks than this is compared band by band instead of as a whole.
 MAX_BLOCKS = 16
+# A key is spread over tasks if it has more rows than this and than two tasks' fair share.
+FAIR_ROWS = 1000
 
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 2**32, size=BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -117,14 +120,31 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
     return read.mapInArrow(run, f"doc_id {kind}, text_key long, fp binary, bands array<long>")
 
 
+def _spread_join(
+    left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, rows: int, work: Workspace
+) -> DataFrame:
+    """``left.join(right, on)`` for one row a key in ``right``; keys with too many of the ``rows`` rows are spread.
+
+    ``counts`` is stored and has the rows of each key of ``left`` as ``n``. No more keys
+    are spread than half the shuffle partitions, which bounds what is broadcast.
+    """
+    partitions = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
+    fair = max(FAIR_ROWS, 2 * rows // partitions)
+    if rows <= fair:
+        return skew_join(left, right, on, hot=False)
+    hot = work.save(counts.filter(F.col("n") > fair).select(*on, F.col("n").alias("_n")), "hot")
+    return skew_join(left, right, on, hot=False if hot.isEmpty() else hot, hot_rows=fair)
+
+
 def connect(edges: DataFrame, work: Workspace) -> DataFrame:
     """``(node, root)`` for every node of ``(node, root)`` edges; the root is the component's least node.
 
     Rounds of large and small stars: each node hands its larger neighbours, then its
     smaller ones, to the least of them. The number of rounds grows with the logarithm of
-    the component, and each round only holds edges. Rounds are stored, so a lost executor
-    costs its tasks.
+    the component, and each round only holds edges. The neighbours of a hub are spread
+    over tasks. Rounds are stored, so a lost executor costs its tasks.
     """
+    lowest = F.min("root").alias("low"), F.count(F.lit(1)).alias("n")
     stars = work.save(edges.filter("node <> root").distinct(), "edges")
     before = None
     while True:
@@ -133,12 +153,14 @@ def connect(edges: DataFrame, work: Workspace) -> DataFrame:
             return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
         before = now
         both = stars.unionByName(stars.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = both.groupBy("node").agg(F.min("root").alias("low"))
-        least = least.select("node", F.least("node", "low").alias("low"))
-        large = both.filter("root > node").join(least, "node").select(F.col("root").alias("node"), F.col("low").alias("root"))
+        least = work.save(both.groupBy("node").agg(*lowest), "least")
+        to = least.select("node", F.least("node", "low").alias("low"))
+        large = _spread_join(both.filter("root > node"), to, ["node"], least, 2 * now[0], work)
+        large = large.select(F.col("root").alias("node"), F.col("low").alias("root"))
         large = work.save(large.filter("node <> root").distinct(), "large")
-        low = large.groupBy("node").agg(F.min("root").alias("low"))
-        small = large.join(low, "node").select(F.col("root").alias("node"), F.col("low").alias("root"))
+        low = work.save(large.groupBy("node").agg(*lowest), "low")
+        small = _spread_join(large, low.drop("n"), ["node"], low, large.count(), work)
+        small = small.select(F.col("root").alias("node"), F.col("low").alias("root"))
         small = small.unionByName(low.select("node", F.col("low").alias("root")))
         stars = work.save(small.filter("node <> root").distinct(), "stars")
 
@@ -260,20 +282,22 @@ def _grouped(
         "classes",
     )
     bands = classes.select("fp", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
-    candidates = bands.join(shared, "band").select(F.col("fp").alias("node"), F.col("low").alias("root"))
+    held = F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n")
+    shared = work.save(bands.groupBy("band").agg(*held).filter("low <> high").drop("high"), "shared")
+    candidates = _spread_join(bands, shared.drop("n"), ["band"], shared, BANDS * classes.count(), work)
+    candidates = candidates.select(F.col("fp").alias("node"), F.col("low").alias("root"))
     components = connect(candidates, work)
 
     asked = classes.drop("bands").join(components.withColumnRenamed("node", "fp"), "fp")
     members = work.save(_with_shingles(docs, asked, key, text), "members")
-    found = work.save(_links(members, threshold, tolerance, block_bytes, max_blocks), "links")
+    found = work.save(_links(members, threshold, tolerance, block_bytes, max_blocks, work), "links")
     links = found.groupBy("fp").agg(F.sum("docs").alias("docs"), F.sum("classes").alias("n_class_links"))
     groups = connect(found.select(F.col("fp").alias("node"), "root"), work).withColumnRenamed("node", "fp")
     named = classes.select("fp", "copy_id", "copies").join(groups, "fp", "left").join(links, "fp", "left")
     # A class without links is its own group, so that no missing root gathers them.
     named = work.save(named.withColumn("root", F.coalesce("root", "fp")), "named")
-    least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    known = named.join(least, "root").select(
+    least = work.save(named.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.count(F.lit(1)).alias("n")), "groups")
+    known = _spread_join(named, least.drop("n"), ["root"], least, named.count(), work).select(
         "fp",
         "root",
         "class_id",
@@ -281,7 +305,9 @@ def _grouped(
         (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"),
         F.coalesce("n_class_links", F.lit(0)).alias("n_class_links"),
     )
-    linked = described.filter("fp IS NOT NULL").join(known, "fp")
+    repeats = classes.select("fp", F.col("copies").alias("n"))
+    worded = described.filter("fp IS NOT NULL").select("doc_id", "text_key", "fp")
+    linked = _spread_join(worded, known, ["fp"], repeats, described.count(), work)
     wordless = described.filter("fp IS NULL").select(
         "doc_id",
         "text_key",
@@ -319,12 +345,14 @@ def _with_shingles(docs: DataFrame, asked: DataFrame, key: str, text: str) -> Da
     return joined.mapInArrow(run, "fp binary, copies long, root binary, sign binary, shingles binary")
 
 
-def _links(members: DataFrame, threshold: float, tolerance: float, block_bytes: int, max_blocks: int) -> DataFrame:
+def _links(
+    members: DataFrame, threshold: float, tolerance: float, block_bytes: int, max_blocks: int, work: Workspace
+) -> DataFrame:
     """``(fp, docs, classes, root)`` per class and pair of blocks in which it has a link."""
     weight = F.octet_length("shingles") + F.octet_length("sign")
     blocks = F.ceil(F.sum(weight) / block_bytes).cast("int").alias("blocks")
-    sizes = members.groupBy("root").agg(blocks)
-    sized = members.join(sizes, "root")
+    sizes = work.save(members.groupBy("root").agg(blocks, F.count(F.lit(1)).alias("n")), "sizes")
+    sized = _spread_join(members, sizes.drop("n"), ["root"], sizes, members.count(), work)
     whole = sized.filter(F.col("blocks") <= max_blocks).withColumn("kind", F.lit(-1)).withColumnRenamed("root", "part")
     crowded = sized.filter(F.col("blocks") > max_blocks).drop("blocks", "root")
     values = F.transform(

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pointlake.llm import near
-from pointlake.llm.near import _links, keep_first, least_matches, near_duplicates, shingles
+from pointlake.llm.near import _links, connect, keep_first, least_matches, near_duplicates, shingles
+from pointlake.workspace import Workspace
 from tests.llm.conftest import make_docs
 
 
@@ -98,6 +99,30 @@ def test_the_stage_leaves_one_row_of_each_group(spark):
     assert found == [(-1, "!!"), (-1, "!!"), (-1, "no "), (4, ""), (5, "one"), (5, "w0 "), (8, "oth")]
 
 
+def test_hubs_are_spread_over_tasks(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(0, n) for n in range(1, 60)] + [(rng.randrange(60, 200), rng.randrange(60, 200)) for _ in range(20)]
+    rows = [(max(e).to_bytes(2), min(e).to_bytes(2)) for e in edges]
+    table = spark.createDataFrame(rows, "node binary, root binary")
+    plain = sorted(map(tuple, connect(table, Workspace(spark)).collect()))
+    spread = []
+    join = near.skew_join
+    monkeypatch.setattr(near, "FAIR_ROWS", 3)
+    monkeypatch.setattr(near, "skew_join", lambda *a, **k: spread.append(k["hot"] is not False) or join(*a, **k))
+    assert sorted(map(tuple, connect(table, Workspace(spark)).collect())) == plain
+    assert any(spread)
+    assert {root for node, root in plain if int.from_bytes(node) < 60} == {(0).to_bytes(2)}
+
+
+def test_hot_keys_keep_every_link(spark, monkeypatch):
+    monkeypatch.setattr(near, "FAIR_ROWS", 3)
+    rng = random.Random(9)
+    texts = ["the same words in each of these rows"] * 40 + _group(rng, 40, 60, 3) + [None, "", "few words"]
+    rows = list(enumerate(texts))
+    found = near_duplicates(make_docs(spark, rows))
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in found.collect()) == _brute(rows)
+
+
 def test_pruning_spares_pairs_at_the_threshold():
     needed = least_matches()
     rng = random.Random(1)
