@@ -99,23 +99,33 @@ def test_the_stage_leaves_one_row_of_each_group(spark):
     assert found == [(-1, "!!"), (-1, "!!"), (-1, "no "), (4, ""), (5, "one"), (5, "w0 "), (8, "oth")]
 
 
-def test_hubs_are_spread_over_tasks(spark, monkeypatch):
+@pytest.fixture
+def many_partitions(spark, monkeypatch):
+    """A key is hot from fewer rows when there are more partitions to spread it over."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    monkeypatch.setattr(near, "FAIR_ROWS", 3)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_hubs_are_spread_over_tasks(spark, monkeypatch, many_partitions):
     rng = random.Random(8)
     edges = [(0, n) for n in range(1, 60)] + [(rng.randrange(60, 200), rng.randrange(60, 200)) for _ in range(20)]
     rows = [(max(e).to_bytes(2), min(e).to_bytes(2)) for e in edges]
     table = spark.createDataFrame(rows, "node binary, root binary")
-    plain = sorted(map(tuple, connect(table, Workspace(spark)).collect()))
+    with monkeypatch.context() as unspread:
+        unspread.setattr(near, "FAIR_ROWS", 10**6)
+        plain = sorted(map(tuple, connect(table, Workspace(spark)).collect()))
     spread = []
     join = near.skew_join
-    monkeypatch.setattr(near, "FAIR_ROWS", 3)
     monkeypatch.setattr(near, "skew_join", lambda *a, **k: spread.append(k["hot"] is not False) or join(*a, **k))
     assert sorted(map(tuple, connect(table, Workspace(spark)).collect())) == plain
     assert any(spread)
     assert {root for node, root in plain if int.from_bytes(node) < 60} == {(0).to_bytes(2)}
 
 
-def test_hot_keys_keep_every_link(spark, monkeypatch):
-    monkeypatch.setattr(near, "FAIR_ROWS", 3)
+def test_hot_keys_keep_every_link(spark, many_partitions):
     rng = random.Random(9)
     texts = ["the same words in each of these rows"] * 40 + _group(rng, 40, 60, 3) + [None, "", "few words"]
     rows = list(enumerate(texts))
