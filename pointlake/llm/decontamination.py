@@ -16,7 +16,7 @@ from pointlake.workspace import Workspace
 
 WINDOW = 10
 # Bytes of item text whose n-grams one broadcast carries. More items take more passes. The
-# set takes about six times the text, while it is built on the driver about thirty times.
+# set takes six to twenty times the text, while it is built on the driver about thirty times.
 BROADCAST_TEXT_BYTES = 16_000_000
 
 HITS = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,stop:int>>"
