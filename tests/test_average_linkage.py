@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pointlake.operators import average_linkage as linkage
 from pointlake.operators.average_linkage import average_linkage
 from pointlake.operators.reduce import principal_components
 
@@ -62,3 +63,17 @@ def test_few_rows_copies_and_nulls(spark):
     assert average_linkage(df.limit(0), "v", "pid", 2).count() == 0
     with pytest.raises(ValueError, match="more than 2"):
         average_linkage(df, "v", "pid", 2, max_rows=2)
+
+
+@pytest.mark.parametrize(("seed", "groups"), [(4, 12), (5, 1)])
+def test_close_rows_merge_in_boxes_first(spark, monkeypatch, seed, groups):
+    """With more rows than pairs may be stored of, copies and an outlier among them, the groups are the same."""
+    monkeypatch.setattr(linkage, "MAX_CLUSTERS", 250)
+    monkeypatch.setattr(linkage, "_FEW", 60)
+    monkeypatch.setattr(linkage, "_BOX_CLUSTERS", 80)
+    rng = np.random.default_rng(seed)
+    points = rng.normal(size=(400, 2)) + rng.integers(0, 4, (400, 1)) * 3
+    points[300:340] = points[:40]
+    points[17] = 40
+    rows = average_linkage(frame(spark, points), "v", "pid", groups).collect()
+    assert {r["pid"]: r["label"] for r in rows} == naive(points, groups)
