@@ -19,6 +19,9 @@ from pointlake.sinks.partitioned import table_writer
 from pointlake.sinks.sizes import stored_bytes
 
 _SMALLEST_FILE = 8 * 1024**2
+# Rows that a task sorts at most. Narrow rows are stored in a small part of what they take
+# in a sort, about 130 bytes for a dozen numbers, so stored bytes alone do not bound it.
+_SORTED_ROWS = 4_000_000
 
 
 def _as_double(df: DataFrame, column: str) -> Column:
@@ -144,6 +147,16 @@ def zorder_merge(spark: SparkSession, rows: DataFrame, target: str, codec: str =
     return sorted({r["z_range"] for r in folders})
 
 
+def _ranges(spark: SparkSession, table: DataFrame, source: str, file_bytes: int, rows_per_file: int) -> int:
+    """Ranges to write the stored ``table`` in, one task each; its bytes and rows are not read but listed."""
+    size, rows = stored_bytes(spark, source), table.count()
+    whole = math.ceil(size / _SMALLEST_FILE)
+    # A table too small to fill every core with whole files is split finer, and so is one
+    # whose ranges would be cut into several files anyway.
+    finer = min(max(spark.sparkContext.defaultParallelism, math.ceil(rows / rows_per_file)), whole)
+    return max(1, math.ceil(size / file_bytes), math.ceil(rows / _SORTED_ROWS), finer)
+
+
 def zorder_rewrite(
     spark: SparkSession,
     source: str,
@@ -160,14 +173,11 @@ def zorder_rewrite(
     """Write ``source`` to ``target`` in z-order within each partition.
 
     The target is replaced as a whole. Ranges also split on the row's place in its source file, so a single z value
-    holding a large share of the rows still spreads over many tasks.
+    holding a large share of the rows still spreads over many tasks. ``files`` ranges are made if it is given, else
+    as many as files of ``file_bytes``, or more where their rows would not fit a sort in memory.
     """
     table = spark.read.parquet(source)
-    if files is None:
-        size = stored_bytes(spark, source)
-        # A table too small to fill every core with whole files is split finer.
-        finer = min(spark.sparkContext.defaultParallelism, math.ceil(size / _SMALLEST_FILE))
-        files = max(1, math.ceil(size / file_bytes), finer)
+    files = _ranges(spark, table, source, file_bytes, rows_per_file) if files is None else files
     placed = table.select("*", F.col("_metadata.row_index").alias("_row"))
     coded = with_zorder(placed, columns, bits)
     ranged = coded.repartitionByRange(files, *partition_by, "_z", "_row")

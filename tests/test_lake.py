@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointlake.functions.columns import with_id_partitions
+from pointlake.sinks import zorder
 from pointlake.sinks.partitioned import bloom_options, write_partitioned
 from pointlake.sinks.sizes import storage_by_layout, stored_bytes, unpivot_sizes, with_projection
 from pointlake.sinks.zorder import zorder_merge, zorder_rewrite, zorder_table
@@ -121,6 +122,20 @@ def test_zorder_splits_one_repeated_value(spark, tmp_path):
     assert sum(sizes) == 20_000 and max(sizes) < 10_000
 
 
+@pytest.mark.parametrize("bound, rows_per_file", [("_SORTED_ROWS", 50_000_000), ("_SMALLEST_FILE", 500)])
+def test_zorder_ranges_are_bounded_in_rows(spark, tmp_path, monkeypatch, bound, rows_per_file):
+    """Narrow rows are stored in few bytes; neither a task's sort nor the files it writes one by one grow with them."""
+    source, target = str(tmp_path / "narrow"), str(tmp_path / "narrow-out")
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 1009).alias("a"), "id")
+    rows.write.parquet(source)
+    monkeypatch.setattr(zorder, bound, 500)
+    zorder_rewrite(spark, source, target, ["a"], rows_per_file=rows_per_file)
+    tasks = {os.path.basename(f).split("-")[1] for f in glob.glob(f"{target}/part-*")}
+    assert len(tasks) >= 35
+    back = spark.read.parquet(target)
+    assert rows.exceptAll(back).count() == 0 and back.count() == 20_000
+
+
 def test_unsigned_ids_become_longs(spark, tmp_path):
     spark.sql("select cast(5 as decimal(20,0)) as id").write.parquet(str(tmp_path / "u"))
     assert scan_lake(spark, str(tmp_path / "u")).dtypes == [("id", "bigint")]
