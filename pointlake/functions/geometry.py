@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import binascii
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
@@ -66,9 +67,9 @@ def decode_point(column: Column | str) -> Column:
     return F.arrow_udf(decode_points, "array<int>")(column)
 
 
-def decode_positions(df: DataFrame) -> DataFrame:
-    """Decode every packed position column."""
-    names = position_columns(df)
+def decode_positions(df: DataFrame, skip: Collection[str] = ()) -> DataFrame:
+    """Decode every packed position column but those of ``skip``."""
+    names = [name for name in position_columns(df) if name not in skip]
     return df.withColumns({name: decode_point(name) for name in names}) if names else df
 
 

@@ -143,6 +143,26 @@ def test_dump_to_lake_joins_decodes_and_partitions(spark, tmp_path):
         prepared_dump(spark, table, ["nope"], 4)
 
 
+def test_points_are_joined_decoded(spark, tmp_path):
+    """The join shuffles decoded points; those of the other table are decoded unless the join renames them."""
+    import struct
+
+    def wkb(*p):
+        return (struct.pack("<BI", 1, 0x80000001) + struct.pack("<3d", *p)).hex()
+
+    fields = [("id", "bigint"), ("pt_position", "USER-DEFINED")]
+    table = _files(tmp_path, "syn", [f"{i},{wkb(i, 2, 3)}" for i in range(4)], fields)
+    more = [*fields, ("pt_root_id", "bigint"), ("ctr_pt_position", "USER-DEFINED")]
+    segment = _files(tmp_path, "seg", [f"1,{wkb(7, 8, 9)},5,{wkb(4, 5, 6)}"], more)
+    rows = prepared_dump(spark, table, ["pt_root_id"], 4, segment)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and plan.index("Join") < plan.index("ArrowEvalPython")
+    found = {r["id"]: r for r in rows.collect()}
+    assert [found[i]["pt_position"] for i in range(4)] == [[i, 2, 3] for i in range(4)]
+    assert found[1]["ctr_pt_position"] == [4, 5, 6] and found[2]["ctr_pt_position"] is None
+    assert found[1]["pt_position_right"] == wkb(7, 8, 9)
+
+
 def test_several_partition_columns(spark, tmp_path):
     files = _files(tmp_path, "m", ["1,10", "2,11", "3,12"], [("a", "bigint"), ("b", "bigint")])
     lake = dump_to_lake(spark, files, str(tmp_path / "m-lake"), ["a", "b"], 2)
