@@ -33,8 +33,10 @@ def _as_double(df: DataFrame, column: str) -> Column:
     if isinstance(kind, T.TimestampNTZType | T.TimestampType):
         return F.unix_micros(value.cast("timestamp")).cast("double")
     if isinstance(kind, T.StringType | T.BinaryType):
-        head = F.rpad(F.hex(F.substring(value.cast("binary"), 1, 6)), 12, "0")
-        return F.when(value.isNotNull(), F.conv(head, 16, 10).cast("double"))
+        # In this encoding each byte is a character of the same number; none counts as zero.
+        head = F.decode(F.substring(value.cast("binary"), 1, 6), "ISO-8859-1")
+        places = [F.ascii(F.substring(head, i + 1, 1)) * F.lit(256.0 ** (5 - i)) for i in range(6)]
+        return reduce(lambda a, b: a + b, places)
     return value.cast("double")
 
 

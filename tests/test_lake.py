@@ -198,6 +198,15 @@ def test_text_and_dates_are_clustered(spark, tmp_path):
     assert sum(days) / len(days) < 750
 
 
+def test_text_counts_by_its_first_six_bytes(spark):
+    texts = [b"", b"a", b"R", b"abcdef", b"abcdefgh", "\u00fc\u4e2d\U0001f600".encode(), bytes([0, 255, 128, 1, 0, 7]), None]
+    rows = spark.createDataFrame([(None if t is None else bytearray(t),) for t in texts], "t binary")
+    found = rows.select("t", zorder._as_double(rows, "t").alias("n")).collect()
+    assert all(r["n"] == (None if r["t"] is None else int.from_bytes(bytes(r["t"])[:6].ljust(6, b"\0"))) for r in found)
+    words = spark.createDataFrame([("",), ("\u00e9t\u00e9",), (None,)], "t string")
+    assert [r["n"] for r in words.select(zorder._as_double(words, "t").alias("n")).collect()] == [0.0, float(0xC3A974C3A900), None]
+
+
 def test_bloom_rate_is_met_in_large_row_groups(spark, tmp_path):
     path, n = str(tmp_path / "rate"), 1_500_000
     ids = spark.range(n).select(F.xxhash64("id").alias("id")).coalesce(1)
